@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; larger single texts are taken whole.
@@ -67,7 +68,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         n = batch.num_rows
         if not n:
             continue
-        lens = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column(batch, text)), 0), dtype=np.int64)
+        lens = np.asarray(pc.fill_null(pc.binary_length(column(batch, text)), 0), dtype=np.int64)
         group = np.cumsum(lens) // limit
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [n]))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -77,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 
 def filled(text: pa.Array) -> pa.Array:
     """Large strings without nulls, so that offsets never overflow."""
-    return pa.compute.fill_null(text.cast(pa.large_string()), "")
+    return pc.fill_null(text.cast(pa.large_string()), "")
 
 
 def raw(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

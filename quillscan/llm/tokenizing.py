@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ import pyarrow.compute as pc
 
 from .common import filled, ragged
 
-#: Segments remembered by a worker: two generations of at most this many.
-MEMO_ENTRIES = 300_000
+#: A worker's memo starts anew beyond so many segments.
+MEMO_ENTRIES = 800_000
 _FIRST, _LINE = "\x03", "\x02"
 _SOLID = re.compile("[\x02\x03]?[^\\s\x02\x03]+").fullmatch
 _PIECE = re.compile("[\x02\x03]?[^▁\x02\x03]+", re.S).fullmatch
@@ -60,8 +61,29 @@ class Encoder:
                 spec = json.load(f)
             self.kind = "byte" if (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel" else "word"
             self.cuts = True
-        self.young: dict[str, object] = {}
-        self.old: dict[str, object] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Start the memo anew: each segment's number, and where its ids lie in one pool."""
+        self.memo: dict[str, int] = {}
+        self.counts: dict[str, int] = {}
+        self.pool = np.zeros(1 << 16, np.int32)
+        self.used = 0
+        self.start = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int64)
+        self._add([""], np.zeros(0, np.int32), np.zeros(1, np.int64))
+
+    def _add(self, segs: list[str], ids: np.ndarray, lens: np.ndarray) -> None:
+        at, n = len(self.memo), len(segs)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        while at + n > len(self.start):
+            self.start, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.length))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.start[at : at + n] = self.used + np.cumsum(lens) - lens
+        self.length[at : at + n] = lens
+        self.used += len(ids)
+        self.memo.update(zip(segs, range(at, at + n), strict=True))
 
     def _alone(self, plain: list[str]) -> frozenset[str]:
         """The whole-token table: words whose boundary-marked form is one piece and encodes as just that piece."""
@@ -75,28 +97,36 @@ class Encoder:
             return [np.asarray(x, dtype=np.int32) for x in self.sp.encode(texts, num_threads=1)]
         return [np.asarray(e.ids, dtype=np.int32) for e in self.tk.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _segments(self, segs: list[str]) -> list[np.ndarray]:
-        """Ids of regular segments."""
+    def _segments(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of regular segments, one after the other, and how many each has."""
         if self.kind == "piece":
             lead = [s[0] == _LINE for s in segs]
-            ids = self.sp.encode(["\n" + s[1:] if b else s.lstrip(_FIRST) for s, b in zip(segs, lead, strict=True)], num_threads=1)
-            return [np.asarray(x[1:] if b else x, dtype=np.int32) for x, b in zip(ids, lead, strict=True)]
-        group, joined = 200, []
+            got = self.sp.encode(["\n" + s[1:] if b else s.lstrip(_FIRST) for s, b in zip(segs, lead, strict=True)], num_threads=1)
+            got = [x[1:] if b else x for x, b in zip(got, lead, strict=True)]
+            return np.asarray([i for x in got for i in x], dtype=np.int32), np.fromiter(map(len, got), np.int64, len(got))
+        group, joined, sizes = 200, [], []
         for at in range(0, len(segs), group):
             part = segs[at : at + group]
             if self.kind == "byte":  # a row of regular segments is a regular text; a first segment must follow a line feed
-                joined.append(["\n" + s[1:] if s[0] in (_LINE, _FIRST) else " " + s for s in part])
+                texts = ["\n" + s[1:] if s[0] in (_LINE, _FIRST) else " " + s for s in part]
             else:
-                joined.append([s + " " for s in part])
-        out: list[np.ndarray] = []
-        for texts, enc in zip(joined, self.tk.encode_batch(["".join(t) for t in joined], add_special_tokens=False), strict=True):
-            ids = np.asarray(enc.ids, dtype=np.int32)
-            begins = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(ids))
-            cut = np.searchsorted(begins, np.concatenate(([0], np.cumsum([len(t) for t in texts])))).tolist()
-            out.extend(ids[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True))
-        if self.kind == "byte":
-            out = [ids[1:] if s[0] == _FIRST else ids for s, ids in zip(segs, out, strict=True)]
-        return out
+                texts = [s + " " for s in part]
+            joined.append("".join(texts))
+            sizes.append(np.fromiter(map(len, texts), np.int64, len(texts)))
+        ids, lens = [], []
+        for size, enc in zip(sizes, self.tk.encode_batch(joined, add_special_tokens=False), strict=True):
+            own = np.asarray(enc.ids, dtype=np.int32)
+            begins = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(own))
+            ids.append(own)
+            lens.append(np.diff(np.searchsorted(begins, np.concatenate(([0], np.cumsum(size))))))
+        ids, lens = np.concatenate(ids), np.concatenate(lens)
+        if self.kind == "byte":  # the line feed before a first segment is not part of it
+            first = np.fromiter((s[0] == _FIRST for s in segs), bool, len(segs))
+            if first.any():
+                keep = np.ones(len(ids), bool)
+                keep[(np.cumsum(lens) - lens)[first]] = False
+                ids, lens = ids[keep], lens - first
+        return ids, lens
 
     def _regular(self, seg: str) -> bool:
         if self.kind == "word":
@@ -105,26 +135,20 @@ class Encoder:
 
     # -- segments ----------------------------------------------------
 
-    def _known(self, segs: list[str]) -> list[object]:
-        """Ids (arrays) of each distinct segment, None for an irregular one."""
-        young, old = self.young, self.old
-        out = [young.get(s, self) for s in segs]
-        missing: list[int] = []
-        for k, v in enumerate(out):
-            if v is self:
-                s = segs[k]
-                v = old.get(s, self)
-                if v is self:
-                    if s and self._regular(s):
-                        missing.append(k)
-                        continue
-                    v = None if self.kind != "word" else np.zeros(0, np.int32)
-                out[k] = young[s] = v
-        if missing:
-            for k, ids in zip(missing, self._segments([segs[k] for k in missing]), strict=True):
-                out[k] = young[segs[k]] = ids
-        if len(young) > MEMO_ENTRIES:
-            self.old, self.young = young, {}
+    def _known(self, segs: list[str]) -> np.ndarray:
+        """Numbers of the segments in the memo, -1 for an irregular one."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self._forget()
+        numbers = list(map(self.memo.get, segs))
+        if None in numbers:
+            missing = [s for s, v in zip(segs, numbers, strict=True) if v is None]
+            regular = list(filter(self._regular, missing))
+            if regular:
+                self._add(regular, *self._segments(regular))
+            numbers = list(map(self.memo.get, segs, repeat(-1)))
+        out = np.asarray(numbers, dtype=np.int64)
+        if self.kind != "word":
+            out[out == 0] = -1  # an empty segment is a doubled space
         return out
 
     def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -152,17 +176,13 @@ class Encoder:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
         codes, offs, segs = self._split(texts)
         known = self._known(segs)
-        bad = np.fromiter((v is None for v in known), dtype=bool, count=len(known))
+        bad = known < 0
         odd = self._odd(texts)
         if bad.any():
             odd |= np.add.reduceat(np.concatenate((bad[codes], [False])), offs[:-1]) > 0
-        empty = np.zeros(0, np.int32)
-        parts = [empty if v is None else v for v in known]
-        lens = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-        pool = np.concatenate(parts) if parts else empty
-        starts = np.cumsum(lens) - lens
-        seg_lens = lens[codes]
-        ids = pool[ragged(starts[codes], seg_lens)]
+        number = known[codes]
+        seg_lens = np.where(number < 0, 0, self.length[number])
+        ids = self.pool[ragged(self.start[number], seg_lens)]
         ends = np.concatenate(([0], np.cumsum(seg_lens)))[offs]
         if not odd.any():
             return ids, ends
@@ -195,26 +215,17 @@ class Encoder:
         return out
 
     def _known_counts(self, segs: list[str]) -> np.ndarray:
-        young, old = self.young, self.old
-        out = np.empty(len(segs), dtype=np.int64)
-        missing: list[int] = []
-        for k, s in enumerate(segs):
-            v = young.get(s)
-            if v is None:
-                v = old.get(s)
-                if v is None:
-                    if self._regular(s):
-                        missing.append(k)
-                        continue
-                    v = -1
-                young[s] = v
-            out[k] = v
-        if missing:
-            for k, ids in zip(missing, self._segments([segs[k] for k in missing]), strict=True):
-                out[k] = young[segs[k]] = len(ids)
-        if len(young) > MEMO_ENTRIES:
-            self.old, self.young = young, {}
-        return out
+        """Counts of segments, -1 for an irregular one."""
+        if len(self.counts) > MEMO_ENTRIES:
+            self.counts = {}
+        got = list(map(self.counts.get, segs))
+        if None in got:
+            missing = [s for s, v in zip(segs, got, strict=True) if v is None]
+            regular = list(filter(self._regular, missing))
+            if regular:
+                self.counts.update(zip(regular, self._segments(regular)[1].tolist(), strict=True))
+            got = list(map(self.counts.get, segs, repeat(-1)))
+        return np.asarray(got, dtype=np.int64)
 
 
 @lru_cache(maxsize=4)
