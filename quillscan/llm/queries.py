@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .ann import nearest
+from .jaccard import near_duplicates
+from .langid import held_out, identify, train
+from .mixing import draw
 from .packing import pack_documents
+from .pii import find_personal_data
 from .records import read_records, write_records
+from .substring import dedup_substrings
 from .token_counts import token_counts
 from .topk import topk_inner_product
 
@@ -31,6 +38,34 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), k=20, query=F.col("_id") % 20 == 0)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs.select("doc_id", "text"), train(docs.select("doc_id", "text", "lang")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = draw(_table(spark, sf_dir, "documents"), payload=[])
+    taken = F.aggregate("_draws", F.lit(0).cast("long"), lambda n, d: n + d["take"])
+    return drawn.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_table(spark, sf_dir, "documents")).drop("mark")
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_records(spark, manifest)
@@ -56,6 +91,12 @@ QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
     "op3_packing": op3_packing,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
+    "op5_language_id": op5_language_id,
+    "op6_source_mixing": op6_source_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_personal_data": op8_personal_data,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_token_records": op10_token_records,
 }
 
