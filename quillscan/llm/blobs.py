@@ -11,7 +11,7 @@ import struct
 import numpy as np
 import zstandard
 
-_LEVEL = 1
+_LEVEL = 3
 
 
 def pack(arrays: list[np.ndarray]) -> bytes:

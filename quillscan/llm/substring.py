@@ -30,7 +30,9 @@ SEED = 4
 #: A super-k-mer holds at most this many windows.
 SPAN = 64
 #: Input bytes per bucket.
-BUCKET_BYTES = 6_000_000
+BUCKET_BYTES = 3_000_000
+#: Text bytes hashed at a time inside a bucket.
+HASH_BYTES = 1_000_000
 
 
 def _window_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -116,6 +118,12 @@ def _split(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], names=["bucket", "blob"])
 
 
+def _pieces(offs: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of items of about ``limit`` bytes each."""
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(offs[1:] // limit)) + 1, [len(offs) - 1])) if len(offs) > 1 else np.zeros(1, int)
+    return [(int(a), int(b)) for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+
+
 def _count(table: pa.Table) -> pa.Table:
     """Sort all windows of one bucket; give the word intervals that later occurrences cover."""
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
@@ -125,15 +133,23 @@ def _count(table: pa.Table) -> pa.Table:
     if table.column("bucket")[0].as_py() == -1:
         return _table(*(np.concatenate([g[k] for g in got]) for k in range(4)), schema)
     ids, rows, at, length = (np.concatenate([g[k] for g in got]) for k in range(4))
-    text = np.concatenate([g[4] for g in got])
-    offs = np.concatenate(([0], np.cumsum(length.astype(np.int64))))
-    starts, ends, first = words(text, offs)
-    h = word_hashes(text, starts, ends)
-    n = np.diff(first) - WINDOW + 1  # windows of each super-k-mer
-    begin = ragged(first[:-1], n)
-    of = np.repeat(np.arange(len(n)), n)
-    start = at[of].astype(np.int64) + begin - first[:-1][of]
-    one, two = window_hashes(h, WINDOW, 1)[begin], window_hashes(h, WINDOW, 2)[begin]
+    one, two, of, start, seen = [], [], [], [], 0
+    for g in got:  # hashes are made blob by blob, so that only windows of the whole bucket are held
+        offs = np.concatenate(([0], np.cumsum(g[3].astype(np.int64))))
+        for lo, hi in _pieces(offs, HASH_BYTES):
+            text = g[4][offs[lo] : offs[hi]]
+            starts, ends, first = words(text, offs[lo : hi + 1] - offs[lo])
+            h = word_hashes(text, starts, ends)
+            n = np.diff(first) - WINDOW + 1  # windows of each super-k-mer
+            begin = ragged(first[:-1], n)
+            here = np.repeat(np.arange(len(n)), n)
+            of.append((here + seen + lo).astype(np.int32))
+            start.append((g[2][lo:hi][here] + begin - first[:-1][here]).astype(np.int32))
+            one.append(window_hashes(h, WINDOW, 1)[begin])
+            two.append(window_hashes(h, WINDOW, 2)[begin])
+        seen += len(g[3])
+    one, two, of, start = (np.concatenate(x) for x in (one, two, of, start))
+    del got
     order = np.lexsort((start, rows[of], ids[of], two, one))
     later = np.zeros(len(order), bool)
     a, b = order[:-1], order[1:]
