@@ -111,19 +111,23 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
-def _best(ids: np.ndarray, score: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    ok = ids != own
-    ids, score = ids[ok], score[ok]
-    if len(ids) > 4 * k:  # ties at the k-th place stay in
-        at = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
-        ids, score = ids[at], score[at]
-    top = np.lexsort((ids, -score))[:k]
-    return ids[top], score[top]
+def _search_cell(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
+    """Per query the k best of one cell: a rough product finds all that may be among them, exact scores decide.
 
-
-def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Inner products summed in one fixed order, so a score never depends on the cell it is computed in."""
-    return (x * q).sum(axis=1) if x.shape[1] < 8 else np.add.reduce(x * q, axis=1)
+    Exact scores are summed in one fixed order, so they do not depend on the cell.
+    """
+    rough = np.where(qids[:, None] == ids[None, :], -np.inf, q @ x.T)
+    n = len(ids)
+    least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(qids), -np.inf)
+    row, col = np.nonzero((rough >= (least - 1e-9)[:, None]) & np.isfinite(rough))
+    score = np.add.reduce(x[col] * q[row], axis=1)
+    order = np.lexsort((ids[col], -score, row))
+    row, col, score = row[order], col[order], score[order]
+    first = np.searchsorted(row, np.arange(len(qids)))
+    keep = np.arange(len(row)) - first[row] < k
+    row, col, score = row[keep], col[keep], score[keep]
+    cut = np.searchsorted(row, np.arange(1, len(qids)))
+    return pd.DataFrame({"query_id": qids, "ids": [a.tolist() for a in np.split(ids[col], cut)], "scores": [a.tolist() for a in np.split(score, cut)]})
 
 
 def nearest(rows: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = RECALL) -> DataFrame:
@@ -177,16 +181,9 @@ def nearest(rows: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_
     )
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            ids, x = left["_id"].to_numpy(), _stack(left["_vec"])
-            rough = _stack(right["_qvec"]) @ x.T
-            for qid, q, s in zip(right["_qid"], right["_qvec"], rough, strict=True):
-                got, _ = _best(ids, np.round(s, 9), k, qid)  # rounding keeps near ties together; exact scores decide
-                at = np.flatnonzero((np.round(s, 9) >= np.round(s[np.isin(ids, got)].min(), 9)) & (ids != qid)) if len(got) else np.zeros(0, int)
-                best, score = _best(ids[at], _exact(np.asarray(q, dtype=np.float64), x[at]), k, qid)
-                out.append((int(qid), best.tolist(), score.tolist()))
-        return pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
+        return _search_cell(left["_id"].to_numpy(), _stack(left["_vec"]), right["_qid"].to_numpy(), _stack(right["_qvec"]), k)
 
     keys = ["_leaf", "_chunk", "_block"]
     found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(cell, "query_id long, ids array<long>, scores array<double>")
