@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; larger single texts are taken whole.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
+#: Arrow bytes that travel to a Python worker at once.
+BATCH_BYTES = 8_000_000
 
 U64 = np.uint64
 
@@ -55,6 +58,38 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tune(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a worker holds little text at a time, whatever the length of the rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+# ---------------------------------------------------------------- worker memory
+
+#: What a reused Python worker keeps between tasks, by owner: functions that let go of it.
+CACHES: dict[str, list[Callable[[], None]]] = {}
+_owner: list[str] = [""]
+
+
+def claim(owner: str) -> None:
+    """Called where a task starts: another operator's caches in this worker go."""
+    if _owner[0] != owner:
+        for name, drops in CACHES.items():
+            if name != owner:
+                for drop in drops:
+                    drop()
+        trim()
+        _owner[0] = owner
+
+
+def trim() -> None:
+    """Hand freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 # ---------------------------------------------------------------- Arrow slices
 
 
@@ -62,8 +97,9 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, owner: str = "words") -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each piece holds about ``limit`` bytes of column ``text``."""
+    claim(owner)
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -74,6 +110,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi > lo:
                 yield batch.slice(int(lo), int(hi - lo))
+    trim()
 
 
 def filled(text: pa.Array) -> pa.Array:

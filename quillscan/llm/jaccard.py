@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import U64, column, mix, partitions, ragged, raw, remove, slices, window_hashes, word_hashes, words, written
+from .common import U64, claim, column, mix, partitions, ragged, raw, remove, slices, window_hashes, word_hashes, words, written
 from .components import components
 
 SHINGLE = 5
@@ -185,6 +185,7 @@ _GROUPS = pa.schema([("sign", pa.int64()), ("members", pa.list_(pa.int64()))])
 
 def _meet(table: pa.Table) -> pa.Table:
     """Members (least id of each different set) of every key of one bucket that at least two different sets have."""
+    claim("words")
     key, doc, tag = [], [], []
     for b in table.column("blob"):
         low, high, at, ids, one = blobs.unpack(b.as_py())
@@ -238,6 +239,7 @@ _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _across(table: pa.Table) -> pa.Table:
     """Pairs of one cell in different components that sizes and bit sketches cannot refute."""
+    claim("words")
     doc, comp, n = (table.column(c).to_numpy() for c in ("doc", "comp", "n"))
     side = table.column("side").to_numpy()
     sketch = table.column("sketch").to_pylist()

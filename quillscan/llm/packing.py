@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, slices, written
-from .tokenizing import encoder
+from .tokenizing import TOKEN_SLICE, encoder
 
 CAPACITY = 2048
 CLASSES = 128
@@ -38,7 +38,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "ids")
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TOKEN_SLICE, "tokens"):
             ids, ends = enc.encode(column(part, "text"))
             tail = np.zeros(0, "<u4") if end_id is None else np.asarray([end_id], "<u4")
             ids = ids.astype("<u4")

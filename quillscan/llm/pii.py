@@ -158,6 +158,12 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     sift = spark.sparkContext.broadcast(_sift_of(pairs))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts = [], []  # merged over the task's slices before they travel
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            term, at = np.unique(np.concatenate(terms), return_inverse=True)
+            return term, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+
         for part in slices(batches, "text"):
             buf, offs = raw(column(part, "text"))
             if not len(buf):
@@ -170,6 +176,12 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
             term, n = np.unique(h[new], return_counts=True)
+            terms.append(term)
+            counts.append(n)
+            if len(terms) >= 8:
+                terms, counts = ([x] for x in merged())
+        if terms:
+            term, n = merged()
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
 
     everywhere = rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, fresh_path, partitions, slices
-from .tokenizing import encoder
+from .tokenizing import TOKEN_SLICE, encoder
 
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<qBB")
@@ -101,7 +101,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, en
         name = f"{folder}/{uuid.uuid4().hex}"
         out = None
         offsets, at, n_ids, first = [0], 0, 0, None
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TOKEN_SLICE, "tokens"):
             ids, ends = enc.encode(column(part, "text"))
             wide = len(ids) > 0 and int(ids.max()) > 0xFFFF or (end_id or 0) > 0xFFFF
             ids = ids.astype("<u4" if wide else "<u2")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import U64, column, partitions, ragged, raw, slices, window_hashes, word_hashes, words, written
+from .common import U64, claim, column, partitions, ragged, raw, slices, window_hashes, word_hashes, words, written
 
 WINDOW = 20
 SEED = 4
@@ -126,6 +126,7 @@ def _pieces(offs: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 def _count(table: pa.Table) -> pa.Table:
     """Sort all windows of one bucket; give the word intervals that later occurrences cover."""
+    claim("words")
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
     got = [blobs.unpack(b.as_py()) for b in table.column("blob")]
     if not got:

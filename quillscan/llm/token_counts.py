@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import column, filled, slices
-from .tokenizing import encoder
+from .tokenizing import TOKEN_SLICE, encoder
 
 CONTEXT = 4096
 
@@ -32,7 +32,7 @@ def token_counts(docs: DataFrame, tokenizer: str, context: int = CONTEXT, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = encoder(tokenizer, "counts").count
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", TOKEN_SLICE, "tokens"):
             text = filled(column(part, "text"))
             n = count(text)
             yield pa.RecordBatch.from_arrays(

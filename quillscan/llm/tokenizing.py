@@ -26,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import filled, ragged
+from .common import CACHES, filled, ragged
 
+#: Text bytes encoded at a time.
+TOKEN_SLICE = 4_000_000
 #: A worker's memo starts anew beyond so many segments.
 MEMO_ENTRIES = 800_000
 _FIRST, _LINE = "\x03", "\x02"
@@ -232,3 +234,6 @@ class Encoder:
 def encoder(path: str, use: str = "ids") -> Encoder:
     """One per worker process and use, kept across tasks."""
     return Encoder(path)
+
+
+CACHES["tokens"] = [lambda: encoder.cache_clear()]
