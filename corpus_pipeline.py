@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import written
+from quillscan.llm.common import tune, written
 from quillscan.llm.jaccard import near_duplicates
 from quillscan.llm.langid import UNKNOWN, identify, train
 from quillscan.llm.mixing import mix
@@ -27,6 +27,7 @@ def _new_name(docs: DataFrame, name: str) -> str:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without any language (null text or no letter); a missing label is filled with the prediction."""
+    tune(spark)
     pred, score = _new_name(docs, "lang_pred"), _new_name(docs, "lang_score")
     found = identify(docs, train(docs), pred_col=pred, score_col=score).filter(F.col(pred) != UNKNOWN)
     return found.select(*(F.coalesce("lang", pred).alias(c) if c == "lang" else F.col(c) for c in docs.columns))
@@ -38,6 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id count as one document: one of them stays (the longest text,
     then the greatest).  Rows with a null id take no part in the join and all stay.
     """
+    tune(spark)
     keep = near_duplicates(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_id"))
     none = rows.filter("_id IS NULL").select("_row")
@@ -47,16 +49,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Generalises personal data and removes the terms that disclose it."""
+    tune(spark)
     return _counted(docs, sanitise(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources to their target weights; documents appear as often as the mix takes them."""
+    tune(spark)
     return _counted(docs, mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the mix into sequences; one row per piece."""
+    tune(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
