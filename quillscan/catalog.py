@@ -11,8 +11,9 @@ from . import refdata as R
 from .functions import text as T
 from .functions.license import compatibility, families_in_text, family, is_copyleft, is_permissive, licence_of_text
 from .functions.spdx import spdx
-from .operators import code, contamination, data_rights, findings, supply_chain
+from .operators import code, contamination, data_rights, findings, headers, structure, supply_chain
 from .plans import reports
+from .plans.comparison import compare
 from .plans.scan import detect, scan
 from .sources.files import category, documents_as_files, input_kind, package_spec
 
@@ -243,6 +244,26 @@ def page_obfuscation(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", code.obfuscation(F.col("html")).alias("score"), F.size(code.endpoints(F.col("html"))).alias("endpoints"))
 
 
+_BRANCH_KEYS = [k for letter, _, keys in structure.NODES if letter in structure.BRANCHES for k in keys]
+
+
+@query("SELECT doc_id, CAST(1 + " + " + ".join(f"(length(l) - length(replace(l, {_q(k)}, ''))) // {len(k)}" for k in _BRANCH_KEYS) + " AS INTEGER) AS complexity FROM (SELECT doc_id, lower(text) AS l FROM documents)")
+def text_complexity(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", structure.complexity(structure.signature(F.col("text"))).cast("int").alias("complexity"))
+
+
+@query()
+def header_findings(spark, sf_dir):
+    return headers.header_findings(_files(spark, sf_dir), "MIT").groupBy("vtype").agg(F.count("*").alias("files"))
+
+
+@query()
+def file_set_comparison(spark, sf_dir):
+    """Benchmark passages against themselves: every one is an exact copy of itself."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("ord"), F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), "text")
+    return compare(bench, bench)
+
+
 # ---------------------------------------------------------------- data rights
 
 
