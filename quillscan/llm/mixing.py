@@ -118,7 +118,9 @@ def draw(docs: DataFrame, payload: list[str], id_col: str = "doc_id", text_col:
     runs = [(*names[k], j, int(ends[j, k] - tree[j, k]), int(ends[j, k])) for k in range(len(names)) for j in range(shards) if tree[j, k]]
     shard_of = spark.createDataFrame(runs, "_none boolean, _src string, _shard int, _lo int, _hi int").select(*key, "_shard", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("_no"))
     drawn = numbered.join(shard_of, [*key, "_no"]).groupBy(*key, "_block").agg(F.collect_list(F.struct("_pass", "_shard", (F.col("_pass") > F.col("_passes")).alias("_part"))).alias("_list"), F.first("_open").alias("_open"))
-    rows = base.join(drawn, [*key, "_block"], "left").join(plan.select(*key, "_source_size", "_target"), key)
+    # a source's figures come with its blocks: documents are never dealt out by source alone
+    blocks_ = cut.select(*key, "_block", "_source_size", "_target").join(drawn, [*key, "_block"], "left")
+    rows = base.join(blocks_, [*key, "_block"])
     within = Window.partitionBy(*key, "_block").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_earlier", F.coalesce(F.sum("_size").over(within), F.lit(0)))
     whole = F.col("_size")
