@@ -67,16 +67,18 @@ class Tree:
             todo += [(k, rows[near == i]) for i, k in enumerate(kids) if (near == i).any()]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, q: np.ndarray, most: int, sizes: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first; more of them until their ``sizes`` sum to ``rows``."""
         norm = float(np.sqrt(np.einsum("i,i->", q, q)))
         out: list[int] = []
         heap = [(0.0, 0)]
-        while heap and len(out) < most:
+        held = 0
+        while heap and (len(out) < most or held < rows):
             _, node = heapq.heappop(heap)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf[node])
+                held += int(sizes[self.leaf[node]]) if sizes is not None else 0
             for k in kids:
                 heapq.heappush(heap, (-(float(np.einsum("i,i->", q, self.centre[k])) + 0.25 * norm * self.radius[k]), k))
         return out
@@ -138,7 +140,8 @@ def nearest(rows: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_
     of queries with its own id.  Rows with a null id and null, empty, zero or non-finite
     vectors take no part, nor do vectors of another length than most have.  Large leaves
     are cut into cells of bounded size, so a leaf that holds a third of all rows is many
-    tasks.  Other columns are never read; an empty table gives an empty result.
+    tasks.  A query goes on to further leaves until they hold ``k`` rows of other ids, so it
+    gets fewer than ``k`` only where there are fewer.  Other columns are never read; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     result = "query_id long, rank int, vec_id long, score double"
@@ -163,18 +166,22 @@ def nearest(rows: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_
     queries = clean.filter(query).distinct()
     visits = _calibrate(leaves, queries, tree, k, recall)
 
+    per_leaf = {r["_leaf"]: r["count"] for r in leaves.groupBy("_leaf").count().collect()}  # a row per leaf of the tree
+    sizes = spark.sparkContext.broadcast(np.asarray([per_leaf.get(i, 0) for i in range(tree.leaves)]))
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"_qid": pdf["_id"], "_qvec": pdf["_vec"], "_leaves": [held.value.visits(v, visits) for v in _stack(pdf["_vec"])]})
+                ranked = [held.value.visits(v, visits, sizes.value, k + own) for v, own in zip(_stack(pdf["_vec"]), pdf["_own"], strict=True)]
+                yield pd.DataFrame({"_qid": pdf["_id"], "_qvec": pdf["_vec"], "_leaves": ranked})
 
-    per_leaf = {r["_leaf"]: -(-r["count"] // CELL_ROWS) for r in leaves.groupBy("_leaf").count().collect()}  # a row per leaf of the tree
-    cells = spark.createDataFrame([(int(a), int(b)) for a, b in per_leaf.items()], "_leaf long, _chunks int")
+    cells = spark.createDataFrame([(int(a), int(-(-b // CELL_ROWS))) for a, b in per_leaf.items()], "_leaf long, _chunks int")
     blocks = -(-queries.count() // CELL_QUERIES)
     h = F.xxhash64("_id")
     data = leaves.join(F.broadcast(cells), "_leaf").select("_leaf", F.pmod(h, F.col("_chunks")).cast("int").alias("_chunk"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("_block"), "_id", "_vec")
+    own = queries.join(clean.filter(query).groupBy("_id").agg(F.count("*").alias("_own")), "_id")  # rows that share a query's id are no candidates
     asked = (
-        queries.mapInPandas(walk, "_qid long, _qvec array<double>, _leaves array<long>")
+        own.mapInPandas(walk, "_qid long, _qvec array<double>, _leaves array<long>")
         .select("_qid", "_qvec", F.explode("_leaves").alias("_leaf"))
         .join(F.broadcast(cells), "_leaf")
         .select("_leaf", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), F.pmod(F.xxhash64("_qid"), F.lit(max(blocks, 1))).cast("int").alias("_block"), "_qid", "_qvec")

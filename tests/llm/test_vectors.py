@@ -67,3 +67,15 @@ def test_nearest_neighbours(spark, table, vectors):
         hits += sum(s[r[1]] >= np.sort(s)[-20] - 1e-12 for r in rows)
     assert hits >= 0.9 * 20 * 75 and len(got) == 75
     assert ann.nearest(spark.createDataFrame([], SCHEMA), 20, F.col("_id") % 20 == 0).count() == 0
+
+
+def test_lone_vectors_get_all_their_neighbours(spark):
+    """Dense groups of copies need one leaf each; a vector alone in its leaf must go on to others."""
+    x = np.concatenate([np.repeat(np.eye(16)[:3], 800, axis=0), np.eye(16)[3:5]])
+    rows = [(k, v.tolist(), "", 1) for k, v in enumerate(x)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), 20, (F.col("_id") % 20 == 0) | (F.col("_id") > 2399)).collect():
+        got.setdefault(r.query_id, []).append(r["rank"])
+    assert len(got) == 122 and all(sorted(ranks) == list(range(1, 21)) for ranks in got.values())
+    few = [(k, v, "", 1) for k, v in [(0, x[0].tolist()), (0, x[900].tolist()), (1, x[1700].tolist())]]
+    assert {r.vec_id for r in ann.nearest(spark.createDataFrame(few, SCHEMA), 20, F.col("_id") == 0).collect()} == {1}
