@@ -1,14 +1,16 @@
 """Personal data: patterns for protected entities, and information-theoretic sanitisation of what reveals them.
 
 Protected entities are e-mail addresses, IPv4 addresses, card numbers and phone
-numbers.  A term is a word without digits; it co-occurs with an entity when it stands
-within ``REACH`` words of it.  With document counts over the whole corpus, a term's
-disclosure is P(entity | term) and its information log2(P(entity | term) / P(entity)).
-Terms that co-occur with an entity in at least ``SUPPORT`` documents and exceed both
-thresholds reveal it and are removed wherever they stand.
-
-Corpus counts never need a broadcast that grows: terms in question are first sifted by
-a bit table of fixed size, whose false hits an exact join removes.
+numbers.  A term is a word outside them; it co-occurs with an entity when both stand in
+one document.  With document counts over the whole corpus, a term's disclosure is
+P(entity | term) and its information log2(P(entity | term) / P(entity)).  Terms that
+co-occur with an entity in at least ``SUPPORT`` documents and exceed both thresholds
+reveal it and are removed wherever they stand outside an entity.
+
+Corpus counts never need a broadcast that grows: entities and terms are first sifted by
+tables of fixed size, which only let too much through; exact joins remove the rest.  A
+pair is not counted only where its term is in too many documents, or its entity in too
+few, for the disclosure to be reached, whatever their common count.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import functions as F
 from .common import U64, column, raw, slices, word_hashes, words, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
-REACH, SUPPORT = 8, 2
+SUPPORT = 2
 #: Thresholds: P(entity | term) and bits of information about the entity.
 DISCLOSURE, BITS = 0.5, 4.0
 _SIFT = 1 << 22
+#: Most counts that a task holds before it sends them.
+_HELD = 1 << 20
 
 _LOCAL = re.compile(rb"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -99,43 +103,92 @@ def _texts(part: pa.RecordBatch) -> Iterator[tuple[int, bytes, list[tuple[int, i
             yield int(k), text, spans
 
 
-def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, hash and text number of each term: words without digits and @, outer punctuation dropped."""
+def _terms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, list[int]]]]:
+    """Start, end, hash and text number of each term, and the entities of each text that has some.
+
+    Terms are words without their outer punctuation that do not touch a base span.
+    """
+    buf, offs = raw(column(part, "text"))
+    edge = np.zeros(len(buf) + 1, np.int64)
+    entities = []
+    for k, text, spans in _texts(part):
+        for s, _, e in spans:
+            edge[offs[k] + s] += 1
+            edge[offs[k] + e] -= 1
+        entities.append((k, sorted({_key(KINDS[kind].encode() + b":" + text[s:e].lower()) for s, kind, e in spans})))
+    inside = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
     starts, ends, first = words(buf, offs)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    bad = np.concatenate(([0], np.cumsum(_DIGITS[buf] | (buf == 64))))
     for _ in range(3):
         starts = starts + ((starts < ends) & _PUNCT[buf[np.minimum(starts, len(buf) - 1)]])
         ends = ends - ((starts < ends) & _PUNCT[buf[np.maximum(ends - 1, 0)]])
-    ok = (ends - starts >= 3) & (bad[ends] == bad[starts])
+    ok = (ends > starts) & (inside[ends] == inside[starts])
     starts, ends, text = starts[ok], ends[ok], text[ok]
-    return starts, ends, word_hashes(buf, starts, ends, lower=True), text
+    return starts, ends, word_hashes(buf, starts, ends, lower=True).view(np.int64), text, entities
 
 
 def _key(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entity, term) once per document; term null once per entity and document."""
+class _Tally:
+    """Counts by key, merged over a task's slices before they travel."""
+
+    def __init__(self, *names: str):
+        self.names = names
+        self.parts: list[list[np.ndarray]] = []
+        self.rows, self.merged = 0, 0
+
+    def add(self, *keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append([*keys, np.ones(len(keys[0]), np.int64)])
+        self.rows += len(keys[0])
+        if self.rows > 2 * self.merged + _HELD // 4:
+            self._merge()
+            if self.merged > _HELD:
+                yield from self.out()
+
+    def _merge(self) -> None:
+        *keys, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort(keys)
+        keys, n = [k[order] for k in keys], n[order]
+        first = np.flatnonzero(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0)))) if len(n) else np.zeros(0, np.int64)
+        self.parts = [[*(k[first] for k in keys), np.add.reduceat(n, first) if len(n) else n]]
+        self.rows = self.merged = len(first)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._merge()
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in self.parts[0]], names=[*self.names, "n"])
+        self.parts, self.rows, self.merged = [], 0, 0
+
+
+def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each entity."""
+    tally = _Tally("entity")
     for part in slices(batches, "text"):
-        entity: list[int] = []
-        term: list[int | None] = []
+        found: list[int] = []
         for _, text, spans in _texts(part):
-            buf = np.frombuffer(text, np.uint8)
-            starts, ends, h, _ = _terms(buf, np.asarray([0, len(buf)]))
-            h = h.view(np.int64)
-            pairs: set[tuple[int, int | None]] = set()
-            for s, kind, e in spans:
-                who = _key(KINDS[kind].encode() + b":" + text[s:e].lower())
-                left, right = np.searchsorted(ends, s, "right"), np.searchsorted(starts, e, "left")
-                pairs.add((who, None))
-                pairs.update((who, t) for t in h[max(0, left - REACH) : left].tolist())
-                pairs.update((who, t) for t in h[right : right + REACH].tolist())
-            for w, t in pairs:
-                entity.append(w)
-                term.append(t)
-        yield pa.RecordBatch.from_arrays([pa.array(entity, pa.int64()), pa.array(term, pa.int64())], names=["entity", "term"])
+            found.extend({_key(KINDS[kind].encode() + b":" + text[s:e].lower()) for s, kind, e in spans})
+        yield from tally.add(np.asarray(found, np.int64))
+    yield from tally.out()
+
+
+def _distinct(h: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Each hash once per text."""
+    order = np.lexsort((text, h))
+    h, text = h[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return h[new]
+
+
+def _levels(counts: DataFrame, key: str, level: str, over: str) -> np.ndarray:
+    """For each place of a table of fixed size the least or greatest (``over``) of 1 + ``level`` of the keys there, 0 without any."""
+    held = counts.selectExpr(f"pmod({key}, {_SIFT}) AS p", f"1 + cast({level} AS bigint) AS v").groupBy("p").agg(F.expr(f"{over}(v)").alias("v"))
+    got = held.selectExpr("p div 8 AS w", "shiftleft(v, cast(8 * (p % 8) AS int)) AS b").groupBy("w").agg(F.sum("b").alias("b")).toArrow()  # at most _SIFT / 8 rows
+    out = np.zeros(_SIFT // 8, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out.view(np.uint8)
 
 
 def _sift_of(terms: DataFrame) -> np.ndarray:
@@ -152,40 +205,56 @@ def _sift_of(terms: DataFrame) -> np.ndarray:
 def disclosing_terms(rows: DataFrame) -> DataFrame:
     """``term`` (a hash) of every term whose disclosure exceeds the thresholds, from counts over all of ``rows``."""
     spark = rows.sparkSession
-    seen = written(rows.mapInArrow(_contexts, "entity long, term long").groupBy("entity", "term").agg(F.count("*").alias("n")), "contexts")
-    entities = seen.filter("term IS NULL").select("entity", F.col("n").alias("n_entity"))
-    pairs = seen.filter(F.col("term").isNotNull() & (F.col("n") >= SUPPORT))
-    sift = spark.sparkContext.broadcast(_sift_of(pairs))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, counts = [], []  # merged over the task's slices before they travel
+    total = rows.count()
+    # P(entity | term) is at most 1, so an entity of more documents cannot give BITS
+    entities = rows.mapInArrow(_entities, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    entities = written(entities.filter((F.col("n_entity") >= SUPPORT) & (F.col("n_entity") * 2.0**BITS <= total)), "entities")
+    most = entities.agg(F.max("n_entity")).first()[0] or 0
+    known = spark.sparkContext.broadcast(_levels(entities, "entity", "ceil(log2(n_entity))", "max"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally("term")
+        for part in slices(batches, "text"):
+            _, _, h, text, found = _terms(part)
+            has = np.zeros(part.num_rows, bool)
+            has[[k for k, keys in found if known.value[np.asarray(keys) % _SIFT].any()]] = True
+            yield from tally.add(_distinct(h[has[text]], text[has[text]]) % _SIFT)
+        yield from tally.out()
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            term, at = np.unique(np.concatenate(terms), return_inverse=True)
-            return term, np.bincount(at, np.concatenate(counts)).astype(np.int64)
+    # places of terms that stand in SUPPORT documents with such an entity
+    places = rows.mapInArrow(near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
+    sift = spark.sparkContext.broadcast(_sift_of(places))
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally("term")
         for part in slices(batches, "text"):
-            buf, offs = raw(column(part, "text"))
-            if not len(buf):
-                continue
-            _, _, h, text = _terms(buf, offs)
-            hit = sift.value[(h.view(np.int64) % _SIFT)]
-            h, text = h[hit], text[hit]
-            order = np.lexsort((text, h))
-            h, text = h[order], text[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
-            term, n = np.unique(h[new], return_counts=True)
-            terms.append(term)
-            counts.append(n)
-            if len(terms) >= 8:
-                terms, counts = ([x] for x in merged())
-        if terms:
-            term, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n, pa.int64())], names=["term", "n"])
+            _, _, h, text, _ = _terms(part)
+            hit = sift.value[h % _SIFT]
+            yield from tally.add(_distinct(h[hit], text[hit]))
+        yield from tally.out()
 
     everywhere = rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = rows.count()
+    everywhere = written(everywhere.filter((F.col("n_term") >= SUPPORT) & (F.col("n_term") * DISCLOSURE <= most)), "term-counts")
+    rare = spark.sparkContext.broadcast(_levels(everywhere, "term", "floor(log2(n_term))", "min"))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally("entity", "term")
+        for part in slices(batches, "text"):
+            _, _, h, text, found = _terms(part)
+            for k, keys in found:
+                who = np.asarray(keys, np.int64)
+                reach = known.value[who % _SIFT].astype(float)
+                if not reach.any():
+                    continue
+                terms = np.unique(h[np.searchsorted(text, k) : np.searchsorted(text, k, "right")])
+                spread = rare.value[terms % _SIFT].astype(float)
+                terms, spread = terms[spread > 0], spread[spread > 0]
+                for w, r in zip(who[reach > 0], reach[reach > 0], strict=True):
+                    held = terms[spread + np.log2(DISCLOSURE) <= r]
+                    yield from tally.add(np.full(len(held), w), held)
+        yield from tally.out()
+
+    pairs = rows.mapInArrow(contexts, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
     share = F.col("n") / F.col("n_term")
     found = pairs.join(everywhere, "term").join(entities, "entity").filter((share >= DISCLOSURE) & (F.log2(share * F.lit(float(total)) / F.col("n_entity")) >= BITS))
     return written(found.select("term").distinct(), "terms")
@@ -196,7 +265,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Offsets are code points, ends exclusive; ``spans`` lists base and term spans by start,
     then kind.  Null text: empty.  Repeated rows each give their row; null ids stay null.
-    Text is scanned three times and never shuffled.  Other columns are never read.
+    Text is scanned seven times and never shuffled.  Other columns are never read.
     """
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
@@ -208,13 +277,13 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             buf, offs = raw(column(part, "text"))
             if not len(buf):
                 continue
-            starts, ends, h, text = _terms(buf, offs)
-            hit = sift.value[(h.view(np.int64) % _SIFT)]
+            starts, ends, h, text, _ = _terms(part)
+            hit = sift.value[h % _SIFT]
             starts, ends, h, text = starts[hit], ends[hit], h[hit], text[hit]
             points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
             zero = points[offs[:-1]][text]
             yield pa.RecordBatch.from_arrays(
-                [column(part, "doc_id").take(pa.array(text)), column(part, "mark").take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(points[starts] - zero), pa.array(points[ends] - zero)],
+                [column(part, "doc_id").take(pa.array(text)), column(part, "mark").take(pa.array(text)), pa.array(h), pa.array(points[starts] - zero), pa.array(points[ends] - zero)],
                 names=["doc_id", "mark", "term", "s", "e"],
             )
 

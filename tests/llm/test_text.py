@@ -164,6 +164,39 @@ def test_personal_data(spark, docs, doc_rows, no_docs):
     assert pii.find_personal_data(no_docs).count() == 0
 
 
+def test_terms_of_the_whole_document_disclose(spark):
+    """Names far from the address, account numbers beside it and short words are weighed; digits of entities are not terms."""
+    far = " ".join(f"w{k % 5}" for k in range(40))
+    rows = [(k, f"Vandermolen {far} kim@a.example.com jdoe42 @kim_v qz") for k in range(2)] + [(k, f"plain {far} 77") for k in range(2, 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(frame).collect()}
+    text = rows[0][1]
+    at = [(text.index(w), "email" if "." in w else "term", len(w)) for w in ("Vandermolen", "kim@a.example.com", "jdoe42", "kim_v", "qz")]
+    assert found[0] == found[1] == ",".join(f"{kind}:{s}:{s + n}" for s, kind, n in sorted(at)) and not any(found[k] for k in range(2, 60))
+
+
+def test_disclosing_terms_follow_the_definition(spark, monkeypatch):
+    """Against brute force over random documents, with counts sent early."""
+    import math
+    import random
+    from itertools import product
+
+    monkeypatch.setattr(pii, "_HELD", 8)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice([f"t{rng.randint(0, 120)}", f"a{rng.randint(0, 30)}@b.example.com"]) if rng.random() < 0.4 else f"c{rng.randint(0, 9)}" for _ in range(rng.randint(1, 14))) for _ in range(150)]
+    docs = [(set(w for w in t.split() if "@" not in w), set(w for w in t.split() if "@" in w)) for t in texts]
+    count = lambda e, t: sum((e is None or e in es) and (t is None or t in ts) for ts, es in docs)
+    want = set()
+    for e, t in {p for ts, es in docs for p in product(es, ts)}:
+        n, share = count(e, t), count(e, t) / count(None, t)
+        if n >= pii.SUPPORT and share >= pii.DISCLOSURE and math.log2(share * len(docs) / count(e, None)) >= pii.BITS:
+            want.add(t)
+    got = set()
+    for r in pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got |= {texts[r.doc_id][int(s) : int(e)] for kind, s, e in (x.split(":") for x in r.spans.split(",") if x) if kind == "term"}
+    assert got == want and want
+
+
 def test_mixing(docs, doc_rows, no_docs):
     got = mixing.draw(docs, []).select("_id", "_size", "_target", "_draws").collect()
     size = {r[0]: len(WORD.findall(r[1] or "")) for r in doc_rows}
