@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bound, jaccard, occurrences, overlap
+from ..functions.text import bound, jaccard, occurrences, overlap, winnow
 
 # Keywords counted for each kind of node, with the letter that stands for it and its rank in a signature.
 NODES = [
@@ -55,5 +55,24 @@ def structural_similarity(kgrams_a: Column, kgrams_b: Column, sig_a: Column, sig
     return 0.5 * jaccard(kgrams_a, kgrams_b) + 0.3 * sequence_similarity(sig_a, sig_b) + 0.2 * overlap(calls_a, calls_b)
 
 
+def structural_prints(files: DataFrame) -> DataFrame:
+    """``path, kgrams, sig, calls`` of texts of more than 200 bytes with at least ten nodes."""
+    nodes = files.filter(F.octet_length("text") > 200).select("path", signature(F.col("text")).alias("sig"), calls(F.col("text")).alias("calls")).filter(F.length("sig") >= 10)
+    return nodes.withColumn("kgrams", winnow(F.concat(F.split("sig", "(?!^)"), F.col("calls"))))
+
+
+def structural_matches(originals: DataFrame, suspects: DataFrame, above: float = 0.5) -> DataFrame:
+    """``original, suspect, similarity`` of files whose structural similarity exceeds ``above`` (0.5 or more).
+
+    Signatures and calls give 0.5 together, so such a pair shares a k-gram, on which it meets.
+    """
+    left = structural_prints(originals).select(F.col("path").alias("original"), *(F.col(c).alias(f"o_{c}") for c in ("kgrams", "sig", "calls")))
+    right = structural_prints(suspects).withColumnRenamed("path", "suspect")
+    meet = left.select("original", F.explode("o_kgrams").alias("h")).join(right.select("suspect", F.explode("kgrams").alias("h")), "h").select("original", "suspect").distinct()
+    pairs = meet.join(left, "original").join(right, "suspect")
+    score = structural_similarity(F.col("o_kgrams"), F.col("kgrams"), F.col("o_sig"), F.col("sig"), F.col("o_calls"), F.col("calls"))
+    return pairs.select("original", "suspect", score.alias("similarity")).filter(F.col("similarity") > above).withColumn("similarity", F.round("similarity", 6))
+
+
 def likeness(score: Column) -> Column:
     return F.when(score >= 0.9, "Identical").when(score >= 0.7, "Derived").when(score >= 0.5, "Similar").when(score >= 0.3, "Weak").otherwise("None")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillscan.operators import headers, structure
+from quillscan.operators import code, headers, structure
 from quillscan.plans.comparison import compare
 
 
@@ -30,3 +30,22 @@ def test_comparison(spark):
     suspects = spark.createDataFrame([(1, "s1", body), (2, "s2", "other text entirely"), (3, "s3", "unrelated")], "ord long, path string, text string")
     got = {(r.original, r.suspect): (r.kind, r.stripped_header) for r in compare(originals, suspects).collect()}
     assert got == {("o1", "s1"): ("near", True), ("o2", "s2"): ("exact", False)}
+
+
+def test_short_and_lightly_edited_texts_match(spark):
+    schema = "ord long, path string, text string"
+    long = [f"w{k}" for k in range(60)]
+    split = [w for k, w in enumerate(long) if k not in (10, 11)]
+    part = "\n".join(["def {}(a):", "    x = 'a long enough line of the body'", "    y = 'and another one of them'", "    z = 3", "    print(x, y, z)"])
+    references = [(1, "short", "Equal  FORM"), (2, "long", " ".join(long)), (3, "code", "fn a() {\n  if x { return 1 }\n}"), (4, "five", "a b c d e f g"), (5, "chunks", "\n".join(part.format(f"f{k}") for k in range(10)))]
+    suspects = [(1, "s-short", "equal form // c"), (2, "s-long", " ".join(split)), (3, "s-code", "fn q() {\n  if yy { return 7 }\n}"), (4, "s-five", "a b c d e f g h"), (5, "s-none", "nothing"), (6, "s-chunks", "\n".join(part.format(f"f{k}") for k in (1, 0, *range(2, 10))))]
+    got = {(r.suspect, r.reference): r.similarity for r in code.matches(*(code.fingerprint(spark.createDataFrame(x, schema)) for x in (suspects, references))).collect()}
+    assert set(got) == {("s-short", "short"), ("s-long", "long"), ("s-code", "code"), ("s-five", "five"), ("s-chunks", "chunks")}
+    assert (got["s-short", "short"], got["s-code", "code"], got["s-five", "five"]) == (1.0, 0.95, round(5 / 6, 6))
+
+
+def test_comparison_reports_structure(spark):
+    body = "function {0}({1}) {{ if ({1}) {{ return new Api.Thing({1}); }} else {{ for (;;) {{ while (true) {{ throw {1}; }} }} }} switch ({1}) {{ case 1: return 2; case 3: return 4; }} try {{ x }} catch (e) {{ Api.call({1}) }} }}"
+    frame = lambda path, *names: spark.createDataFrame([(1, path, body.format(*names) + " " * 60)], "ord long, path string, text string")
+    got = compare(frame("o", "first", "alpha"), frame("s", "other", "beta")).collect()
+    assert [(r.original, r.suspect, r.kind, r.similarity) for r in got] == [("o", "s", "structural", 1.0)]
