@@ -216,12 +216,14 @@ def code_fingerprints(spark, sf_dir):
     return prints.select("ord", "normal_hash", F.size("winnow").alias("fingerprints"), F.size("grams").alias("trigrams"), "loc")
 
 
+def _benchmark_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("ord"), F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), "text")
+
+
 @query()
 def snippet_matches(spark, sf_dir):
-    """Benchmark passages against each other and near copies of themselves, by winnowed fingerprints."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("ord"), F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), "text")
-    prints = code.fingerprint(bench)
-    return code.matches(prints, prints)
+    """Documents that are alike to a benchmark passage."""
+    return code.matches(code.fingerprint(_files(spark, sf_dir)), code.fingerprint(_benchmark_files(spark, sf_dir)))
 
 
 @query()
@@ -259,9 +261,8 @@ def header_findings(spark, sf_dir):
 
 @query()
 def file_set_comparison(spark, sf_dir):
-    """Benchmark passages against themselves: every one is an exact copy of itself."""
-    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("ord"), F.concat(F.lit("benchmark/"), F.col("item_id").cast("string")).alias("path"), "text")
-    return compare(bench, bench)
+    """Documents that repeat a benchmark passage."""
+    return compare(_benchmark_files(spark, sf_dir), _files(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- data rights

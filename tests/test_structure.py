@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillscan import catalog
 from quillscan.operators import code, headers, structure
 from quillscan.plans.comparison import compare
 
@@ -49,3 +50,13 @@ def test_comparison_reports_structure(spark):
     frame = lambda path, *names: spark.createDataFrame([(1, path, body.format(*names) + " " * 60)], "ord long, path string, text string")
     got = compare(frame("o", "first", "alpha"), frame("s", "other", "beta")).collect()
     assert [(r.original, r.suspect, r.kind, r.similarity) for r in got] == [("o", "s", "structural", 1.0)]
+
+
+def test_code_queries_search_documents(spark, tmp_path):
+    passage = " ".join(f"word{k}" for k in range(40))
+    spark.createDataFrame([(1, passage + " end"), (2, passage), (3, "else")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    near = catalog.snippet_matches(spark, str(tmp_path)).collect()
+    assert sorted((r.suspect, r.reference) for r in near) == [("documents/1.txt", "benchmark/7"), ("documents/2.txt", "benchmark/7")]
+    both = catalog.file_set_comparison(spark, str(tmp_path)).collect()
+    assert sorted((r.suspect, r.kind) for r in both) == [("documents/1.txt", "near"), ("documents/2.txt", "exact")]
