@@ -1,11 +1,11 @@
-"""Copyleft contamination along dependency edges, as a recursive query."""
+"""Copyleft contamination along dependency edges, by breadth-first rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.license import family
+from ..functions.license import family, is_copyleft
 
 
 def propagates(fam: Column, linking: Column) -> Column:
@@ -19,25 +19,41 @@ def propagates(fam: Column, linking: Column) -> Column:
     )
 
 
+def crosses(fam: Column, linking: Column) -> Column:
+    """Whether a licence family passes to a dependent that is linked so; unknown linking passes."""
+    how = F.coalesce(linking, F.lit("Unknown"))
+    tools = ["BuildTool", "ProcMacro"]
+    return (
+        F.when(fam == "NetworkCopyleft", ~how.isin(tools))
+        .when(fam == "StrongCopyleft", ~how.isin([*tools, "IpcNetwork"]))
+        .when(fam == "WeakCopyleft", ~how.isin([*tools, "IpcNetwork", "Dynamic", "HeaderOnly"]))
+        .otherwise(F.lit(False))
+    )
+
+
 def contaminated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``package, source, family, depth``: least depth at which a copyleft source reaches a package.
 
     ``nodes``: ``name, licence, linking``; ``edges``: ``src`` depends on ``dst``.  A source
-    whose licence does not cross its own linking reaches nobody.  The recursion keeps
-    distinct (package, source, depth) rows; depth is bounded by the longest chain asked for.
+    whose licence does not cross its own linking reaches nobody, and it does not pass to a
+    dependent whose linking it does not cross.  Copyleft packages pass it on but are not
+    reported.  Each round goes one edge on from the (package, source) rows that the last one
+    found first, until there are none: depth has no bound and no path is walked twice.
     """
-    spark = nodes.sparkSession
-    marked = nodes.withColumn("family", family(F.col("licence"))).withColumn("reach", propagates(F.col("family"), F.col("linking")))
-    marked.createOrReplaceTempView("_nodes")
-    edges.createOrReplaceTempView("_edges")
-    walk = spark.sql(
-        """
-        WITH RECURSIVE walk(package, source, family, depth) AS (
-          SELECT e.src, n.name, n.family, 1 FROM _edges e JOIN _nodes n ON e.dst = n.name WHERE n.reach > 0
-          UNION ALL
-          SELECT e.src, w.source, w.family, w.depth + 1 FROM walk w JOIN _edges e ON e.dst = w.package WHERE w.depth < 32
-        )
-        SELECT package, source, family, min(depth) AS depth FROM walk WHERE package <> source GROUP BY package, source, family
-        """
-    )
-    return walk
+    from ..llm.common import written
+
+    marked = nodes.withColumn("family", family(F.col("licence")))
+    known = marked.select(F.col("name").alias("package"), "linking", F.coalesce(is_copyleft(F.col("family")), F.lit(False)).alias("own"))
+    keys = ["package", "source", "family"]
+    sources = marked.filter(propagates(F.col("family"), F.col("linking")) > 0).select(F.col("name").alias("package"), F.col("name").alias("source"), "family", F.lit(True).alias("own"), F.lit(0).alias("depth"))
+    seen = front = written(sources.dropDuplicates(keys), "contamination")
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        reached = front.select(F.col("package").alias("dst"), "source", "family").join(edges, "dst").select(F.col("src").alias("package"), "source", "family").distinct()
+        passed = reached.join(known, "package").filter(crosses(F.col("family"), F.col("linking"))).drop("linking").dropDuplicates(keys)
+        front = written(passed.join(seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)).select(*keys, "own", "depth"), "contamination")
+        seen = seen.unionByName(front)
+        if depth % 16 == 0:  # keeps the plan short
+            seen = written(seen, "contamination")
+    return seen.filter(~F.col("own") & (F.col("package") != F.col("source"))).select(*keys, "depth")

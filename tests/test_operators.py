@@ -80,6 +80,15 @@ def test_contamination(spark):
     assert [tuple(r) for r in contamination.contaminated(nodes, edges).collect()] == [("my-app", "lib-a", "StrongCopyleft", 1)]
 
 
+def test_contamination_has_no_depth_bound_and_stops_at_boundaries(spark):
+    names = [f"p{k}" for k in range(36)]
+    rows = [("p0", "GPL-3.0-only", "Static"), *((n, "MIT", "Static") for n in names[1:]), ("ipc", "MIT", "IpcNetwork"), ("behind", "MIT", "Static"), ("gpl", "GPL-2.0-only", "Dynamic"), ("above", "MIT", "Static")]
+    nodes = spark.createDataFrame(rows, "name string, licence string, linking string")
+    edges = spark.createDataFrame([*zip(names[1:], names), ("p1", "p3"), ("ipc", "p0"), ("behind", "ipc"), ("gpl", "p0"), ("above", "gpl")], "src string, dst string")
+    got = {(r.package, r.source): r.depth for r in contamination.contaminated(nodes, edges).collect() if r.source == "p0"}
+    assert got == {(n, "p0"): k for k, n in enumerate(names) if k} | {("above", "p0"): 2}
+
+
 def test_code(spark):
     rows = spark.createDataFrame([(1, "a", "x = 1 // c\n/* d */ Y('//s')\n"), (2, "b", "X =   1 y('//s')")], "ord long, path string, text string")
     got = code.fingerprint(rows).collect()
