@@ -24,9 +24,11 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all machines see: ``spark.checkpoint.dir``, or an own one only where it is unset."""
+    """Folder all machines see: ``spark.checkpoint.dir``; an own one only where it is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = "file://" + tempfile.mkdtemp(prefix="quillscan-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
