@@ -5,10 +5,12 @@ greedily into the longest phrases that occur in that training text (Ziv and Merh
 cross parsing); the fewer phrases per symbol, the closer the text.  The language with
 the fewest normalised phrases wins.
 
-The automaton is completed: a missing transition starts a new phrase at the root.  So
-parsing is one table look-up per symbol, done for many blocks of text and all
-languages at once.  Blocks of ``BLOCK`` symbols are parsed on their own, which adds at
-most one phrase a block for every language alike.
+The automata's rows lie displaced in one table, each in the gaps of others, so memory
+follows the training text, not the alphabet.  A missing transition starts a new phrase at the
+root.  Many blocks of text are parsed at once, one symbol a step, by all languages; a
+block is first parsed as if a phrase began with it and then again from the state that
+the block before it ends in, until both parses start a phrase at the same place.  So
+the result is the parse of the whole text.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import column, raw, slices
 
-#: The bounded training sample: characters per language, per document, and documents looked at per language.
-TRAIN_CHARS, TRAIN_DOC_CHARS, TRAIN_DOCS = 24_000, 1_500, 64
+#: The bounded training sample: rows per language, each of at most so many bytes of text; a row is used whole.
+TRAIN_DOCS, TRAIN_DOC_BYTES = 24, 8_000
 BLOCK = 256
 UNKNOWN = "und"
 
@@ -62,8 +64,8 @@ def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return code[keep], count[at], np.diff(letters) > 0
 
 
-def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
-    """Completed transition table of the suffix automaton: 2 * target + (1 if a new phrase begins there)."""
+def suffix_automaton(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -89,65 +91,133 @@ def suffix_automaton(text: np.ndarray, alphabet: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    root = np.ones(alphabet, np.int32)  # an unseen symbol is a phrase of its own
-    for c, s in nxt[0].items():
-        root[c] = 2 * s + 1
-    table = np.tile(root, (len(nxt), 1))
-    for s, out in enumerate(nxt):
-        for c, t in out.items():
-            table[s, c] = 2 * t
-    table[0] = root
-    return table
+    return nxt
+
+
+def displaced(rows: list[dict[int, int]], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """``base`` of each row, and one table: entry ``base[s] + c`` holds ``s`` (upper half) and its target by ``c``.
+
+    Row 0 (the root) gets no entries.  Rows are placed by trial, large ones first, in a
+    table at most half full; rows of one entry then fill gaps.
+    """
+    size = 1 << int(2 * sum(map(len, rows)) + 2 * alphabet).bit_length()
+    base = np.zeros(len(rows), np.int64)
+    table = np.full(size, -1 << 32, np.int64)
+    used = bytearray(size)
+    used[: 2 * alphabet] = b"\x01" * (2 * alphabet)
+    many = sorted((s for s in range(1, len(rows)) if len(rows[s]) > 1), key=lambda s: -len(rows[s]))
+    trial = np.random.default_rng(0)
+    tries = iter(())
+    for s in many:
+        row = rows[s]
+        while True:
+            at = next(tries, None)
+            if at is None:
+                tries = iter(trial.integers(alphabet, size - alphabet, 1 << 14).tolist())
+            elif not any(used[at + c] for c in row):
+                break
+        base[s] = at
+        for c, t in row.items():
+            used[at + c] = 1
+            table[at + c] = s << 32 | t
+    one = [(s, *next(iter(rows[s].items()))) for s in range(1, len(rows)) if len(rows[s]) == 1]
+    if one:
+        state, symbol, target = np.asarray(one, np.int64).T
+        gap = np.flatnonzero(np.frombuffer(used, np.uint8) == 0)[: len(one)]
+        base[state] = gap - symbol
+        table[gap] = state << 32 | target
+    return base, table
 
 
 class Model:
     """Automata of all languages over a common alphabet."""
 
-    def __init__(self, samples: dict[str, list[str]], chars: int = TRAIN_CHARS):
+    def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         parts = []
         for lang in self.langs:
-            text = "\n".join(samples[lang])[:chars]
-            buf = np.frombuffer(text.encode(), np.uint8)
+            buf = np.frombuffer("\n".join(samples[lang]).encode(), np.uint8)
             parts.append(symbols(buf, np.asarray([0, len(buf)]))[0])
         self.known = np.unique(np.concatenate([*parts, np.zeros(1, np.uint32)]))
         self.alphabet = len(self.known) + 1  # the last one stands for every other letter
-        tables = [suffix_automaton(np.searchsorted(self.known, p), self.alphabet) for p in parts]
         self.weight = np.asarray([np.log2(max(2, len(p))) for p in parts])
-        base = np.cumsum([0, *(t.shape[0] for t in tables)])
-        for t, b in zip(tables, base, strict=False):  # targets get their place in the common table
-            t += 2 * b
-        self.base = base[:-1].astype(np.int32)
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
+        self.root = np.zeros((len(self.langs), self.alphabet), np.int64)  # 0: a phrase of its own
+        rows: list[dict[int, int]] = [{}]  # state 0 is every language's root
+        for k, p in enumerate(parts):
+            first, *rest = suffix_automaton(np.searchsorted(self.known, p))
+            shift = len(rows) - 1
+            for c, t in first.items():
+                self.root[k, c] = t + shift
+            rows += [{c: t + shift for c, t in row.items()} for row in rest]
+        self.base, self.table = displaced(rows, self.alphabet)
+
+    def _step(self, lang: int, state: np.ndarray, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase begins."""
+        got = self.table.take(self.base.take(state) + sym)
+        begins = (got >> 32) != state
+        begins |= state == 0
+        return np.where(begins, self.root[lang].take(sym), got & 0xFFFFFFFF), begins
 
     def phrases(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Phrases of each text (rows) by each language (columns), symbols of each text, and which have a letter."""
         code, at, letters = symbols(buf, offs)
         place = np.searchsorted(self.known, code)
         place[place == len(self.known)] = 0
-        sym = np.where(self.known[place] == code, place, self.alphabet - 1).astype(np.int32)
+        sym = np.where(self.known[place] == code, place, self.alphabet - 1).astype(np.int64)
         size = np.diff(at)
         blocks = -(-size // BLOCK)
         text = np.repeat(np.arange(len(size)), blocks)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = at[:-1][text] + nth * BLOCK
         length = np.minimum(BLOCK, at[1:][text] - begin)
+        out = np.zeros((len(size), len(self.langs)))
+        for k in range(len(self.langs)):  # a language at a time bounds memory by the slice
+            starts = np.zeros(len(sym), bool)  # where phrases begin
+            end = self._parse(k, sym, begin, length, np.zeros(len(begin), np.int64), starts, None)
+            due = np.flatnonzero(nth > 0)
+            given = np.zeros(len(begin), np.int64)  # the states that blocks were parsed from
+            while len(due):  # blocks whose predecessor ends in another state than assumed
+                due = due[end[due - 1] != given[due]]
+                given[due] = end[due - 1]
+                before = end[due].copy()
+                end[due] = self._parse(k, sym, begin[due], length[due], given[due], starts, before)
+                due = due[end[due] != before] + 1
+                due = due[due < len(begin)]
+                due = due[nth[due] > 0]
+            count = np.concatenate(([0], np.cumsum(starts)))
+            out[:, k] = np.diff(count[at])
+        return out, size, letters
+
+    def _parse(self, lang: int, sym: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, starts: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+        """Parse blocks from the given states; mark phrase starts; give the end states.
+
+        With ``known`` end states of an earlier parse that is marked in ``starts``, a
+        block ends where both parses begin a phrase at one place.
+        """
         order = np.argsort(-length, kind="stable")
-        begin, length, text = begin[order], length[order], text[order]
-        active = np.searchsorted(-length, -np.arange(BLOCK), "left")  # blocks longer than each step
-        state = np.repeat(self.base[:, None], len(begin), axis=1)
-        count = np.zeros((len(self.langs), len(begin)), np.int32)
+        begin, length, state = begin[order], length[order], state[order]
+        end = np.zeros(len(order), np.int64) if known is None else known[order]
+        lane = np.arange(len(order))
         for step in range(BLOCK):
-            m = int(active[step])
-            if not m:
+            live = int(np.searchsorted(-length, -step, "left"))  # blocks longer than the step come first
+            if live < len(lane):
+                end[lane[live:]] = state[live:]
+                lane, state, begin, length = lane[:live], state[:live], begin[:live], length[:live]
+            if not live:
                 break
-            got = self.table.take(state[:, :m] * self.alphabet + sym.take(begin[:m] + step))
-            count[:, :m] += got & 1
-            state[:, :m] = got >> 1
-        out = np.zeros((len(size), len(self.langs)))
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(text, count[k], len(size))
-        return out, size, letters
+            here = begin + step
+            state, new = self._step(lang, state, sym.take(here))
+            if known is not None:
+                apart = ~(new & starts[here])
+                starts[here] = new
+                if not apart.all():
+                    lane, state, begin, length = lane[apart], state[apart], begin[apart], length[apart]
+            else:
+                starts[here] = new
+        end[lane] = state
+        out = np.empty_like(end)
+        out[order] = end
+        return out
 
     def predict(self, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(offs) - 1
@@ -168,32 +238,36 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded hash sample of the labelled rows that are not held out.
 
-    Per language about ``TRAIN_DOCS`` documents are looked at and at most
-    ``TRAIN_CHARS`` characters used, at most ``TRAIN_DOC_CHARS`` of one document, so what
-    comes to the driver is bounded per language.  Rows with a null id, text or label do
-    not train; ids, sources and labels are never seen by the model but as the class.
+    Per language about ``TRAIN_DOCS`` rows are used, whole, out of those of at most
+    ``TRAIN_DOC_BYTES`` bytes; a language that has only longer texts trains on its
+    shortest one.  So what comes to the driver is bounded per language.  Rows with a
+    null id, text or label do not train; ids, sources and labels are never seen by the
+    model but as the class.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    rows = rows.filter(~held_out(F.col("id")))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    rows = rows.filter(~held_out(F.col("id"))).withColumns({"size": F.octet_length("text"), "h": F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000_007))})
+    least = F.min(F.when(F.col("size") > TRAIN_DOC_BYTES, F.struct("size", "h"))).alias("least")
+    sizes = rows.groupBy("lang").agg(F.count_if(F.col("size") <= TRAIN_DOC_BYTES).alias("n"), least).collect()  # a row per language
     if not sizes:
         return Model({})
-    order = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000_007))
-    share = docs.sparkSession.createDataFrame([(k, int(1_000_000_007 * min(1.0, TRAIN_DOCS / n))) for k, n in sizes.items()], "lang string, below long")
-    picked = rows.withColumn("h", order).join(F.broadcast(share), "lang").filter("h <= below").select("lang", "h", F.substring("text", 1, TRAIN_DOC_CHARS).alias("text"))
+    share = [(r.lang, int(1_000_000_007 * min(1.0, TRAIN_DOCS / r.n)), TRAIN_DOC_BYTES, None) if r.n else (r.lang, 1_000_000_007, r.least["size"], r.least["h"]) for r in sizes]
+    bounds = docs.sparkSession.createDataFrame(share, "lang string, below long, most long, only long")
+    picked = rows.join(F.broadcast(bounds), "lang").filter("h <= below AND size <= most AND coalesce(h = only, true)").select("lang", "h", "text")
     samples: dict[str, list[tuple]] = {}
     for r in picked.collect():
         samples.setdefault(r.lang, []).append((r.h, r.text))
-    return Model({k: [t for _, t in sorted(v)] for k, v in samples.items()})
+    return Model({k: [t for _, t in sorted(v)][: 2 * TRAIN_DOCS] for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """``docs`` with the predicted language and a score from 0 to 1 (the lead over the runner-up).
 
     Every text is parsed whole.  Null texts and texts without a letter are ``und`` with
-    score 0.  ``pred_col`` and ``score_col`` must be new names; all other columns pass
-    through, whatever they are called.  Ties go to the first language by name.
+    score 0.  A name in ``pred_col`` or ``score_col`` that ``docs`` has already is an error; all
+    other columns pass through, whatever they are called.  Ties go to the first language by name.
     """
+    if taken := {pred_col, score_col} & set(docs.columns):
+        raise ValueError(f"columns exist already: {sorted(taken)}")
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
