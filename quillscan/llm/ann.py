@@ -22,6 +22,8 @@ from .common import written
 
 #: Rows the tree is fitted on, queries it is calibrated on, recall to reach there.
 SAMPLE_ROWS, CALIBRATION, RECALL = 20_000, 200, 0.96
+#: Most components of the sample, whatever the vectors' length.
+SAMPLE_VALUES = 4_000_000
 BRANCH, LEAF_ROWS = 8, 600
 #: Most vectors and queries of one search cell.
 CELL_ROWS, CELL_QUERIES = 2_000, 4_000
@@ -121,7 +123,9 @@ def _search_cell(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     rough = np.where(qids[:, None] == ids[None, :], -np.inf, q @ x.T)
     n = len(ids)
     least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(qids), -np.inf)
-    row, col = np.nonzero((rough >= (least - 1e-9)[:, None]) & np.isfinite(rough))
+    # rounding of both products, relative to the lengths of both vectors
+    slack = 1e-13 * x.shape[1] * np.sqrt(np.einsum("ij,ij->i", q, q)) * np.sqrt(np.einsum("ij,ij->i", x, x).max())
+    row, col = np.nonzero((rough >= (least - slack)[:, None]) & (qids[:, None] != ids[None, :]))
     score = np.add.reduce(x[col] * q[row], axis=1)
     order = np.lexsort((ids[col], -score, row))
     row, col, score = row[order], col[order], score[order]
@@ -137,23 +141,34 @@ def nearest(rows: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_
 
     ``query`` is a condition on the column ``_id``.  Scores are computed in double
     precision on the original vectors; ties go to the smaller id; a row is no candidate
-    of queries with its own id.  Rows with a null id and null, empty, zero or non-finite
-    vectors take no part, nor do vectors of another length than most have.  Large leaves
-    are cut into cells of bounded size, so a leaf that holds a third of all rows is many
-    tasks.  A query goes on to further leaves until they hold ``k`` rows of other ids, so it
-    gets fewer than ``k`` only where there are fewer.  Other columns are never read; an empty table gives an empty result.
+    of queries with its own id, and rows of one id ask once with each of their vectors.
+    Rows with a null id and null, empty, zero or non-finite vectors take no part.
+    Vectors are searched among those of their own length, each length by a tree of its
+    own.  Large leaves are cut into cells of bounded size, so a leaf that holds a third of
+    all rows is many tasks.  A query goes on to further leaves until they hold ``k`` rows
+    of other ids, so it gets fewer than ``k`` only where there are fewer.  Other columns
+    are never read; an empty table gives an empty result.
     """
     spark = rows.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
-    clean = clean_vectors(rows, id_col, vec_col)
-    sizes = clean.groupBy(F.size("_vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return spark.createDataFrame([], result)
-    dims, n = sizes[0]["d"], sizes[0]["count"]
-    clean = written(clean.filter(F.size("_vec") == dims), "vectors")
-    order = F.pmod(F.xxhash64("_id"), F.lit(1_000_000_007))
-    share = int(1_000_000_007 * min(1.0, SAMPLE_ROWS / n))
-    sample = np.asarray([r[0] for r in clean.filter(order <= share).select("_vec").limit(2 * SAMPLE_ROWS).collect()], dtype=np.float64).reshape(-1, dims)
+    clean = clean_vectors(rows, id_col, vec_col).withColumn("_dims", F.size("_vec"))
+    lengths = clean.groupBy("_dims").count().collect()  # a row per length of vector
+    if not lengths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_nearest(clean.filter(F.col("_dims") == r["_dims"]).select("_id", "_vec"), k, query, r["_dims"], r["count"], recall) for r in lengths]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _nearest(clean: DataFrame, k: int, query: Column, dims: int, n: int, recall: float) -> DataFrame:
+    spark = clean.sparkSession
+    clean = written(clean.withColumn("_n", F.monotonically_increasing_id()), "vectors")
+    order = F.pmod(F.xxhash64("_n"), F.lit(1_000_000_007))
+    most = max(1_000, min(SAMPLE_ROWS, SAMPLE_VALUES // dims))
+    share = int(1_000_000_007 * min(1.0, most / n))
+    picked = clean.filter(order <= share).select("_vec").limit(2 * most).toArrow()["_vec"].combine_chunks()
+    sample = picked.flatten().to_numpy().reshape(-1, dims) if len(picked) else np.zeros((0, dims))
     tree = Tree(sample, LEAF_ROWS / n)
     held = spark.sparkContext.broadcast(tree)  # bounded by the sample: at most its centroids
 
@@ -162,8 +177,8 @@ def nearest(rows: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_
             if len(pdf):
                 yield pdf.assign(_leaf=held.value.assign(_stack(pdf["_vec"])))
 
-    leaves = written(clean.mapInPandas(assign, "_id long, _vec array<double>, _leaf long"), "leaves")
-    queries = clean.filter(query).distinct()
+    leaves = written(clean.mapInPandas(assign, "_id long, _vec array<double>, _n long, _leaf long"), "leaves")
+    queries = clean.filter(query).select("_id", "_vec").distinct()
     visits = _calibrate(leaves, queries, tree, k, recall)
 
     per_leaf = {r["_leaf"]: r["count"] for r in leaves.groupBy("_leaf").count().collect()}  # a row per leaf of the tree
@@ -176,28 +191,27 @@ def nearest(rows: DataFrame, k: int, query: Column, id_col: str = "vec_id", vec_
                 yield pd.DataFrame({"_qid": pdf["_id"], "_qvec": pdf["_vec"], "_leaves": ranked})
 
     cells = spark.createDataFrame([(int(a), int(-(-b // CELL_ROWS))) for a, b in per_leaf.items()], "_leaf long, _chunks int")
-    blocks = -(-queries.count() // CELL_QUERIES)
-    h = F.xxhash64("_id")
-    data = leaves.join(F.broadcast(cells), "_leaf").select("_leaf", F.pmod(h, F.col("_chunks")).cast("int").alias("_chunk"), F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))).alias("_block"), "_id", "_vec")
+    blocks = max(1, -(-queries.count() // CELL_QUERIES))
+    data = leaves.join(F.broadcast(cells), "_leaf").select("_leaf", F.pmod(F.xxhash64("_n"), F.col("_chunks")).cast("int").alias("_chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), "_id", "_vec")
     own = queries.join(clean.filter(query).groupBy("_id").agg(F.count("*").alias("_own")), "_id")  # rows that share a query's id are no candidates
     asked = (
         own.mapInPandas(walk, "_qid long, _qvec array<double>, _leaves array<long>")
         .select("_qid", "_qvec", F.explode("_leaves").alias("_leaf"))
         .join(F.broadcast(cells), "_leaf")
-        .select("_leaf", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), F.pmod(F.xxhash64("_qid"), F.lit(max(blocks, 1))).cast("int").alias("_block"), "_qid", "_qvec")
+        .select("_leaf", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_chunk"), F.pmod(F.xxhash64("_qid", "_qvec"), F.lit(blocks)).cast("int").alias("_block"), "_qid", "_qvec", F.xxhash64("_qvec").alias("_ask"))
     )
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "ids": [], "scores": []})
-        return _search_cell(left["_id"].to_numpy(), _stack(left["_vec"]), right["_qid"].to_numpy(), _stack(right["_qvec"]), k)
+        if not len(left) or not len(right):  # empty columns need their types: a list is an object
+            return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("query_id", "int64"), ("ask", "int64"), ("ids", object), ("scores", object))})
+        return _search_cell(left["_id"].to_numpy(), _stack(left["_vec"]), right["_qid"].to_numpy(), _stack(right["_qvec"]), k).assign(ask=right["_ask"].to_numpy())
 
     keys = ["_leaf", "_chunk", "_block"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(cell, "query_id long, ids array<long>, scores array<double>")
+    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(cell, "query_id long, ask long, ids array<long>, scores array<double>")
     # each cell gives a query at most k candidates, in one row: best k of their union
     pair = F.arrays_zip("ids", "scores")
     merged = found.withColumn("p", F.transform(pair, lambda p: F.struct((-p["scores"]).alias("m"), p["ids"].alias("v"))))
-    merged = merged.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("top"))
+    merged = merged.groupBy("query_id", "ask").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("top"))
     return merged.select("query_id", F.posexplode("top").alias("pos", "t")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("t.v").alias("vec_id"), (-F.col("t.m")).alias("score"))
 
 

@@ -79,3 +79,47 @@ def test_lone_vectors_get_all_their_neighbours(spark):
     assert len(got) == 122 and all(sorted(ranks) == list(range(1, 21)) for ranks in got.values())
     few = [(k, v, "", 1) for k, v in [(0, x[0].tolist()), (0, x[900].tolist()), (1, x[1700].tolist())]]
     assert {r.vec_id for r in ann.nearest(spark.createDataFrame(few, SCHEMA), 20, F.col("_id") == 0).collect()} == {1}
+
+
+def test_search_opens_few_postings_on_peaked_vectors():
+    """Segments of high impact settle a query before most postings are multiplied."""
+    rng = np.random.default_rng(8)
+    v = np.floor(256 * rng.standard_t(1.5, size=(3000, 24))).astype(np.int64)
+    index = topk.ImpactIndex(v)
+    for q in range(0, 3000, 300):
+        can = set(index.search(v[q], 5, np.asarray([q])).tolist())
+        s = v @ v[q]
+        s[q] = np.iinfo(np.int64).min
+        assert set(np.flatnonzero(s >= np.sort(s)[-5]).tolist()) <= can
+    assert 0 < index.opened < 0.85 * 10 * v.size
+
+
+def recall_of(spark, x, every=20, k=20):
+    rows = [(i, v.tolist(), "", 1) for i, v in enumerate(x)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), k, F.col("_id") % every == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    x = x.astype(np.float32).astype(np.float64)
+    hits = asked = 0
+    for q in range(0, len(x), every):
+        s = np.add.reduce(x * x[q], axis=1)
+        ids = [i for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]
+        rows = sorted(got[q])
+        assert [r[0] for r in rows] == list(range(1, len(ids) + 1)) and all(r[2] == s[r[1]] for r in rows)
+        hits, asked = hits + len(set(ids) & {r[1] for r in rows}), asked + len(ids)
+    return hits / asked
+
+
+def test_recall_with_heavy_tailed_norms_and_unvisited_leaves(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 16)) * rng.pareto(1.5, size=(6000, 1))
+    assert recall_of(spark, x, every=100) >= 0.9
+
+
+def test_vectors_of_several_lengths(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist(), "", 1) for i in range(300)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, SCHEMA), 20, F.col("_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 15 and all(len(v) == 20 and all((i % 3 == 0) == (q % 3 == 0) for i in v) for q, v in got.items())
