@@ -1,13 +1,13 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Each source's documents are cut into hash blocks.  A source's target is met by whole
-passes over all its blocks and one partial pass over its blocks in permuted order; the
-last block of that pass is taken document by document and the last document is cut, so
-the target is met to the word.  How many block draws each output shard gets of each
-source is drawn exactly, without replacement, by a tree: the quotas of a range of
-shards are split between its two halves by one multivariate hypergeometric draw.
-Shards then take disjoint runs of each source's permuted draws and are shuffled
-locally by a hash order.
+Each source's documents are cut into hash blocks in a permuted order.  A source's block
+quota is whole passes over its blocks and a partial one that ends inside the block where
+its target in words is met.  The quotas are partitioned among the output shards by a
+tree: a range of shards hands its two halves one multivariate hypergeometric draw of its
+block quotas.  Each shard then draws its quota of a source: the next run of the source's
+permuted blocks, disjoint from all other shards' runs, and shuffles its documents
+locally by a hash order.  In the block that ends a source's partial pass documents are
+drawn in hash order and the last one is cut, so the target is met to the word.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Size of the mix and most repetitions, in units of the input's and of a source's size.
 TOTAL, MOST = 1.5, 2.0
 BLOCKS = 1024
+#: Parts of a source's last block; rows beyond which equal rows of it are spread too; sources whose figures are surely small.
+_SUBS, _HOT, _FEW = 64, 100_000, 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -76,60 +78,73 @@ def draw(docs: DataFrame, payload: list[str], id_col: str = "doc_id", text_col:
     """One row per row of ``docs``: ``_id, _size, _source_size, _target, _draws`` and a struct ``_row`` of the payload columns.
 
     ``_draws`` is an array of (pass, shard, take, order), one per copy in the mix.
-    ``docs`` is written once with its word counts; then only per-source sums and
-    quotas (a row per source) come to the driver.  Blocks spread a hot source over
-    ``blocks`` groups.  Null text has size 0 and is drawn with its block; null sources
-    form a source of their own, ordered last; null ids hash alike.
+    ``docs`` is written once with its word counts; then only per-source figures (a row
+    per source) and the tree (a row per source and shard that draws from it, at most
+    the quotas' sum) pass through the driver.  Blocks spread a hot source over
+    ``blocks`` groups; only the one block per source that its pass ends in is put in
+    order, in ``_SUBS`` parts.  Null text has size 0 and is drawn with its block; null
+    sources form a source of their own, ordered last; rows that agree in id and text
+    are interchangeable.
     """
     spark = docs.sparkSession
     shards = shards or partitions(spark)
-    source = docs[source_col].cast("string")
+    source, text = docs[source_col].cast("string"), docs[text_col].cast("string")
     base = docs.select(
         docs[id_col].cast("long").alias("_id"),
         source.isNull().alias("_none"),
         F.coalesce(source, F.lit("")).alias("_src"),
-        word_count(docs[text_col]).alias("_size"),
+        word_count(text).alias("_size"),
+        F.xxhash64(F.lit(seed), docs[id_col].cast("long"), text).alias("_h"),
+        F.monotonically_increasing_id().alias("_n"),
         F.struct(*(docs[c] for c in payload)).alias("_row") if payload else F.lit(None).cast("int").alias("_row"),
     )
-    base = written(base.withColumns({"_h": F.xxhash64(F.lit(seed), "_id", "_size"), "_block": F.pmod(F.xxhash64(F.lit(seed + 1), "_id", "_size"), F.lit(blocks)).cast("int")}), "sized")
+    base = written(base.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.lit(blocks)).cast("int")), "sized")
     key = ["_none", "_src"]
-    per_block = written(base.groupBy(*key, "_block").agg(F.sum("_size").alias("_words")), "blocks")
-    stats = sorted(per_block.groupBy(*key).agg(F.sum("_words").alias("w"), F.count("*").alias("n")).collect(), key=lambda r: (r["_none"], r["_src"]))
+    per_block = base.groupBy(*key, "_block").agg(F.sum("_size").alias("_words"), F.count("*").alias("_rows"))
+    order = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 2), "_src", "_block"), "_block")  # at most `blocks` rows a source
+    before = F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = written(per_block.select(*key, "_block", "_words", "_rows", (F.row_number().over(order) - 1).alias("_place"), F.coalesce(before, F.lit(0)).alias("_before")), "blocks")
+    stats = sorted(placed.groupBy(*key).agg(F.sum("_words").alias("w"), F.count("*").alias("n")).collect(), key=lambda r: (r["_none"], r["_src"]))
     sizes = [r.w for r in stats]
     goal = targets(sizes, [WEIGHTS[k % len(WEIGHTS)] for k in range(len(stats))], total * sum(sizes))
     passes = [int(t // s) if s else 0 for t, s in zip(goal, sizes, strict=True)]
     rest = [min(s, round(t - p * s)) for t, p, s in zip(goal, passes, sizes, strict=True)]
     plan = spark.createDataFrame(
-        [(r["_none"], r["_src"], s, float(t), p, q) for r, s, t, p, q in zip(stats, sizes, goal, passes, rest, strict=True)],
-        "_none boolean, _src string, _source_size long, _target double, _passes int, _rest long",
+        [(r["_none"], r["_src"], s, float(t), p, q, r.n) for r, s, t, p, q in zip(stats, sizes, goal, passes, rest, strict=True)],
+        "_none boolean, _src string, _source_size long, _target double, _passes int, _rest long, _blocks int",
     )
-    # the partial pass: blocks in permuted order while the rest lasts (at most `blocks` rows per source)
-    permuted = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 2), "_src", "_block"), "_block")
-    cut = per_block.join(plan, key).withColumn("_before", F.coalesce(F.sum("_words").over(permuted.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    open_ = F.col("_rest") - F.col("_before")
-    partial = (open_ > 0).cast("int")
-    each = cut.select(*key, "_block", "_source_size", "_target", "_passes", F.when(open_ < F.col("_words"), F.greatest(open_, F.lit(0))).alias("_open"), F.explode(F.when(F.col("_passes") + partial > 0, F.sequence(F.lit(1), F.col("_passes") + partial))).alias("_pass"))
-    numbered = each.withColumn("_no", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed + 3), "_src", "_block", "_pass"), "_block", "_pass")) - 1)
-    numbered = written(numbered, "draws")
-    quota = {(r["_none"], r["_src"]): r.n for r in numbered.groupBy(*key).agg(F.count("*").alias("n")).collect()}
-    names = [(r["_none"], r["_src"]) for r in stats]
-    tree = splitting_tree([quota.get(k, 0) for k in names], shards, seed)
-    ends = np.cumsum(tree, axis=0)
-    runs = [(*names[k], j, int(ends[j, k] - tree[j, k]), int(ends[j, k])) for k in range(len(names)) for j in range(shards) if tree[j, k]]
-    shard_of = spark.createDataFrame(runs, "_none boolean, _src string, _shard int, _lo int, _hi int").select(*key, "_shard", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("_no"))
-    drawn = numbered.join(shard_of, [*key, "_no"]).groupBy(*key, "_block").agg(F.collect_list(F.struct("_pass", "_shard", (F.col("_pass") > F.col("_passes")).alias("_part"))).alias("_list"), F.first("_open").alias("_open"))
-    # a source's figures come with its blocks: documents are never dealt out by source alone
-    blocks_ = cut.select(*key, "_block", "_source_size", "_target").join(drawn, [*key, "_block"], "left")
-    rows = base.join(blocks_, [*key, "_block"])
-    within = Window.partitionBy(*key, "_block").orderBy("_h", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_earlier", F.coalesce(F.sum("_size").over(within), F.lit(0)))
-    whole = F.col("_size")
-    cut_take = F.when(F.col("_open").isNull(), whole).otherwise(F.greatest(F.lit(0), F.least(whole, F.col("_open") - F.col("_earlier"))))
+    # blocks of the partial pass: those that begin before the rest is met
+    opened = {(r["_none"], r["_src"]): r.n for r in placed.join(plan, key).filter("_before < _rest").groupBy(*key).agg(F.count("*").alias("n")).collect()}
+    quotas = [p * r.n + opened.get((r["_none"], r["_src"]), 0) for r, p in zip(stats, passes, strict=True)]
+    tree = splitting_tree(quotas, shards, seed)
+    upto = np.cumsum(tree, axis=0)
+    runs = [(stats[k]["_none"], stats[k]["_src"], int(j), int(upto[j, k] - tree[j, k]), int(upto[j, k])) for j, k in zip(*np.nonzero(tree), strict=True)]
+    drawn = (
+        spark.createDataFrame(runs, "_none boolean, _src string, shard int, _lo int, _hi int")
+        .join(plan.select(*key, "_blocks"), key)
+        .select(*key, "shard", "_blocks", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("_no"))
+        .select(*key, "shard", (F.col("_no") % F.col("_blocks")).alias("_place"), (F.floor(F.col("_no") / F.col("_blocks")) + 1).cast("int").alias("pass"))
+    )
+    of_place = drawn.groupBy(*key, "_place").agg(F.collect_list(F.struct("pass", "shard")).alias("_list"))  # a draw per pass
+    fate = placed.join(plan, key).join(of_place, [*key, "_place"], "left").withColumn("_open", F.col("_rest") - F.col("_before"))
+    fate = fate.select(*key, "_block", "_source_size", "_target", "_passes", "_list", "_rows", F.when((F.col("_open") > 0) & (F.col("_open") < F.col("_words")), F.col("_open")).alias("_open"))
+    rows = base.join(fate, [*key, "_block"])
+    # the block a pass ends in: words before each row, by sums over parts and an order inside them
+    edge = fate.filter("_open IS NOT NULL").select(*key, "_block", F.col("_rows").alias("_in"), F.col("_open").alias("_left"))  # at most one per source
+    part = F.pmod(F.xxhash64(F.lit(seed + 5), "_h", F.when(F.col("_in") > _HOT, F.col("_n"))), F.lit(_SUBS)).cast("int")
+    inside = base.drop("_row").join(F.broadcast(edge) if len(stats) <= _FEW else edge, [*key, "_block"]).withColumn("_part", part)
+    sums = inside.groupBy(*key, "_part").agg(F.sum("_size").alias("_sum"))
+    shift = sums.select(*key, "_part", F.coalesce(F.sum("_sum").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    within = Window.partitionBy(*key, "_part").orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.withColumn("_earlier", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(shift, [*key, "_part"])
+    cut = ranked.select("_n", F.greatest(F.lit(0), F.least("_size", F.col("_left") - F.col("_earlier") - F.col("_shift"))).alias("_cut"))
+    whole = rows.filter("_open IS NULL").withColumn("_cut", F.col("_size"))
+    rows = whole.unionByName(rows.filter("_open IS NOT NULL").join(cut, "_n"))
     draws = F.transform(
-        F.coalesce(F.col("_list"), F.expr("cast(array() as array<struct<_pass:int,_shard:int,_part:boolean>>)")),
-        lambda d: F.struct(d["_pass"].alias("pass"), d["_shard"].alias("shard"), F.when(d["_part"], cut_take).otherwise(whole).alias("take"), F.xxhash64(F.lit(seed + 4), F.col("_id"), d["_pass"], d["_shard"]).alias("order")),
+        F.coalesce(F.col("_list"), F.expr("cast(array() as array<struct<pass:int,shard:int>>)")),
+        lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["pass"] > F.col("_passes"), F.col("_cut")).otherwise(F.col("_size")).alias("take"), F.xxhash64(F.lit(seed + 4), F.col("_h"), F.col("_n"), d["pass"], d["shard"]).alias("order")),
     )
-    kept = F.filter(draws, lambda d: (d["take"] > 0) | ((whole == 0) & (d["pass"] == 1)))
+    kept = F.array_sort(F.filter(draws, lambda d: (d["take"] > 0) | ((F.col("_size") == 0) & (d["pass"] == 1))))
     return rows.select("_id", "_size", "_source_size", "_target", kept.alias("_draws"), "_row")
 
 

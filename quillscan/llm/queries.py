@@ -51,9 +51,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``draws`` tells which shard took how many words in which pass: ``pass:shard:words``, joined by commas."""
     drawn = draw(_table(spark, sf_dir, "documents"), payload=[])
     taken = F.aggregate("_draws", F.lit(0).cast("long"), lambda n, d: n + d["take"])
-    return drawn.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
+    said = F.array_join(F.transform("_draws", lambda d: F.concat_ws(":", d["pass"], d["shard"], d["take"])), ",")
+    return drawn.select(F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"), said.alias("draws"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,37 @@ def test_cross_parsing_equals_the_definition():
         assert got[k] == n
 
 
+def test_cross_parsing_over_block_edges():
+    """Whole texts of many blocks, some of which repeat the training text, parse as the definition says."""
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    train = {k: "".join(rng.choice(letters) for _ in range(900)) for k, letters in (("a", "abc"), ("b", "abcdef"), ("c", "一二三四五"))}
+    model = langid.Model({k: [v] for k, v in train.items()})
+    texts = [train["a"][100:800] + "x" + train["b"], "".join(rng.choice("abcdefg") for _ in range(2000)), "ab" * 700, train["c"] * 2, "q", "a" * 256, "a" * 257]
+    offs = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    got, size, _ = model.phrases(np.frombuffer("".join(texts).encode(), np.uint8), offs)
+    assert size.tolist() == [len(t) for t in texts]
+    for i, text in enumerate(texts):
+        for k, lang in enumerate(model.langs):
+            n, at = 0, 0
+            while at < len(text):
+                size = 1
+                while at + size < len(text) and text[at : at + size + 1] in train[lang]:
+                    size += 1
+                n, at = n + 1, at + size
+            assert got[i, k] == n
+
+
+def test_training_uses_whole_rows_and_the_shortest_where_all_are_long(spark):
+    long_ = "lange wörter " * 1000
+    rows = [(1, "short words here", "en"), (3, long_, "de"), (5, long_ + long_, "de"), (4, None, "fr"), (7, "x", None)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["de", "en"]
+
+
 def test_base_spans_follow_the_patterns():
     kinds = {
         "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -219,6 +250,57 @@ def test_mixing(docs, doc_rows, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_draws_follow_the_tree(docs, monkeypatch):
+    """A second version of the draw: blocks by hash, runs of the tree's quotas, words cut in hash order."""
+    shards, blocks, seed = 4, 16, 2
+    source = F.col("source")
+    hashed = docs.select(
+        F.col("doc_id").alias("id"), F.coalesce(source, F.lit("")).alias("src"), source.isNull().alias("none"), mixing.word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")
+    ).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.lit(blocks)))
+    rows = hashed.withColumns({"p": F.xxhash64(F.lit(seed + 2), "src", F.col("block").cast("int")), "part": F.pmod(F.xxhash64(F.lit(seed + 5), "h", F.lit(None).cast("long")), F.lit(64))}).collect()
+    names = sorted({(r.none, r.src) for r in rows})
+    sizes = [sum(r["size"] for r in rows if (r.none, r.src) == n) for n in names]
+    goal = mixing.targets(sizes, [mixing.WEIGHTS[k % 3] for k in range(len(names))], 1.5 * sum(sizes))
+    order, quotas, plan = [], [], []
+    for n, size, t in zip(names, sizes, goal):
+        own = sorted({(r.p, r.block) for r in rows if (r.none, r.src) == n})
+        words = [sum(r["size"] for r in rows if (r.none, r.src) == n and r.block == b) for _, b in own]
+        passes = int(t // size)
+        rest = min(size, round(t - passes * size))
+        before = [sum(words[:k]) for k in range(len(own))]
+        order.append([b for _, b in own])
+        plan.append((passes, rest, before, words))
+        quotas.append(passes * len(own) + sum(x < rest for x in before))
+    tree = mixing.splitting_tree(quotas, shards, seed)
+    want = Counter()
+    for k, n in enumerate(names):
+        passes, rest, before, words = plan[k]
+        number = 0
+        for shard in range(shards):
+            for _ in range(int(tree[shard, k])):
+                turn, place = divmod(number, len(order[k]))
+                number += 1
+                left = rest - before[place]
+                for r in sorted((r for r in rows if (r.none, r.src) == n and r.block == order[k][place]), key=lambda r: (r.part, r.h, r.id)):
+                    take = r["size"] if turn < passes else max(0, min(r["size"], left))
+                    left -= r["size"]
+                    if take:
+                        want[r.id, turn + 1, shard] = take
+    def drawn():
+        return {(r["_id"], d["pass"], d["shard"]): d["take"] for r in mixing.draw(docs, [], shards=shards, blocks=blocks, seed=seed).collect() for d in r["_draws"] if d["take"]}
+
+    got = drawn()
+    assert got == dict(want) and len({s for _, _, s in got}) == shards
+
+    def one_shard(quotas, shards, seed=0):
+        import numpy as np
+
+        return np.asarray([quotas] + [[0] * len(quotas)] * (shards - 1))
+
+    monkeypatch.setattr(mixing, "splitting_tree", one_shard)
+    assert drawn() != got  # the tree decides
+
+
 def test_splitting_tree_is_exact():
     tree = mixing.splitting_tree([7, 0, 30, 11], 5, seed=3)
     assert tree.sum(axis=0).tolist() == [7, 0, 30, 11] and set(tree.sum(axis=1)) <= {9, 10} and (tree == mixing.splitting_tree([7, 0, 30, 11], 5, seed=3)).all()
