@@ -163,61 +163,61 @@ class Model:
         code, at, letters = symbols(buf, offs)
         place = np.searchsorted(self.known, code)
         place[place == len(self.known)] = 0
-        sym = np.where(self.known[place] == code, place, self.alphabet - 1).astype(np.int64)
+        sym = np.where(self.known[place] == code, place, self.alphabet - 1).astype(np.int32)
         size = np.diff(at)
         blocks = -(-size // BLOCK)
         text = np.repeat(np.arange(len(size)), blocks)
         nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         begin = at[:-1][text] + nth * BLOCK
         length = np.minimum(BLOCK, at[1:][text] - begin)
+        order = np.argsort(-length, kind="stable")
+        lane = np.empty_like(order)  # where each block stands among those sorted by length
+        lane[order] = np.arange(len(order))
+        active = np.searchsorted(-length[order], -np.arange(BLOCK), "left")  # blocks longer than each step
+        grid = np.zeros((BLOCK, len(order)), np.int32)  # the symbols, a step a row
+        padded = np.concatenate((sym, np.zeros(BLOCK, np.int32)))
+        for step in range(BLOCK):
+            grid[step, : active[step]] = padded[begin[order[: active[step]]] + step]
         out = np.zeros((len(size), len(self.langs)))
         for k in range(len(self.langs)):  # a language at a time bounds memory by the slice
-            starts = np.zeros(len(sym), bool)  # where phrases begin
-            end = self._parse(k, sym, begin, length, np.zeros(len(begin), np.int64), starts, None)
+            starts = np.zeros(grid.shape, bool)  # where phrases begin
+            state = np.zeros(len(order), np.int64)
+            for step in range(BLOCK):
+                m = int(active[step])
+                if not m:
+                    break
+                state[:m], starts[step, :m] = self._step(k, state[:m], grid[step, :m])
+            end = state[lane]
+            given = np.zeros(len(order), np.int64)  # the states that blocks were parsed from
             due = np.flatnonzero(nth > 0)
-            given = np.zeros(len(begin), np.int64)  # the states that blocks were parsed from
-            while len(due):  # blocks whose predecessor ends in another state than assumed
-                due = due[end[due - 1] != given[due]]
+            while len(due := due[end[due - 1] != given[due]]):  # whose predecessor ends in another state than assumed
                 given[due] = end[due - 1]
-                before = end[due].copy()
-                end[due] = self._parse(k, sym, begin[due], length[due], given[due], starts, before)
+                before = end[due]
+                end[due] = self._again(k, grid, starts, lane[due], length[due], given[due], before)
                 due = due[end[due] != before] + 1
-                due = due[due < len(begin)]
+                due = due[due < len(nth)]
                 due = due[nth[due] > 0]
-            count = np.concatenate(([0], np.cumsum(starts)))
-            out[:, k] = np.diff(count[at])
+            out[:, k] = np.bincount(text, starts.sum(axis=0)[lane], len(size))
         return out, size, letters
 
-    def _parse(self, lang: int, sym: np.ndarray, begin: np.ndarray, length: np.ndarray, state: np.ndarray, starts: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-        """Parse blocks from the given states; mark phrase starts; give the end states.
-
-        With ``known`` end states of an earlier parse that is marked in ``starts``, a
-        block ends where both parses begin a phrase at one place.
-        """
-        order = np.argsort(-length, kind="stable")
-        begin, length, state = begin[order], length[order], state[order]
-        end = np.zeros(len(order), np.int64) if known is None else known[order]
-        lane = np.arange(len(order))
+    def _again(self, lang: int, grid: np.ndarray, starts: np.ndarray, lane: np.ndarray, length: np.ndarray, state: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Parse blocks anew from other states, until the parse in ``starts`` begins a phrase at the same place; their end states."""
+        end = end.copy()
+        who = np.arange(len(lane))
         for step in range(BLOCK):
-            live = int(np.searchsorted(-length, -step, "left"))  # blocks longer than the step come first
-            if live < len(lane):
-                end[lane[live:]] = state[live:]
-                lane, state, begin, length = lane[:live], state[:live], begin[:live], length[:live]
-            if not live:
-                break
-            here = begin + step
-            state, new = self._step(lang, state, sym.take(here))
-            if known is not None:
-                apart = ~(new & starts[here])
-                starts[here] = new
-                if not apart.all():
-                    lane, state, begin, length = lane[apart], state[apart], begin[apart], length[apart]
-            else:
-                starts[here] = new
-        end[lane] = state
-        out = np.empty_like(end)
-        out[order] = end
-        return out
+            over = length == step
+            if over.any():
+                end[who[over]] = state[over]
+                who, lane, length, state = who[~over], lane[~over], length[~over], state[~over]
+            if not len(who):
+                return end
+            state, new = self._step(lang, state, grid[step, lane])
+            apart = ~(new & starts[step, lane])
+            starts[step, lane] = new
+            if not apart.all():
+                who, lane, length, state = who[apart], lane[apart], length[apart], state[apart]
+        end[who] = state
+        return end
 
     def predict(self, buf: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
         n = len(offs) - 1

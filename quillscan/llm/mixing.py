@@ -128,18 +128,20 @@ def draw(docs: DataFrame, payload: list[str], id_col: str = "doc_id", text_col:
     of_place = drawn.groupBy(*key, "_place").agg(F.collect_list(F.struct("pass", "shard")).alias("_list"))  # a draw per pass
     fate = placed.join(plan, key).join(of_place, [*key, "_place"], "left").withColumn("_open", F.col("_rest") - F.col("_before"))
     fate = fate.select(*key, "_block", "_source_size", "_target", "_passes", "_list", "_rows", F.when((F.col("_open") > 0) & (F.col("_open") < F.col("_words")), F.col("_open")).alias("_open"))
-    rows = base.join(fate, [*key, "_block"])
-    # the block a pass ends in: words before each row, by sums over parts and an order inside them
-    edge = fate.filter("_open IS NOT NULL").select(*key, "_block", F.col("_rows").alias("_in"), F.col("_open").alias("_left"))  # at most one per source
+    fate = written(fate, "fate")
+    # the block a pass ends in (at most one per source): words before each row, by sums over parts and an order inside them
+    ends = [tuple(r) for r in fate.filter("_open IS NOT NULL").select(*key, "_block", "_rows", "_open").collect()]
+    edge = spark.createDataFrame(ends, "_none boolean, _src string, _block int, _in long, _left long")
+    marked = base.join(F.broadcast(edge) if len(ends) <= _FEW else edge, [*key, "_block"], "left")
     part = F.pmod(F.xxhash64(F.lit(seed + 5), "_h", F.when(F.col("_in") > _HOT, F.col("_n"))), F.lit(_SUBS)).cast("int")
-    inside = base.drop("_row").join(F.broadcast(edge) if len(stats) <= _FEW else edge, [*key, "_block"]).withColumn("_part", part)
+    inside = marked.filter("_left IS NOT NULL").withColumn("_part", part)
     sums = inside.groupBy(*key, "_part").agg(F.sum("_size").alias("_sum"))
     shift = sums.select(*key, "_part", F.coalesce(F.sum("_sum").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
     within = Window.partitionBy(*key, "_part").orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
     ranked = inside.withColumn("_earlier", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(shift, [*key, "_part"])
-    cut = ranked.select("_n", F.greatest(F.lit(0), F.least("_size", F.col("_left") - F.col("_earlier") - F.col("_shift"))).alias("_cut"))
-    whole = rows.filter("_open IS NULL").withColumn("_cut", F.col("_size"))
-    rows = whole.unionByName(rows.filter("_open IS NOT NULL").join(cut, "_n"))
+    cut = ranked.withColumn("_cut", F.greatest(F.lit(0), F.least("_size", F.col("_left") - F.col("_earlier") - F.col("_shift"))))
+    names = [*base.columns, "_cut"]
+    rows = marked.filter("_left IS NULL").withColumn("_cut", F.col("_size")).select(names).unionByName(cut.select(names)).join(fate, [*key, "_block"])
     draws = F.transform(
         F.coalesce(F.col("_list"), F.expr("cast(array() as array<struct<pass:int,shard:int>>)")),
         lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["pass"] > F.col("_passes"), F.col("_cut")).otherwise(F.col("_size")).alias("take"), F.xxhash64(F.lit(seed + 4), F.col("_h"), F.col("_n"), d["pass"], d["shard"]).alias("order")),

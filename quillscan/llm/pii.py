@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 2
 #: Thresholds: P(entity | term) and bits of information about the entity.
 DISCLOSURE, BITS = 0.5, 4.0
-_SIFT = 1 << 22
+_SIFT, _BITS = 1 << 22, 1 << 24
 #: Most counts that a task holds before it sends them.
 _HELD = 1 << 20
 
@@ -192,14 +192,21 @@ def _levels(counts: DataFrame, key: str, level: str, over: str) -> np.ndarray:
 
 
 def _sift_of(terms: DataFrame) -> np.ndarray:
-    """A bit table of fixed size that every term of ``terms`` hits."""
-    place = terms.select(F.pmod("term", F.lit(_SIFT)).alias("p"))
-    words_ = place.selectExpr("cast(p div 32 AS int) AS w", "shiftleft(1L, cast(p % 32 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    got = words_.collect()  # at most _SIFT / 32 rows
-    bits = np.zeros(_SIFT // 32, np.uint32)
-    for r in got:
-        bits[r.w] = r.b
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    """A bit table of fixed size in which every term of ``terms`` sets two bits."""
+    place = terms.select(F.explode(F.array(F.pmod("term", F.lit(_BITS)), F.pmod(F.shiftright("term", 24), F.lit(_BITS)))).alias("p"))
+    held = place.selectExpr("p div 64 AS w", "shiftleft(1L, cast(p % 64 AS int)) AS b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    got = held.toArrow()  # at most _BITS / 64 rows
+    bits = np.zeros(_BITS // 64, np.int64)
+    bits[got["w"].to_numpy()] = got["b"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def _passes(sift: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Terms whose two bits are set: all that were put in, and few others."""
+    ok = np.ones(len(h), bool)
+    for p in (h % _BITS, (h >> 24) % _BITS):
+        ok &= (sift.take(p >> 3) >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    return ok
 
 
 def disclosing_terms(rows: DataFrame) -> DataFrame:
@@ -218,18 +225,18 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
             _, _, h, text, found = _terms(part)
             has = np.zeros(part.num_rows, bool)
             has[[k for k, keys in found if known.value[np.asarray(keys) % _SIFT].any()]] = True
-            yield from tally.add(_distinct(h[has[text]], text[has[text]]) % _SIFT)
+            yield from tally.add(_distinct(h[has[text]], text[has[text]]))
         yield from tally.out()
 
-    # places of terms that stand in SUPPORT documents with such an entity
-    places = rows.mapInArrow(near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
-    sift = spark.sparkContext.broadcast(_sift_of(places))
+    # terms that stand in SUPPORT documents with such an entity
+    candidates = rows.mapInArrow(near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
+    sift = spark.sparkContext.broadcast(_sift_of(candidates))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally("term")
         for part in slices(batches, "text"):
             _, _, h, text, _ = _terms(part)
-            hit = sift.value[h % _SIFT]
+            hit = _passes(sift.value, h)
             yield from tally.add(_distinct(h[hit], text[hit]))
         yield from tally.out()
 
@@ -278,7 +285,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if not len(buf):
                 continue
             starts, ends, h, text, _ = _terms(part)
-            hit = sift.value[h % _SIFT]
+            hit = _passes(sift.value, h)
             starts, ends, h, text = starts[hit], ends[hit], h[hit], text[hit]
             points = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
             zero = points[offs[:-1]][text]
