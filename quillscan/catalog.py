@@ -386,7 +386,7 @@ def _deps(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(_DEPS, "ecosystem string, name string, version_spec string")
 
 
-_POPULAR = _values([(e, p) for e, names in R.POPULAR.items() for p in names.split()])
+_POPULAR = _values([(e, p) for e, names in R.POPULAR.items() for p in names])
 
 
 @query(f"WITH d(ecosystem, name, version_spec) AS ({_values(_DEPS)}), p(ecosystem, popular) AS ({_POPULAR}) SELECT d.ecosystem, d.name, popular, levenshtein(d.name, popular)::INTEGER AS distance, round(1 - levenshtein(d.name, popular) / greatest(length(d.name), length(popular))::DOUBLE, 6) AS confidence FROM d JOIN p USING (ecosystem) WHERE levenshtein(d.name, popular) BETWEEN 1 AND CASE WHEN length(popular) <= 4 THEN 1 WHEN length(popular) <= 10 THEN 2 ELSE 3 END AND NOT EXISTS (SELECT 1 FROM p q WHERE q.ecosystem = d.ecosystem AND q.popular = d.name)")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.license import family, is_copyleft
+from ..storage import written
 
 
 def propagates(fam: Column, linking: Column) -> Column:
@@ -40,8 +41,6 @@ def contaminated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     reported.  Each round goes one edge on from the (package, source) rows that the last one
     found first, until there are none: depth has no bound and no path is walked twice.
     """
-    from ..llm.common import written
-
     marked = nodes.withColumn("family", family(F.col("licence")))
     known = marked.select(F.col("name").alias("package"), "linking", F.coalesce(is_copyleft(F.col("family")), F.lit(False)).alias("own"))
     keys = ["package", "source", "family"]

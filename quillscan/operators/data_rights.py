@@ -47,7 +47,7 @@ def secret_lines(files: DataFrame) -> DataFrame:
 def pii_of_column(column: Column) -> Column:
     """Kind of personal data that a column name suggests, null if none: equality first, then containment."""
     low = F.lower(column)
-    pairs = [(n, kind) for kind, names in PII_COLUMNS.items() for n in names.split()]
+    pairs = PII_COLUMNS
     chain = F.when(low == pairs[0][0], F.lit(pairs[0][1]))
     for n, kind in pairs[1:]:
         chain = chain.when(low == n, F.lit(kind))

@@ -26,13 +26,11 @@ class Policy:
     network_service: bool = False
 
 
+_RANKS = {name: rank for name, rank, _ in SEVERITIES}
+
+
 def type_rows() -> list[tuple[str, str, str, int]]:
-    out = []
-    for category, types in FINDING_TYPES.items():
-        for item in types.split(", "):
-            name, code = item.split(" ")
-            out.append((name, category, SEVERITIES[code][0], SEVERITIES[code][1]))
-    return out
+    return [(name, category, severity, _RANKS[severity]) for name, category, severity in FINDING_TYPES]
 
 
 def finding_types(spark: SparkSession) -> DataFrame:
@@ -41,12 +39,11 @@ def finding_types(spark: SparkSession) -> DataFrame:
 
 
 def base_score(sev_rank: Column) -> Column:
-    by_rank = {rank: score for _, rank, score in SEVERITIES.values()}
-    return F.element_at(F.array(*(F.lit(by_rank[r]) for r in (1, 2, 3, 4))), sev_rank)
+    return F.element_at(F.array(*(F.lit(score) for _, _, score in SEVERITIES)), sev_rank)
 
 
 def multiplier_rows(policy: Policy) -> list[tuple[str, float]]:
-    table = {name: m for m, names in MULTIPLIERS.items() for name in names.split()}
+    table = dict(MULTIPLIERS)
     if policy.network_service:
         table |= NETWORK_MULTIPLIER
     if policy.commercial:
@@ -65,8 +62,7 @@ def apply_policy(findings: DataFrame, policy: Policy) -> DataFrame:
 
 
 def correlation_rows() -> list[tuple[str, str]]:
-    pairs = {(a, b) for a, others in CORRELATED.items() for b in others.split()}
-    return sorted(pairs | {(b, a) for a, b in pairs})
+    return sorted({*CORRELATED, *((b, a) for a, b in CORRELATED)})
 
 
 def correlate(findings: DataFrame) -> DataFrame:

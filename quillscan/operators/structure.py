@@ -11,10 +11,26 @@ from ..functions.text import bound, jaccard, occurrences, overlap, winnow
 
 # Keywords counted for each kind of node, with the letter that stands for it and its rank in a signature.
 NODES = [
-    ("F", 0, ["function ", "function("]), ("A", 3, ["=>"]), ("C", 0, ["class "]), ("I", 1, ["if(", "if ("]), ("E", 3, ["}else", "} else"]), ("L", 1, ["for(", "for ("]),
-    ("W", 1, ["while(", "while ("]), ("D", 3, ["do{", "do {"]), ("S", 2, ["switch(", "switch ("]), ("c", 3, ["case "]), ("T", 2, ["try{", "try {"]),
-    ("h", 3, ["catch(", "catch ("]), ("f", 3, ["finally{", "finally {"]), ("t", 3, ["throw "]), ("r", 3, ["return ", "return;"]), ("y", 3, ["yield "]), ("a", 3, ["await "]),
-    ("n", 3, ["new "]), ("i", 3, ["import "]), ("e", 3, ["export "]),
+    ("F", 0, ["function ", "function("]),
+    ("A", 3, ["=>"]),
+    ("C", 0, ["class "]),
+    ("I", 1, ["if(", "if ("]),
+    ("E", 3, ["}else", "} else"]),
+    ("L", 1, ["for(", "for ("]),
+    ("W", 1, ["while(", "while ("]),
+    ("D", 3, ["do{", "do {"]),
+    ("S", 2, ["switch(", "switch ("]),
+    ("c", 3, ["case "]),
+    ("T", 2, ["try{", "try {"]),
+    ("h", 3, ["catch(", "catch ("]),
+    ("f", 3, ["finally{", "finally {"]),
+    ("t", 3, ["throw "]),
+    ("r", 3, ["return ", "return;"]),
+    ("y", 3, ["yield "]),
+    ("a", 3, ["await "]),
+    ("n", 3, ["new "]),
+    ("i", 3, ["import "]),
+    ("e", 3, ["export "]),
 ]
 BRANCHES = "ILWDcT"
 

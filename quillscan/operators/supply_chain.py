@@ -11,7 +11,7 @@ from ..refdata import DEPRECATED, DISPUTED, POPULAR
 
 def popular_packages(spark: SparkSession) -> DataFrame:
     """``ecosystem, popular``: a fixed number of rows."""
-    return spark.createDataFrame([(e, p) for e, names in POPULAR.items() for p in names.split()], "ecosystem string, popular string")
+    return spark.createDataFrame([(e, p) for e, names in POPULAR.items() for p in names], "ecosystem string, popular string")
 
 
 def typosquats(deps: DataFrame) -> DataFrame:

@@ -7,13 +7,40 @@ from pyspark.sql import functions as F
 
 # File categories by extension, licence-like names and manifests.
 EXTENSIONS = {
-    "JavaScript": "js mjs cjs jsx", "TypeScript": "ts tsx mts cts", "SourceCode": "rs py go java c h cpp hpp cc cs rb php swift kt scala",
-    "Stylesheet": "css scss sass less", "Markup": "html htm xml svg", "Config": "toml yaml yml ini cfg conf env", "Data": "csv tsv json jsonl ndjson parquet sqlite db xlsx",
-    "Image": "png jpg jpeg gif webp bmp ico", "Audio": "mp3 wav flac ogg m4a", "Video": "mp4 mov avi mkv webm", "Font": "ttf otf woff woff2 eot", "Document": "md txt rst pdf doc docx",
-    "Archive": "zip tar gz bz2 xz 7z rar", "Binary": "exe dll so dylib wasm",
+    "JavaScript": ["js", "mjs", "cjs", "jsx"],
+    "TypeScript": ["ts", "tsx", "mts", "cts"],
+    "SourceCode": ["rs", "py", "go", "java", "c", "h", "cpp", "hpp", "cc", "cs", "rb", "php", "swift", "kt", "scala"],
+    "Stylesheet": ["css", "scss", "sass", "less"],
+    "Markup": ["html", "htm", "xml", "svg"],
+    "Config": ["toml", "yaml", "yml", "ini", "cfg", "conf", "env"],
+    "Data": ["csv", "tsv", "json", "jsonl", "ndjson", "parquet", "sqlite", "db", "xlsx"],
+    "Image": ["png", "jpg", "jpeg", "gif", "webp", "bmp", "ico"],
+    "Audio": ["mp3", "wav", "flac", "ogg", "m4a"],
+    "Video": ["mp4", "mov", "avi", "mkv", "webm"],
+    "Font": ["ttf", "otf", "woff", "woff2", "eot"],
+    "Document": ["md", "txt", "rst", "pdf", "doc", "docx"],
+    "Archive": ["zip", "tar", "gz", "bz2", "xz", "7z", "rar"],
+    "Binary": ["exe", "dll", "so", "dylib", "wasm"],
 }
-MANIFESTS = "package.json package-lock.json yarn.lock Cargo.toml Cargo.lock requirements.txt pyproject.toml Pipfile go.mod go.sum pom.xml build.gradle composer.json composer.lock Gemfile Gemfile.lock".split()
-LICENSE_NAMES = "LICENSE LICENCE COPYING NOTICE".split()
+MANIFESTS = [
+    "package.json",
+    "package-lock.json",
+    "yarn.lock",
+    "Cargo.toml",
+    "Cargo.lock",
+    "requirements.txt",
+    "pyproject.toml",
+    "Pipfile",
+    "go.mod",
+    "go.sum",
+    "pom.xml",
+    "build.gradle",
+    "composer.json",
+    "composer.lock",
+    "Gemfile",
+    "Gemfile.lock",
+]
+LICENSE_NAMES = ["LICENSE", "LICENCE", "COPYING", "NOTICE"]
 
 
 def extension(path: Column) -> Column:
@@ -29,7 +56,7 @@ def category(path: Column) -> Column:
     name, ext = file_name(path), extension(path)
     chain = F.when(F.exists(F.array(*(F.lit(n) for n in LICENSE_NAMES)), lambda n: F.upper(name).startswith(n)), "License").when(name.isin(MANIFESTS), "Manifest")
     for kind, names in EXTENSIONS.items():
-        chain = chain.when(ext.isin(names.split()), kind)
+        chain = chain.when(ext.isin(names), kind)
     return chain.otherwise("Other")
 
 
