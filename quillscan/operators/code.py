@@ -124,7 +124,7 @@ def matches(suspects: DataFrame, references: DataFrame, least: float = 0.6, shar
 
 
 # Generic font families.
-GENERIC_FONTS = "serif sans-serif monospace cursive fantasy system-ui ui-serif ui-sans-serif ui-monospace ui-rounded inherit initial unset emoji".split()
+GENERIC_FONTS = ["serif", "sans-serif", "monospace", "cursive", "fantasy", "system-ui", "ui-serif", "ui-sans-serif", "ui-monospace", "ui-rounded", "inherit", "initial", "unset", "emoji"]
 
 
 def endpoints(text: Column) -> Column:
