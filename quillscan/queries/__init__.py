@@ -1,5 +1,5 @@
 """Further driver queries with their DuckDB SQL; importing a module registers its queries in the catalog."""
 
-from . import licences
+from . import licences, packages
 
-__all__ = ["licences"]
+__all__ = ["licences", "packages"]
