@@ -8,9 +8,9 @@ co-occur with an entity in at least ``SUPPORT`` documents and exceed both thresh
 reveal it and are removed wherever they stand outside an entity.
 
 Corpus counts never need a broadcast that grows: entities and terms are first sifted by
-tables of fixed size, which only let too much through; exact joins remove the rest.  A
-pair is not counted only where its term is in too many documents, or its entity in too
-few, for the disclosure to be reached, whatever their common count.
+bit tables of fixed size, which only let too much through; exact joins remove the rest.
+A pair is left out only where its entity or term stands in too few documents, or its
+term beside too many other entities, for the disclosure to be reached.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 2
 #: Thresholds: P(entity | term) and bits of information about the entity.
 DISCLOSURE, BITS = 0.5, 4.0
-_SIFT, _BITS = 1 << 22, 1 << 24
+_BITS = 1 << 24
 #: Most counts that a task holds before it sends them.
 _HELD = 1 << 20
 
@@ -182,15 +182,6 @@ def _distinct(h: np.ndarray, text: np.ndarray) -> np.ndarray:
     return h[new]
 
 
-def _levels(counts: DataFrame, key: str, level: str, over: str) -> np.ndarray:
-    """For each place of a table of fixed size the least or greatest (``over``) of 1 + ``level`` of the keys there, 0 without any."""
-    held = counts.selectExpr(f"pmod({key}, {_SIFT}) AS p", f"1 + cast({level} AS bigint) AS v").groupBy("p").agg(F.expr(f"{over}(v)").alias("v"))
-    got = held.selectExpr("p div 8 AS w", "shiftleft(v, cast(8 * (p % 8) AS int)) AS b").groupBy("w").agg(F.sum("b").alias("b")).toArrow()  # at most _SIFT / 8 rows
-    out = np.zeros(_SIFT // 8, np.int64)
-    out[got["w"].to_numpy()] = got["b"].to_numpy()
-    return out.view(np.uint8)
-
-
 def _sift_of(terms: DataFrame) -> np.ndarray:
     """A bit table of fixed size in which every term of ``terms`` sets two bits."""
     place = terms.select(F.explode(F.array(F.pmod("term", F.lit(_BITS)), F.pmod(F.shiftright("term", 24), F.lit(_BITS)))).alias("p"))
@@ -210,60 +201,63 @@ def _passes(sift: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def disclosing_terms(rows: DataFrame) -> DataFrame:
-    """``term`` (a hash) of every term whose disclosure exceeds the thresholds, from counts over all of ``rows``."""
+    """``term`` (a hash) of every term whose disclosure exceeds the thresholds, from counts over all of ``rows``.
+
+    A term stands in at least as many documents as in those with some entity, so pairs
+    whose share of the latter is too small already are no candidates; only the terms
+    that are left are counted over all documents.
+    """
     spark = rows.sparkSession
     total = rows.count()
     # P(entity | term) is at most 1, so an entity of more documents cannot give BITS
     entities = rows.mapInArrow(_entities, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("n_entity"))
     entities = written(entities.filter((F.col("n_entity") >= SUPPORT) & (F.col("n_entity") * 2.0**BITS <= total)), "entities")
-    most = entities.agg(F.max("n_entity")).first()[0] or 0
-    known = spark.sparkContext.broadcast(_levels(entities, "entity", "ceil(log2(n_entity))", "max"))
+    known = spark.sparkContext.broadcast(_sift_of(entities.select(F.col("entity").alias("term"))))
+
+    def of_interest(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The entities that may matter and the distinct terms of each text that has such an entity."""
+        _, _, h, text, found = _terms(part)
+        for k, keys in found:
+            who = np.asarray(keys, np.int64)
+            who = who[_passes(known.value, who)]
+            if len(who):
+                yield who, np.unique(h[np.searchsorted(text, k) : np.searchsorted(text, k, "right")])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally("term")
         for part in slices(batches, "text"):
-            _, _, h, text, found = _terms(part)
-            has = np.zeros(part.num_rows, bool)
-            has[[k for k, keys in found if known.value[np.asarray(keys) % _SIFT].any()]] = True
-            yield from tally.add(_distinct(h[has[text]], text[has[text]]))
+            for _, terms in of_interest(part):
+                yield from tally.add(terms)
+        yield from tally.out()
+
+    beside = rows.mapInArrow(near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_beside"))
+    beside = written(beside.filter(F.col("n_beside") >= SUPPORT), "beside")
+    sift = spark.sparkContext.broadcast(_sift_of(beside))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = _Tally("entity", "term")
+        for part in slices(batches, "text"):
+            for who, terms in of_interest(part):
+                terms = terms[_passes(sift.value, terms)]
+                for w in who:
+                    yield from tally.add(np.full(len(terms), w), terms)
         yield from tally.out()
 
-    # terms that stand in SUPPORT documents with such an entity
-    candidates = rows.mapInArrow(near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
-    sift = spark.sparkContext.broadcast(_sift_of(candidates))
+    pairs = rows.mapInArrow(contexts, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
+    pairs = written(pairs.join(beside, "term").filter(F.col("n") >= F.col("n_beside") * DISCLOSURE).join(entities, "entity").select("entity", "term", "n", "n_entity"), "pairs")
+    wanted = spark.sparkContext.broadcast(_sift_of(pairs.select("term").distinct()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally("term")
         for part in slices(batches, "text"):
             _, _, h, text, _ = _terms(part)
-            hit = _passes(sift.value, h)
+            hit = _passes(wanted.value, h)
             yield from tally.add(_distinct(h[hit], text[hit]))
         yield from tally.out()
 
     everywhere = rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    everywhere = written(everywhere.filter((F.col("n_term") >= SUPPORT) & (F.col("n_term") * DISCLOSURE <= most)), "term-counts")
-    rare = spark.sparkContext.broadcast(_levels(everywhere, "term", "floor(log2(n_term))", "min"))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally("entity", "term")
-        for part in slices(batches, "text"):
-            _, _, h, text, found = _terms(part)
-            for k, keys in found:
-                who = np.asarray(keys, np.int64)
-                reach = known.value[who % _SIFT].astype(float)
-                if not reach.any():
-                    continue
-                terms = np.unique(h[np.searchsorted(text, k) : np.searchsorted(text, k, "right")])
-                spread = rare.value[terms % _SIFT].astype(float)
-                terms, spread = terms[spread > 0], spread[spread > 0]
-                for w, r in zip(who[reach > 0], reach[reach > 0], strict=True):
-                    held = terms[spread + np.log2(DISCLOSURE) <= r]
-                    yield from tally.add(np.full(len(held), w), held)
-        yield from tally.out()
-
-    pairs = rows.mapInArrow(contexts, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
     share = F.col("n") / F.col("n_term")
-    found = pairs.join(everywhere, "term").join(entities, "entity").filter((share >= DISCLOSURE) & (F.log2(share * F.lit(float(total)) / F.col("n_entity")) >= BITS))
+    found = pairs.join(everywhere, "term").filter((share >= DISCLOSURE) & (F.log2(share * F.lit(float(total)) / F.col("n_entity")) >= BITS))
     return written(found.select("term").distinct(), "terms")
 
 

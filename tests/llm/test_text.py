@@ -308,3 +308,50 @@ def test_splitting_tree_is_exact():
 
 def test_targets_reshare_the_excess():
     assert mixing.targets([10, 100, 100], [5.0, 2.0, 1.0], 315.0) == [20.0, pytest.approx(590 / 3), pytest.approx(295 / 3)]
+
+
+def test_terms_equal_counts_by_hand(spark):
+    """Disclosing terms against plain counts over all documents."""
+    import random
+    from math import log2
+
+    rng = random.Random(9)
+    common = [f"word{k}" for k in range(60)]
+    rows = []
+    for k in range(400):
+        words = [rng.choice(common) for _ in range(12)]
+        if k % 40 < 3:  # a few people, each with an address, a name and a handle, sometimes apart
+            who = k // 40
+            words.insert(rng.randrange(12), f"p{who}@mail.example.com")
+            words += [f"Name{who},", f"h{who}x"] if k % 40 else [f"(Name{who})"]
+        if k % 40 == 7:
+            words.append(f"Name{k // 40}")
+        if k % 40 in (8, 9, 10, 11):
+            words.append(f"h{k // 40}x")
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+    rows.append((1000, None))
+    terms, holds = {}, {}
+    for k, text in rows:
+        text = text or ""
+        found = pii.base_spans(text.encode())
+        for s, _, e in found:
+            holds.setdefault(text[s:e].lower(), set()).add(k)
+        inside = {text[s:e] for s, _, e in found}
+        for w in text.split(" "):
+            w = w.strip("(),")
+            if w and w not in inside:
+                terms.setdefault(w.lower(), set()).add(k)
+    want = set()
+    for docs in holds.values():
+        for term, own in terms.items():
+            n = len(docs & own)
+            if n >= pii.SUPPORT and len(docs) * 2.0**pii.BITS <= len(rows) and n / len(own) >= pii.DISCLOSURE and log2(n / len(own) * len(rows) / len(docs)) >= pii.BITS:
+                want.add(term)
+    got = set()
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        for x in r.spans.split(",") if r.spans else ():
+            kind, s, e = x.split(":")
+            if kind == "term":
+                got.add(rows[r.doc_id][1][int(s) : int(e)].lower())
+    assert got == want and len(want) >= 5 and not want & set(common)
