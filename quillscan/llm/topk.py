@@ -23,9 +23,9 @@ from .common import ragged
 #: Vectors per shard and queries per block: the most that one task holds of each side.
 SHARD_ROWS, BLOCK_ROWS = 2_500, 20_000
 #: Component values per quantisation step; impacts of a query are quantised to so many levels.
-STEP, LEVELS = 8, 256
-#: Share of a shard's postings in a wave, and vectors that may stay open for rescoring.
-WAVE, OPEN = 0.08, 1 / 20
+STEP, LEVELS = 16, 256
+#: Share of a shard's postings in the first and in later waves, and vectors that may stay open for rescoring.
+FIRST, WAVE, OPEN = 0.6, 0.2, 1 / 6
 
 
 class ImpactIndex:
@@ -35,7 +35,7 @@ class ImpactIndex:
         self.vectors = vectors
         n, dims = vectors.shape
         order = np.argsort(-vectors, axis=0, kind="stable").T
-        self.values = np.take_along_axis(vectors.T, order, axis=1).astype(np.float64)  # dims x n, descending
+        self.values = np.ascontiguousarray(np.take_along_axis(vectors.T, order, axis=1), dtype=np.float64)  # dims x n, descending
         self.postings = order.ravel()
         level = np.floor_divide(self.values, step)
         new = np.ones((dims, n), dtype=bool)
@@ -64,12 +64,12 @@ class ImpactIndex:
         flat = self.values.ravel()
         begin = 0
         while begin < len(rank):
-            end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] if begin else 0) + WAVE * done[-1])))
+            end = max(begin + 1, int(np.searchsorted(done, (done[begin - 1] + WAVE * done[-1]) if begin else FIRST * done[-1])))
             wave = rank[begin:end]
             size = self.size[wave]
             at = ragged(self.start[wave], size)
-            numbers = self.postings[at]
-            score += np.bincount(numbers, flat[at] * np.repeat(of[wave], size) - np.repeat(least[self.dim[wave]], size), n)
+            numbers = self.postings.take(at)
+            score += np.bincount(numbers, flat.take(at) * np.repeat(of[wave], size) - np.repeat(least[self.dim[wave]], size), n)
             seen += np.bincount(numbers, minlength=n)
             self.opened += len(at)
             begin = end
