@@ -185,7 +185,7 @@ def exact_duplicates(spark, sf_dir):
     """
 )
 def winnow_fingerprints(spark, sf_dir):
-    prints = _docs(spark, sf_dir).select("doc_id", T.winnow(T.tokens(F.col("text"))).alias("w")).filter(F.size("w") > 0)
+    prints = _docs(spark, sf_dir).select("doc_id", T.winnowed("text").alias("w")).filter(F.size("w") > 0)
     return prints.select("doc_id", F.size("w").cast("long").alias("fingerprints"), F.array_min("w").alias("least"))
 
 

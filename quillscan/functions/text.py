@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
 from ..refdata import DROPPED, LOOKALIKES, SPACES
 
+#: White space as the regular expressions of the engine see it.
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
@@ -76,6 +85,26 @@ def winnow(words: Column, k: int = 5, window: int = 4) -> Column:
     return bound(hashes, lambda hs: F.array_distinct(F.transform(_starts(hs, window), lambda i: F.array_min(F.slice(hs, i, window)))))
 
 
+@pandas_udf(ArrayType(StringType()))
+def winnowed(text: pd.Series) -> pd.Series:
+    """:func:`winnow` of a text's words: each 5-gram is hashed once, least hashes by a sliding minimum over numbers."""
+    k, window = 5, 4
+
+    def one(value: str | None) -> list[str] | None:
+        if value is None:
+            return None
+        words = [w for w in _BLANKS.split(value) if w]
+        if len(words) < k + window - 1:
+            return []
+        digests = b"".join(hashlib.sha256(" ".join(words[i : i + k]).encode()).digest()[:8] for i in range(len(words) - k + 1))
+        h = np.frombuffer(digests, "<u8")
+        least = np.minimum.reduce([h[j : len(h) - window + 1 + j] for j in range(window)])
+        _, first = np.unique(least, return_index=True)
+        return [f"{v:016x}" for v in least[np.sort(first)].tolist()]
+
+    return text.map(one)
+
+
 def stem(identifier: Column) -> Column:
     """camelCase, PascalCase and kebab-case as snake_case; every capital starts a part."""
     parts = F.regexp_replace(F.regexp_replace(identifier, "-", "_"), "(?<=[^_])(?=\\p{Lu})", "_")

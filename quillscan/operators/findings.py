@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..refdata import COMMERCIAL_MULTIPLIER, CORRELATED, FINDING_TYPES, MULTIPLIERS, NETWORK_MULTIPLIER, SEVERITIES
@@ -68,14 +68,15 @@ def correlation_rows() -> list[tuple[str, str]]:
 def correlate(findings: DataFrame) -> DataFrame:
     """Findings that another finding in the same file corroborates get 1.3 times the confidence and, from Medium up, one more severity.
 
-    Each file's set of types decides, so the self-join shrinks to a semi-join of
-    distinct (file, type) pairs; a finding is raised once.
+    The set of a file's types decides, so each finding only needs that set, which has a
+    fixed greatest size; findings are read once and dealt out by file once.
     """
-    spark = findings.sparkSession
-    rules = spark.createDataFrame(correlation_rows(), "vtype string, other string")  # a fixed number of rows
-    present = findings.select("file", F.col("vtype").alias("other")).distinct()
-    hit = present.join(F.broadcast(rules), "other").select("file", "vtype").distinct().withColumn("corroborated", F.lit(True))
-    marked = findings.join(hit, ["file", "vtype"], "left").withColumn("corroborated", F.coalesce("corroborated", F.lit(False)))
+    partners: dict[str, list[str]] = {}
+    for a, b in correlation_rows():
+        partners.setdefault(a, []).append(b)
+    table = F.create_map(*(x for a, bs in partners.items() for x in (F.lit(a), F.array(*map(F.lit, bs)))))
+    present = F.collect_set("vtype").over(Window.partitionBy("file"))
+    marked = findings.withColumn("corroborated", F.coalesce(F.arrays_overlap(F.element_at(table, F.col("vtype")), present), F.lit(False)))
     up = F.col("corroborated")
     rank = F.when(up & F.col("sev_rank").isin(2, 3), F.col("sev_rank") + 1).otherwise(F.col("sev_rank"))
     names = F.array(*(F.lit(n) for n in ("Low", "Medium", "High", "Critical")))
@@ -106,7 +107,9 @@ def risk_score(findings: DataFrame, policy: Policy | None = None) -> DataFrame:
     spark = findings.sparkSession
     weights = spark.createDataFrame(multiplier_rows(policy or Policy()), "vtype string, multiplier double")
     points = (base_score(F.col("sev_rank")) * F.coalesce("multiplier", F.lit(1.0)) * F.col("confidence")).cast("int")
-    scored = findings.join(F.broadcast(weights), "vtype", "left").select(points.alias("p"))
+    # custom findings about DRM weigh as much as a laundered licence
+    weighed = findings.join(F.broadcast(weights), "vtype", "left").withColumn("multiplier", F.when(F.col("vtype").startswith("Custom") & F.col("vtype").contains("DRM"), F.lit(2.0)).otherwise(F.col("multiplier")))
+    scored = weighed.select(points.alias("p"))
     score = F.least(F.lit(100), F.coalesce(F.sum("p"), F.lit(0))).cast("int")
     return scored.agg(score.alias("score")).withColumn("level", risk_level(F.col("score")))
 

@@ -2,49 +2,46 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.license import families_in_text, family, licence_of_text
 from ..functions.text import bound, occurrences
-from ..operators.data_rights import has_email, has_ipv4, ml_datasets
+from ..operators.data_rights import has_email, has_ipv4
 from ..operators.findings import Policy, apply_policy, correlate, deduplicate, type_rows
+from ..refdata import ML_DATASETS
 
 _DEFAULTS = {name: (severity, rank) for name, _, severity, rank in type_rows()}
 
 
-def _finding(files: DataFrame, phase: str, order: int, vtype: str | Column, when: Column, confidence: float, evidence: Column) -> DataFrame:
-    """Rows of ``files`` that meet a condition, as findings; ``ord`` is unique per file and detector."""
+def _finding(phase: str, order: int, vtype: str | Column, when: Column, confidence: float, evidence: Column) -> Column:
+    """A struct of one detector's finding where its condition holds, else null."""
     kind = F.lit(vtype) if isinstance(vtype, str) else vtype
-    # the type and the evidence are computed once, then looked at
-    hits = files.filter(when).select("ord", "path", kind.alias("_kind"), evidence.cast("string").alias("_evidence"))
-    kind, evidence = F.col("_kind"), F.col("_evidence")
-    severity = F.element_at(F.create_map(*(F.lit(x) for k, v in _DEFAULTS.items() for x in (k, v[0]))), kind)
-    rank = F.element_at(F.create_map(*(F.lit(x) for k, v in _DEFAULTS.items() for x in (k, v[1]))), kind)
-    return hits.filter(kind.isNotNull()).select(
-        (F.col("ord") * 100 + order).alias("ord"), F.lit(phase).alias("phase"), kind.alias("vtype"), F.col("path").alias("file"), severity.alias("severity"), rank.alias("sev_rank"), F.lit(confidence).alias("confidence"), evidence.alias("evidence")
-    )
+    return F.when(when, F.struct(F.lit(order).alias("order"), F.lit(phase).alias("phase"), kind.alias("vtype"), F.lit(confidence).alias("confidence"), evidence.cast("string").alias("evidence")))
 
 
 def detect(files: DataFrame) -> DataFrame:
-    """Findings of all detectors over ``ord, path, text``; every detector reads the one ``files`` table."""
+    """Findings of all detectors over ``ord, path, text``: one scan, each text lower-cased and normalised once."""
     text = F.col("text")
-    licence = licence_of_text(text)
-    fam = family(licence)
-    by_family = bound(fam, lambda fam: F.when(fam.isin("StrongCopyleft", "NetworkCopyleft"), "CopyleftInProprietary").when(fam == "CreativeCommonsRestricted", "CcNonCommercialViolation").when(fam == "SourceAvailable", "CommercialUseViolation"))
-    parts = [
-        _finding(files, "license_text", 1, by_family, licence.isNotNull(), 0.9, licence),
-        _finding(files, "license_text", 2, "ChimeraLicense", F.size(families_in_text(text)) >= 3, 0.85, F.array_join(families_in_text(text), ",")),
-        _finding(files, "data_rights", 3, "PiiExposure", has_email(text), 0.8, F.lit("email")),
-        _finding(files, "data_rights", 4, "PiiExposure", has_ipv4(text), 0.7, F.lit("ip")),
-        _finding(ml_datasets(files).groupBy("ord", "path").agg(F.min("dataset").alias("text")), "data_rights", 5, "MlDatasetViolation", F.lit(True), 0.6, F.col("text")),
-        _finding(files, "data_rights", 6, "UnlicensedGeodata", F.lower(text).contains("openstreetmap"), 0.6, F.lit("OpenStreetMap")),
-        _finding(files, "data_rights", 7, "ExposedSecrets", F.lower(text).rlike(r"(password|token|secret)\s*[=:]\s*\S"), 0.6, F.lit("assigned secret")),
-        _finding(files, "attribution", 8, "MissingAttribution", F.lower(text).contains("all rights reserved"), 0.5, occurrences(F.lower(text), "all rights reserved")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    base = files.select("ord", "path", "text", F.lower(text).alias("low"), licence_of_text(text).alias("licence"), families_in_text(text).alias("families"))
+    low, licence, families = F.col("low"), F.col("licence"), F.col("families")
+    by_family = bound(family(licence), lambda fam: F.when(fam.isin("StrongCopyleft", "NetworkCopyleft"), "CopyleftInProprietary").when(fam == "CreativeCommonsRestricted", "CcNonCommercialViolation").when(fam == "SourceAvailable", "CommercialUseViolation"))
+    dataset = F.array_min(F.array_compact(F.array(*(F.when(low.contains(n), F.lit(n)) for n, _ in ML_DATASETS))))
+    found = F.array_compact(
+        F.array(
+            _finding("license_text", 1, by_family, licence.isNotNull(), 0.9, licence),
+            _finding("license_text", 2, "ChimeraLicense", F.size(families) >= 3, 0.85, F.array_join(families, ",")),
+            _finding("data_rights", 3, "PiiExposure", has_email(text), 0.8, F.lit("email")),
+            _finding("data_rights", 4, "PiiExposure", has_ipv4(text), 0.7, F.lit("ip")),
+            _finding("data_rights", 5, "MlDatasetViolation", dataset.isNotNull(), 0.6, dataset),
+            _finding("data_rights", 6, "UnlicensedGeodata", low.contains("openstreetmap"), 0.6, F.lit("OpenStreetMap")),
+            _finding("data_rights", 7, "ExposedSecrets", low.rlike(r"(password|token|secret)\s*[=:]\s*\S"), 0.6, F.lit("assigned secret")),
+            _finding("attribution", 8, "MissingAttribution", low.contains("all rights reserved"), 0.5, occurrences(low, "all rights reserved")),
+        )
+    )
+    hits = base.select("ord", "path", F.explode(found).alias("f")).filter("f.vtype IS NOT NULL")
+    looked_up = lambda k: F.element_at(F.create_map(*(F.lit(x) for name, v in _DEFAULTS.items() for x in (name, v[k]))), F.col("f.vtype"))
+    return hits.select((F.col("ord") * 100 + F.col("f.order")).alias("ord"), "f.phase", "f.vtype", F.col("path").alias("file"), looked_up(0).alias("severity"), looked_up(1).alias("sev_rank"), "f.confidence", "f.evidence")
 
 
 def scan(files: DataFrame, policy: Policy | None = None) -> DataFrame:
