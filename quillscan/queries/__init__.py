@@ -1,5 +1,5 @@
 """Further driver queries with their DuckDB SQL; importing a module registers its queries in the catalog."""
 
-from . import licences, packages
+from . import commons, licences, packages, web
 
-__all__ = ["licences", "packages"]
+__all__ = ["commons", "licences", "packages", "web"]

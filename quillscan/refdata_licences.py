@@ -105,3 +105,117 @@ LICENCES = [
     ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0", "CreativeCommons", ["Attribution", "ShareAlike"], False, True, False, ["CC-BY-SA-4.0"], ["LICENSE"], ["Attribution-ShareAlike"]),
     ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0", "CreativeCommonsRestricted", ["Attribution", "NonCommercial"], False, False, False, ["CC-BY-NC-4.0"], ["LICENSE"], ["NonCommercial"]),
 ]
+
+# Names of Creative Commons licences in texts and URLs, and their ids.
+CC_TEXTS = [
+    ("creative commons attribution 4.0", "CC-BY-4.0"),
+    ("creative commons attribution-sharealike 4.0", "CC-BY-SA-4.0"),
+    ("creative commons attribution-noncommercial 4.0", "CC-BY-NC-4.0"),
+    ("creative commons attribution-noderivatives 4.0", "CC-BY-ND-4.0"),
+    ("creative commons attribution-noncommercial-sharealike 4.0", "CC-BY-NC-SA-4.0"),
+    ("creative commons attribution-noncommercial-noderivatives 4.0", "CC-BY-NC-ND-4.0"),
+    ("creative commons attribution 3.0", "CC-BY-3.0"),
+    ("creative commons attribution-sharealike 3.0", "CC-BY-SA-3.0"),
+    ("creative commons attribution-noncommercial 3.0", "CC-BY-NC-3.0"),
+    ("creative commons attribution-noderivatives 3.0", "CC-BY-ND-3.0"),
+    ("creative commons attribution-noncommercial-sharealike 3.0", "CC-BY-NC-SA-3.0"),
+    ("creative commons attribution-noncommercial-noderivatives 3.0", "CC-BY-NC-ND-3.0"),
+    ("creative commons zero", "CC0-1.0"),
+    ("cc0 1.0 universal", "CC0-1.0"),
+    ("public domain dedication", "CC0-1.0"),
+    ("cc-by-4.0", "CC-BY-4.0"),
+    ("cc-by-sa-4.0", "CC-BY-SA-4.0"),
+    ("cc-by-nc-4.0", "CC-BY-NC-4.0"),
+    ("cc-by-nd-4.0", "CC-BY-ND-4.0"),
+    ("cc-by-nc-sa-4.0", "CC-BY-NC-SA-4.0"),
+    ("cc-by-nc-nd-4.0", "CC-BY-NC-ND-4.0"),
+    ("cc-by-3.0", "CC-BY-3.0"),
+    ("cc-by-sa-3.0", "CC-BY-SA-3.0"),
+    ("cc-by-nc-3.0", "CC-BY-NC-3.0"),
+    ("cc-by-nd-3.0", "CC-BY-ND-3.0"),
+    ("cc-by-nc-sa-3.0", "CC-BY-NC-SA-3.0"),
+    ("cc-by-nc-nd-3.0", "CC-BY-NC-ND-3.0"),
+]
+CC_URLS = [
+    ("creativecommons.org/licenses/by/4.0", "CC-BY-4.0"),
+    ("creativecommons.org/licenses/by-sa/4.0", "CC-BY-SA-4.0"),
+    ("creativecommons.org/licenses/by-nc/4.0", "CC-BY-NC-4.0"),
+    ("creativecommons.org/licenses/by-nd/4.0", "CC-BY-ND-4.0"),
+    ("creativecommons.org/licenses/by-nc-sa/4.0", "CC-BY-NC-SA-4.0"),
+    ("creativecommons.org/licenses/by-nc-nd/4.0", "CC-BY-NC-ND-4.0"),
+    ("creativecommons.org/licenses/by/3.0", "CC-BY-3.0"),
+    ("creativecommons.org/licenses/by-sa/3.0", "CC-BY-SA-3.0"),
+    ("creativecommons.org/licenses/by-nc/3.0", "CC-BY-NC-3.0"),
+    ("creativecommons.org/licenses/by-nd/3.0", "CC-BY-ND-3.0"),
+    ("creativecommons.org/licenses/by-nc-sa/3.0", "CC-BY-NC-SA-3.0"),
+    ("creativecommons.org/licenses/by-nc-nd/3.0", "CC-BY-NC-ND-3.0"),
+    ("creativecommons.org/publicdomain/zero/1.0", "CC0-1.0"),
+    ("creativecommons.org/licenses/by/2.0", "CC-BY-2.0"),
+    ("creativecommons.org/licenses/by-sa/2.0", "CC-BY-SA-2.0"),
+    ("creativecommons.org/licenses/by-nc/2.0", "CC-BY-NC-2.0"),
+    ("creativecommons.org/licenses/by/2.5", "CC-BY-2.5"),
+    ("creativecommons.org/licenses/by-sa/2.5", "CC-BY-SA-2.5"),
+]
+# Files that give credit, and words of commercial use with their kinds.
+CREDIT_FILES = [
+    "CREDITS",
+    "CREDITS.md",
+    "CREDITS.txt",
+    "ATTRIBUTION",
+    "ATTRIBUTION.md",
+    "ATTRIBUTION.txt",
+    "THIRD-PARTY-NOTICES",
+    "THIRD-PARTY-NOTICES.md",
+    "THIRD_PARTY_NOTICES",
+    "THIRD_PARTY_NOTICES.md",
+    "ACKNOWLEDGMENTS",
+    "ACKNOWLEDGMENTS.md",
+    "ACKNOWLEDGEMENTS",
+    "ACKNOWLEDGEMENTS.md",
+    "NOTICE",
+    "NOTICE.md",
+    "NOTICE.txt",
+    "AUTHORS",
+    "AUTHORS.md",
+    "AUTHORS.txt",
+    "CONTRIBUTORS",
+    "CONTRIBUTORS.md",
+]
+COMMERCIAL = [
+    ("stripe", "PaymentProcessing"),
+    ("paypal", "PaymentProcessing"),
+    ("braintree", "PaymentProcessing"),
+    ("square", "PaymentProcessing"),
+    ("payment_intent", "PaymentProcessing"),
+    ("checkout.session", "PaymentProcessing"),
+    ("gumroad", "PaymentProcessing"),
+    ("lemonsqueezy", "PaymentProcessing"),
+    ("paddle", "PaymentProcessing"),
+    ("google_ad", "Advertising"),
+    ("adsense", "Advertising"),
+    ("adwords", "Advertising"),
+    ("doubleclick", "Advertising"),
+    ("facebook pixel", "Advertising"),
+    ("fbevents", "Advertising"),
+    ("analytics.js", "Advertising"),
+    ("gtag", "Advertising"),
+    ("google tag manager", "Advertising"),
+    ("shopping cart", "Ecommerce"),
+    ("add to cart", "Ecommerce"),
+    ("checkout", "Ecommerce"),
+    ("shopify", "Ecommerce"),
+    ("woocommerce", "Ecommerce"),
+    ("magento", "Ecommerce"),
+    ("product_price", "Ecommerce"),
+    ("buy now", "Ecommerce"),
+    ("purchase", "Ecommerce"),
+    ("subscription", "SaasIndicators"),
+    ("premium plan", "SaasIndicators"),
+    ("free tier", "SaasIndicators"),
+    ("api_key", "SaasIndicators"),
+    ("rate_limit", "SaasIndicators"),
+    ("billing", "SaasIndicators"),
+    ("pro plan", "SaasIndicators"),
+    ("enterprise", "SaasIndicators"),
+    ("pricing", "SaasIndicators"),
+]
