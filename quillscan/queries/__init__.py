@@ -1,5 +1,5 @@
 """Further driver queries with their DuckDB SQL; importing a module registers its queries in the catalog."""
 
-from . import commons, licences, packages, web
+from . import commons, contamination, licences, packages, web
 
-__all__ = ["commons", "licences", "packages", "web"]
+__all__ = ["commons", "contamination", "licences", "packages", "web"]

@@ -219,3 +219,32 @@ COMMERCIAL = [
     ("enterprise", "SaasIndicators"),
     ("pricing", "SaasIndicators"),
 ]
+# Exceptions that keep a copyleft licence from passing on.
+NEUTRALISING = [
+    "Classpath-exception-2.0",
+    "GCC-exception-3.1",
+    "Autoconf-exception-3.0",
+    "Autoconf-exception-generic",
+    "Autoconf-exception-macro",
+    "Bison-exception-2.2",
+    "FLTK-exception",
+    "Font-exception-2.0",
+    "LZMA-exception",
+    "Libtool-exception",
+    "Linux-syscall-note",
+    "Nokia-Qt-exception-1.1",
+    "OpenVPN-openssl-exception",
+    "PS-or-PDF-font-exception-20170817",
+    "Qt-LGPL-exception-1.1",
+    "Qt-no-exception",
+    "Swift-exception",
+    "Universal-FOSS-exception-1.0",
+    "WxWindows-exception-3.1",
+    "eCos-exception-2.0",
+    "gnu-compiler-exception",
+    "i2p-gpl-java-exception",
+    "mif-exception",
+    "u-boot-exception-2.0",
+]
+# How surely contamination crosses a kind of linking; any other 0.5.
+LINK_FACTORS = {"Source": 1.0, "Static": 1.0, "Dynamic": 0.85, "HeaderOnly": 0.7, "Unknown": 0.6}
