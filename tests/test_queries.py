@@ -77,7 +77,7 @@ def test_trace_rules(spark):
 def test_forensics_on_odd_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "MIT " * 3000)], "ord long, text string")
     got = {r.ord: r for r in forensics.analyse(rows, F.lit("MIT")).collect()}
-    assert len(got) == 3 and got[2].trust < 1 and got[3].trust <= 0.6
+    assert len(got) == 3 and got[2].trust == 0.45 and got[3].trust == 0.65  # two clauses of 0.15 and one of 0.05 are missing; a short text costs 0.2
     assert forensics.unicode_anomalies(rows).count() == 0
 
 
