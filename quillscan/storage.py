@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+#: Folders of applications that have no shared one.
+_own: dict[str, str] = {}
+
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to ``spark.checkpoint.dir`` and read it back: cuts lineage, survives lost executors.
@@ -18,8 +21,8 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillscan-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        _own[app] = root = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="quillscan-")
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
