@@ -139,13 +139,26 @@ class _Tally:
         self.parts: list[list[np.ndarray]] = []
         self.rows, self.merged = 0, 0
 
-    def add(self, *keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def count(self, *keys: np.ndarray) -> None:
         self.parts.append([*keys, np.ones(len(keys[0]), np.int64)])
         self.rows += len(keys[0])
         if self.rows > 2 * self.merged + _HELD // 4:
             self._merge()
-            if self.merged > _HELD:
-                yield from self.out()
+
+    def add(self, *keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.count(*keys)
+        if self.merged > _HELD:
+            yield from self.out()
+
+    def reset(self) -> None:
+        self.parts, self.rows, self.merged = [], 0, 0
+
+    def arrays(self) -> list[np.ndarray]:
+        """Keys in order and their counts."""
+        if self.parts:
+            self._merge()
+            return self.parts[0]
+        return [np.zeros(0, np.int64) for _ in (*self.names, "n")]
 
     def _merge(self) -> None:
         *keys, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
@@ -159,7 +172,18 @@ class _Tally:
         if self.parts:
             self._merge()
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in self.parts[0]], names=[*self.names, "n"])
-        self.parts, self.rows, self.merged = [], 0, 0
+        self.reset()
+
+
+def _joined(beside: _Tally, around: _Tally) -> pa.RecordBatch:
+    """Each term of ``beside`` with its count and the greater of both counts; both tallies start anew."""
+    term, n = beside.arrays()
+    other, m = around.arrays()
+    at = np.minimum(np.searchsorted(other, term), max(len(other) - 1, 0))
+    most = np.where(other[at] == term, np.maximum(m[at], n), n) if len(other) else n
+    beside.reset()
+    around.reset()
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (term, n, most)], names=["term", "n", "m"])
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +227,8 @@ def _passes(sift: np.ndarray, h: np.ndarray) -> np.ndarray:
 def disclosing_terms(rows: DataFrame) -> DataFrame:
     """``term`` (a hash) of every term whose disclosure exceeds the thresholds, from counts over all of ``rows``.
 
-    A term stands in at least as many documents as in those with some entity, so pairs
-    whose share of the latter is too small already are no candidates; only the terms
-    that are left are counted over all documents.
+    A pair whose share of the documents that are sure to hold its term is too small
+    already is no candidate; only the terms that are left are counted over all documents.
     """
     spark = rows.sparkSession
     total = rows.count()
@@ -214,9 +237,8 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
     entities = written(entities.filter((F.col("n_entity") >= SUPPORT) & (F.col("n_entity") * 2.0**BITS <= total)), "entities")
     known = spark.sparkContext.broadcast(_sift_of(entities.select(F.col("entity").alias("term"))))
 
-    def of_interest(part: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_interest(h: np.ndarray, text: np.ndarray, found: list[tuple[int, list[int]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The entities that may matter and the distinct terms of each text that has such an entity."""
-        _, _, h, text, found = _terms(part)
         for k, keys in found:
             who = np.asarray(keys, np.int64)
             who = who[_passes(known.value, who)]
@@ -224,27 +246,35 @@ def disclosing_terms(rows: DataFrame) -> DataFrame:
                 yield who, np.unique(h[np.searchsorted(text, k) : np.searchsorted(text, k, "right")])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally("term")
+        """Terms beside entities, with the documents that are sure to hold them: such ones, or all that the task has counted lately."""
+        beside, around = _Tally("term"), _Tally("term")
         for part in slices(batches, "text"):
-            for _, terms in of_interest(part):
-                yield from tally.add(terms)
-        yield from tally.out()
-
-    beside = rows.mapInArrow(near, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_beside"))
+            _, _, h, text, found = _terms(part)
+            around.count(_distinct(h, text))
+            if around.merged > _HELD:
+                around.reset()
+            for _, terms in of_interest(h, text, found):
+                beside.count(terms)
+            if beside.merged > _HELD:
+                yield _joined(beside, around)
+        yield _joined(beside, around)
+
+    beside = rows.mapInArrow(near, "term long, n long, m long").groupBy("term").agg(F.sum("n").alias("n_beside"), F.sum("m").alias("n_least"))
     beside = written(beside.filter(F.col("n_beside") >= SUPPORT), "beside")
     sift = spark.sparkContext.broadcast(_sift_of(beside))
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = _Tally("entity", "term")
         for part in slices(batches, "text"):
-            for who, terms in of_interest(part):
+            _, _, h, text, found = _terms(part)
+            for who, terms in of_interest(h, text, found):
                 terms = terms[_passes(sift.value, terms)]
                 for w in who:
                     yield from tally.add(np.full(len(terms), w), terms)
         yield from tally.out()
 
     pairs = rows.mapInArrow(contexts, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= SUPPORT)
-    pairs = written(pairs.join(beside, "term").filter(F.col("n") >= F.col("n_beside") * DISCLOSURE).join(entities, "entity").select("entity", "term", "n", "n_entity"), "pairs")
+    pairs = written(pairs.join(beside, "term").filter(F.col("n") >= F.col("n_least") * DISCLOSURE).join(entities, "entity").select("entity", "term", "n", "n_entity"), "pairs")
     wanted = spark.sparkContext.broadcast(_sift_of(pairs.select("term").distinct()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
