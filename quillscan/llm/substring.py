@@ -204,16 +204,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A word goes if a window of its row covers it whose word sequence starts earlier
     too: in a row with a smaller id, or earlier in the same row.  Null text: no words.
     Texts shorter than a window keep all words.  Rows that repeat an id count as
-    further occurrences after the first of them (ordered by text); null ids sort
+    further occurrences after the first of them in the order they are read; null ids sort
     before all others and keep their null.  Other columns are never read.
     """
-    from pyspark.sql import Window
-
     clean = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     repeated = clean.groupBy("doc_id").agg(F.count("*").alias("n")).filter((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count()
-    if repeated:  # only then rows of one id need an order, by a window over few rows each
-        order = Window.partitionBy("doc_id").orderBy("text")
-        clean = written(clean.withColumn("row", F.row_number().over(order).cast("long")), "rows")
+    if repeated:  # only then rows of one id need an order: that of a written table, so no id's rows meet in one task
+        clean = written(clean.withColumn("row", F.monotonically_increasing_id()), "rows")
     else:
         clean = clean.withColumn("row", F.lit(1).cast("long"))
     null_id = -(2**63)
