@@ -1,5 +1,5 @@
 """Further driver queries with their DuckDB SQL; importing a module registers its queries in the catalog."""
 
-from . import commons, contamination, licences, packages, selection, web
+from . import commons, contamination, licences, oracles, packages, selection, web
 
-__all__ = ["commons", "contamination", "licences", "packages", "selection", "web"]
+__all__ = ["commons", "contamination", "licences", "oracles", "packages", "selection", "web"]
