@@ -25,8 +25,17 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
 
 
 def spdx_packages(deps: DataFrame) -> DataFrame:
-    """``number, package``: packages in name order (dependencies of one project: a bounded list)."""
-    number = F.row_number().over(Window.orderBy("ecosystem", "name"))
+    """``number, package``: packages in name order, numbered inside groups of one initial and shifted by the groups before.
+
+    There is a group per ecosystem and first character, so no task holds all packages.
+    """
+    initial = F.coalesce(F.left("name", F.lit(1)), F.lit(""))
+    rows = deps.withColumn("_initial", initial).withColumn("_ecosystem", F.coalesce("ecosystem", F.lit("")))
+    key = ["_ecosystem", "_initial"]
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("_n"))  # at most a row per ecosystem and character
+    shift = sizes.select(*key, F.coalesce(F.sum("_n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    number = (F.row_number().over(Window.partitionBy(*key).orderBy("name", "version_spec")) + F.col("_shift")).cast("int")
+    deps = rows.join(shift, key)
     body = F.to_json(F.struct(F.concat(F.lit("SPDXRef-Package-"), F.col("number").cast("string")).alias("SPDXID"), "name", F.coalesce("version_spec", F.lit("NOASSERTION")).alias("versionInfo")))
     return deps.withColumn("number", number).select("number", body.alias("package"))
 
