@@ -80,29 +80,35 @@ def _family_sql(licence: str) -> str:
 _EMAIL = r"regexp_matches(text, '[\p{L}\p{N}]@[\p{L}\p{N}].{0,47}\.', 's')"
 _IP = "len(list_filter(regexp_split_to_array(text, '[^0-9.]+'), lambda r: regexp_full_match(r, '[0-9]{1,9}(\\.[0-9]{1,9}){3}') AND len(list_filter(string_split(r, '.'), lambda o: TRY_CAST(o AS INTEGER) > 255)) = 0)) > 0"
 _DOCS = "SELECT doc_id AS ord, 'documents/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM documents"
+_GEODATA = _values([(i, *g) for i, g in enumerate(R.GEODATA)])
+_ASSIGNED = r"regexp_matches(lower(line), '(password|token|secret)[ \t\n\x0b\f\r]*[=:][ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]')"
+_SECRET_KINDS = ", ".join([f"CASE WHEN regexp_matches(line, {_q(p)}) THEN {{'kind': {i}, 'secret': {_q(n)}}} END" for i, (n, p) in enumerate(R.SECRETS)] + [f"CASE WHEN {_ASSIGNED} THEN {{'kind': {len(R.SECRETS)}, 'secret': 'Assigned secret'}} END"])
+_SECRET_LINES = f"""SELECT ord, path, line_no, s.kind AS kind, s.secret AS secret, CASE WHEN length(trim(line)) > 20 THEN left(trim(line), 8) || '...' || right(trim(line), 4) ELSE left(trim(line), 8) || '...' END AS redacted
+FROM (SELECT *, unnest(list_filter([{_SECRET_KINDS}], lambda x: x IS NOT NULL)) AS s FROM (SELECT ord, path, regexp_replace(unnest(ls), '\\r$', '') AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM (SELECT ord, path, string_split(text, chr(10)) AS ls FROM ({_DOCS}))))"""
 _DETECTED = f"""
 f AS (SELECT *, {_plain_sql("text")} AS plain FROM ({_DOCS})),
 l AS (SELECT *, {_licence_sql("plain")} AS licence FROM f),
 m AS (SELECT *, {_family_sql("licence")} AS family FROM l),
 t(vtype, category, severity, sev_rank) AS ({_values(findings.type_rows())}),
 raw AS (
-  SELECT ord * 100 + 1 AS ord, 'license_text' AS phase, CASE WHEN family IN ('StrongCopyleft', 'NetworkCopyleft') THEN 'CopyleftInProprietary' WHEN family = 'CreativeCommonsRestricted' THEN 'CcNonCommercialViolation' WHEN family = 'SourceAvailable' THEN 'CommercialUseViolation' END AS vtype, path AS file, 0.9 AS confidence, licence AS evidence FROM m WHERE licence IS NOT NULL
+  SELECT ord, 1 AS det, 0 AS sub, 'license_text' AS phase, CASE WHEN family IN ('StrongCopyleft', 'NetworkCopyleft') THEN 'CopyleftInProprietary' WHEN family = 'CreativeCommonsRestricted' THEN 'CcNonCommercialViolation' WHEN family = 'SourceAvailable' THEN 'CommercialUseViolation' END AS vtype, path AS file, 0.9 AS confidence, licence AS evidence FROM m WHERE licence IS NOT NULL
   UNION ALL
-  SELECT ord * 100 + 2, 'license_text', 'ChimeraLicense', path, 0.85, array_to_string(fams, ',') FROM (SELECT *, list_filter([{", ".join(f"CASE WHEN contains(plain, {_q(p)}) THEN {_q(n)} END" for p, n in R.CHIMERA_SIGNATURES)}], lambda x: x IS NOT NULL) AS fams FROM f) WHERE len(fams) >= 3
+  SELECT ord, 2, 0, 'license_text', 'ChimeraLicense', path, 0.85, array_to_string(fams, ',') FROM (SELECT *, list_filter([{", ".join(f"CASE WHEN contains(plain, {_q(p)}) THEN {_q(n)} END" for p, n in R.CHIMERA_SIGNATURES)}], lambda x: x IS NOT NULL) AS fams FROM f) WHERE len(fams) >= 3
   UNION ALL
-  SELECT ord * 100 + 3, 'data_rights', 'PiiExposure', path, 0.8, 'email' FROM f WHERE {_EMAIL}
+  SELECT ord, 3, 0, 'data_rights', 'PiiExposure', path, 0.8, 'email' FROM f WHERE {_EMAIL}
   UNION ALL
-  SELECT ord * 100 + 4, 'data_rights', 'PiiExposure', path, 0.7, 'ip' FROM f WHERE {_IP}
+  SELECT ord, 4, 0, 'data_rights', 'PiiExposure', path, 0.7, 'ip' FROM f WHERE {_IP}
   UNION ALL
-  SELECT ord * 100 + 5, 'data_rights', 'MlDatasetViolation', path, 0.6, min(d.dataset) FROM f JOIN ({_values(R.ML_DATASETS)}) AS d(dataset, licence) ON contains(lower(text), d.dataset) GROUP BY ord, path
+  SELECT ord, 5, d.sub, 'data_rights', 'MlDatasetViolation', path, 0.75, d.dataset FROM f JOIN ({_values([(i, n) for i, (n, _) in enumerate(R.ML_DATASETS)])}) AS d(sub, dataset) ON contains(lower(text), d.dataset)
   UNION ALL
-  SELECT ord * 100 + 6, 'data_rights', 'UnlicensedGeodata', path, 0.6, 'OpenStreetMap' FROM f WHERE contains(lower(text), 'openstreetmap')
+  SELECT ord, 6, min(g.sub), 'data_rights', 'UnlicensedGeodata', path, 0.8, g.provider FROM f JOIN ({_GEODATA}) AS g(sub, mark, provider, licence, attribution) ON contains(lower(text), g.mark) GROUP BY ord, path, g.provider
   UNION ALL
-  SELECT ord * 100 + 7, 'data_rights', 'ExposedSecrets', path, 0.6, 'assigned secret' FROM f WHERE regexp_matches(lower(text), '(password|token|secret)[ \\t\\n\\x0b\\f\\r]*[=:][ \\t\\n\\x0b\\f\\r]*[^ \\t\\n\\x0b\\f\\r]')
+  SELECT ord, 7, line_no * 100 + kind, 'data_rights', 'ExposedSecrets', path, 0.9, secret || ' line ' || line_no || ': ' || redacted FROM ({_SECRET_LINES})
   UNION ALL
-  SELECT ord * 100 + 8, 'attribution', 'MissingAttribution', path, 0.5, CAST((length(lower(text)) - length(replace(lower(text), 'all rights reserved', ''))) // 19 AS VARCHAR) FROM f WHERE contains(lower(text), 'all rights reserved')
+  SELECT ord, 8, 0, 'attribution', 'MissingAttribution', path, 0.5, CAST((length(lower(text)) - length(replace(lower(text), 'all rights reserved', ''))) // 19 AS VARCHAR) FROM f WHERE contains(lower(text), 'all rights reserved')
 ),
-found AS (SELECT raw.ord, raw.phase, raw.vtype, raw.file, t.severity, t.sev_rank, CAST(raw.confidence AS DOUBLE) AS confidence, raw.evidence FROM raw JOIN t USING (vtype)),
+numbered AS (SELECT *, ord * 1000000 + row_number() OVER (PARTITION BY ord ORDER BY det, sub) - 1 AS place FROM raw),
+found AS (SELECT r.place AS ord, r.phase, r.vtype, r.file, t.severity, t.sev_rank, CAST(r.confidence AS DOUBLE) AS confidence, r.evidence FROM numbered r JOIN t USING (vtype)),
 rules(vtype, other) AS ({_values(findings.correlation_rows())}),
 hit AS (SELECT DISTINCT a.file, a.vtype FROM found a JOIN rules r ON a.vtype = r.vtype JOIN found b ON b.file = a.file AND b.vtype = r.other),
 corr AS (
@@ -202,12 +208,22 @@ def benchmark_overlap(spark, sf_dir):
     return shared.filter("shared >= 0.5 * size").select("doc_id", "item_id", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("share"))
 
 
-@query("SELECT a.vec_id, round(CASE WHEN x = 0 OR y = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, dot / (x * y))) END, 5) AS cosine FROM (SELECT a.vec_id, list_dot_product(a.e, b.e) AS dot, sqrt(list_dot_product(a.e, a.e)) AS x, sqrt(list_dot_product(b.e, b.e)) AS y FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) a, (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) b) a")
+#: Query vectors and compared vectors of one cell of :func:`embedding_cosine`.
+_CELL = (256, 4096)
+
+
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.e, b.e) AS dot, sqrt(list_dot_product(a.e, a.e)) AS x, sqrt(list_dot_product(b.e, b.e)) AS y FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query_id, vec_id, round(CASE WHEN x = 0 OR y = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, dot / (x * y))) END, 5) AS cosine FROM p")
 def embedding_cosine(spark, sf_dir):
-    """Cosine of every embedding with that of vector 0 (one broadcast row)."""
+    """Cosine of each vector whose id is divisible by 50 with every other: both sides meet in cells of bounded size."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    one = rows.filter("vec_id = 0").select(F.col("e").alias("o"))
-    return rows.join(F.broadcast(one)).select("vec_id", F.round(T.cosine(F.col("e"), F.col("o")), 5).alias("cosine"))
+    n, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % 50 == 0)).first()
+    blocks, chunks = -(-queries // _CELL[0]) or 1, -(-n // _CELL[1]) or 1
+    place = lambda k: F.pmod(F.xxhash64("vec_id"), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)).cast("array<bigint>"))
+    asked = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), place(blocks).alias("block"), every(chunks).alias("chunk"))
+    others = rows.select("vec_id", "e", place(chunks).alias("chunk"), every(blocks).alias("block"))
+    pairs = asked.join(others, ["block", "chunk"]).filter("query_id <> vec_id")
+    return pairs.select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("e")), 5).alias("cosine"))
 
 
 @query()
@@ -295,16 +311,16 @@ def data_licence_mentions(spark, sf_dir):
     return data_rights.data_licences(_files(spark, sf_dir)).groupBy("pattern", "licence").agg(F.count("*").alias("documents"))
 
 
-@query(
-    r"""
-    WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
-    SELECT doc_id AS ord, line_no, CASE WHEN length(trim(line)) > 20 THEN left(trim(line), 8) || '...' || right(trim(line), 4) ELSE left(trim(line), 8) || '...' END AS redacted
-    FROM l WHERE regexp_matches(lower(line), '(password|token|secret)[ \t\n\x0b\f\r]*[=:][ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]')
-    """
-)
+@query(f"SELECT ord, line_no, secret, redacted FROM ({_SECRET_LINES})")
 def secret_lines(spark, sf_dir):
-    found = data_rights.secret_lines(_files(spark, sf_dir))
-    return found.filter("secret = 'Assigned secret'").select("ord", "line_no", "redacted")
+    """Lines with a secret of any kind, a row per kind."""
+    return data_rights.secret_lines(_files(spark, sf_dir)).select("ord", "line_no", "secret", "redacted")
+
+
+@query(f"SELECT provider, arg_min(licence, sub) AS licence, attribution, count(DISTINCT ord) AS documents FROM (SELECT ord, provider, min(sub) AS sub, arg_min(licence, sub) AS licence, attribution FROM ({_DOCS}) JOIN ({_GEODATA}) AS g(sub, mark, provider, licence, attribution) ON contains(lower(text), mark) GROUP BY ord, provider, attribution) GROUP BY provider, licence, attribution")
+def geodata_providers(spark, sf_dir):
+    """Documents per provider of map data that they name, with its licence."""
+    return data_rights.geodata(_files(spark, sf_dir)).groupBy("provider", "licence", "attribution").agg(F.count("*").alias("documents"))
 
 
 @query()

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import lines
-from ..refdata import DATA_LICENSES, ML_DATASETS, PII_COLUMNS, SECRETS
+from ..refdata import DATA_LICENSES, GEODATA, ML_DATASETS, PII_COLUMNS, SECRETS
+
+_ASSIGNED = r"(password|token|secret)\s*[=:]\s*\S"
 
 
 def has_email(text: Column) -> Column:
@@ -35,13 +37,46 @@ def data_licences(files: DataFrame) -> DataFrame:
     return mentions(files, DATA_LICENSES, "pattern")
 
 
+def geodata_of(low: Column) -> Column:
+    """``provider, licence, attribution`` of the map data that a lower-cased text names, one struct per provider."""
+    chains: dict[str, Column] = {}
+    for mark, provider, licence, attribution in GEODATA:
+        entry = F.struct(F.lit(provider).alias("provider"), F.lit(licence).alias("licence"), F.lit(attribution).alias("attribution"))
+        chains[provider] = chains[provider].when(low.contains(mark), entry) if provider in chains else F.when(low.contains(mark), entry)
+    return F.array_compact(F.array(*chains.values()))
+
+
+def geodata(files: DataFrame) -> DataFrame:
+    """``ord, path, provider, licence, attribution``: a row per file and provider; no rows for a null text."""
+    return files.select("ord", "path", F.explode(geodata_of(F.lower("text"))).alias("_g")).select("ord", "path", "_g.*")
+
+
+def redacted(line: Column) -> Column:
+    """The first eight and, past twenty characters, the last four characters of a trimmed line."""
+    value = F.trim(line)
+    return F.when(F.length(value) > 20, F.concat(F.left(value, F.lit(8)), F.lit("..."), F.right(value, F.lit(4)))).otherwise(F.concat(F.left(value, F.lit(8)), F.lit("...")))
+
+
+def holds_secret(text: Column) -> Column:
+    """Whether any line can match a secret's pattern: spares most texts the split into lines."""
+    return text.rlike("|".join(p for _, p in SECRETS)) | F.lower(text).rlike(_ASSIGNED)
+
+
+def secrets_of(text: Column) -> Column:
+    """``line_no, secret, redacted`` of each line (comments too) and each pattern that it matches, in that order."""
+
+    def of_line(line: Column, no: Column) -> Column:
+        kinds = F.array_compact(F.array(*(F.when(line.rlike(p), F.lit(n)) for n, p in SECRETS), F.when(F.lower(line).rlike(_ASSIGNED), F.lit("Assigned secret"))))
+        return F.transform(kinds, lambda kind: F.struct((no + 1).cast("long").alias("line_no"), kind.alias("secret"), redacted(line).alias("redacted")))
+
+    # The empty text yields an empty array of the same type.
+    return F.flatten(F.transform(lines(F.when(holds_secret(text), text).otherwise("")), of_line))
+
+
 def secret_lines(files: DataFrame) -> DataFrame:
-    """``ord, path, line_no, secret, redacted``: lines that match a secret's pattern (comments too), value shortened."""
-    kinds = F.array_compact(F.array(*(F.when(F.col("line").rlike(p), F.lit(n)) for n, p in SECRETS), F.when(F.lower("line").rlike(r"(password|token|secret)\s*[=:]\s*\S"), F.lit("Assigned secret"))))
-    rows = files.select("ord", "path", F.posexplode(lines(F.col("text"))).alias("no", "line")).select("ord", "path", (F.col("no") + 1).cast("long").alias("line_no"), "line", F.explode(kinds).alias("secret"))
-    value = F.trim("line")
-    short = F.when(F.length(value) > 20, F.concat(F.left(value, F.lit(8)), F.lit("..."), F.right(value, F.lit(4)))).otherwise(F.concat(F.left(value, F.lit(8)), F.lit("...")))
-    return rows.select("ord", "path", "line_no", "secret", short.alias("redacted"))
+    """``ord, path, line_no, secret, redacted``: lines that match a secret's pattern, a row per pattern, value shortened."""
+    held = files.filter(holds_secret(F.col("text")))
+    return held.select("ord", "path", F.explode(secrets_of(F.col("text"))).alias("_s")).select("ord", "path", "_s.*")
 
 
 def pii_of_column(column: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillscan.operators import code, contamination, data_rights, findings, supply_chain
 from quillscan.plans import reports
-from quillscan.plans.scan import scan
+from quillscan.plans.scan import detect, scan
 from quillscan.sources import files
 from quillscan.streaming.scan_stream import stream_documents, windowed_counts
 
@@ -122,3 +122,17 @@ def test_streaming(spark, tmp_path):
     q = windowed_counts(stream_documents(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("seen").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted((r.kind, r.n) for r in spark.table("seen").collect()) == [("email", 1), ("ip", 1)]
+
+
+def test_map_data_and_secrets_of_every_kind(spark):
+    keys = ["AKIA" + "B" * 16, "ghp_" + "c" * 36, "sk_live_" + "d" * 24, "-----BEGIN EC PRIVATE KEY-----"]
+    text = "\r\n".join([*keys, f"token: {keys[0]}", "plain"])
+    rows = spark.createDataFrame([(1, "a", text), (2, "b", "tiles of OSM and OpenStreetMap, api.mapbox.com, census.gov"), (3, "c", ""), (4, "d", None)], "ord long, path string, text string")
+    got = sorted((r.ord, r.line_no, r.secret, r.redacted) for r in data_rights.secret_lines(rows).collect())
+    assert [g[:3] for g in got] == [(1, 1, "AWS Access Key"), (1, 2, "GitHub Personal Token"), (1, 3, "Stripe Live Key"), (1, 4, "EC Private Key"), (1, 5, "AWS Access Key"), (1, 5, "Assigned secret")]
+    assert got[0][3] == "AKIABBBB..." and got[2][3] == "sk_live_...dddd"
+    assert sorted((r.ord, r.provider, r.attribution) for r in data_rights.geodata(rows).collect()) == [(2, "CensusGov", False), (2, "Mapbox", True), (2, "OpenStreetMap", True)]
+    found = detect(rows).collect()
+    assert sorted((r.ord, r.file, r.vtype, r.evidence) for r in found if r.file != "a") == [(2_000_000, "b", "UnlicensedGeodata", "OpenStreetMap"), (2_000_001, "b", "UnlicensedGeodata", "Mapbox"), (2_000_002, "b", "UnlicensedGeodata", "CensusGov")]
+    assert [r.vtype for r in found if r.file == "a"] == ["ExposedSecrets"] * 6
+    assert len({r.ord for r in found}) == len(found)
