@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines
+from ..functions.text import bound, lines
 from ..refdata import DATA_LICENSES, GEODATA, ML_DATASETS, PII_COLUMNS, SECRETS
 
 _ASSIGNED = r"(password|token|secret)\s*[=:]\s*\S"
@@ -58,8 +62,11 @@ def redacted(line: Column) -> Column:
 
 
 def holds_secret(text: Column) -> Column:
-    """Whether any line can match a secret's pattern: spares most texts the split into lines."""
-    return text.rlike("|".join(p for _, p in SECRETS)) | F.lower(text).rlike(_ASSIGNED)
+    """Whether a line can match a secret's pattern, by plain searches first: spares most texts the split into lines."""
+    leads = [re.match(r"(?:[\w -]|\\\.)+", p)[0].replace("\\", "") for _, p in SECRETS]
+    low = F.lower(text)
+    keys = reduce(or_, (text.contains(lead) for lead in leads))
+    return keys | (reduce(or_, (low.contains(w) for w in ("password", "token", "secret"))) & low.rlike(_ASSIGNED))
 
 
 def secrets_of(text: Column) -> Column:
@@ -70,7 +77,7 @@ def secrets_of(text: Column) -> Column:
         return F.transform(kinds, lambda kind: F.struct((no + 1).cast("long").alias("line_no"), kind.alias("secret"), redacted(line).alias("redacted")))
 
     # The empty text yields an empty array of the same type.
-    return F.flatten(F.transform(lines(F.when(holds_secret(text), text).otherwise("")), of_line))
+    return F.flatten(bound(F.when(holds_secret(text), text).otherwise(""), lambda held: F.transform(lines(held), of_line)))
 
 
 def secret_lines(files: DataFrame) -> DataFrame:
