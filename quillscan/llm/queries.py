@@ -19,6 +19,7 @@ from .records import read_records, write_records
 from .substring import dedup_substrings
 from .token_counts import token_counts
 from .topk import topk_inner_product
+from .whitening import fit, whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +76,14 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(spark, manifest)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation_exact`` holds deviations that a long cannot."""
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    one = whiten(rows, fit(rows)).select("vec_id", "whitened.*")
+    each = one.select("vec_id", "n", "deviation", "deviation_exact", "identity_error", F.posexplode(F.arrays_zip("values", "explained")).alias("k", "at"))
+    return each.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n", "deviation", F.col("at")["values"].alias("whitened"), F.col("at")["explained"].alias("explained"), "identity_error", "deviation_exact")
+
+
 #: Exact search as SQL: integer inner products of the whole table.
 OP2_SQL = """
 WITH v AS (
@@ -102,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_records": op10_token_records,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL}
