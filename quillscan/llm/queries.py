@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .ann import nearest
 from .common import tune
+from .importance import resample
 from .jaccard import near_duplicates
 from .langid import held_out, identify, train
 from .mixing import draw
@@ -84,6 +85,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("vec_id", (F.col("k") + 1).cast("int").alias("component"), "n", "deviation", F.col("at")["values"].alias("whitened"), F.col("at")["explained"].alias("explained"), "identity_error", "deviation_exact")
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 #: Exact search as SQL: integer inner products of the whole table.
 OP2_SQL = """
 WITH v AS (
@@ -100,6 +105,62 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+#: CRC-32 is linear: a checksum is the exclusive or of what each byte contributes at its distance from the end, and of the
+#: start value after as many bytes as the feature has.
+OP12_SQL = """
+WITH RECURSIVE bits(b, v, k) AS (
+  SELECT b, b, 0 FROM range(256) t(b)
+  UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), one AS MATERIALIZED (SELECT b, v FROM bits WHERE k = 8),
+sized AS MATERIALIZED (
+  SELECT doc_id, text, 0 AS kind FROM documents UNION ALL SELECT NULL, text, 1 FROM benchmark
+), rows_ AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, kind,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+  FROM sized
+), grams AS MATERIALIZED (
+  SELECT r, f, count(*) AS c FROM (
+    SELECT r, unnest(w) AS f FROM rows_
+    UNION ALL SELECT r, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM rows_
+    UNION ALL SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM rows_
+  ) GROUP BY r, f
+), feats AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM grams)
+), after_(k, b, v) AS (
+  SELECT 0, b, v FROM one
+  UNION ALL
+  SELECT a.k + 1, a.b, xor(a.v >> 8, o.v) FROM after_ a JOIN one o ON o.b = a.v & 255 WHERE a.k < (SELECT max(len(h)) // 2 FROM feats)
+), after2 AS MATERIALIZED (SELECT k, printf('%02X', b) AS b, v FROM after_),
+start_(k, v) AS (
+  SELECT 0, 4294967295
+  UNION ALL
+  SELECT s.k + 1, xor(s.v >> 8, o.v) FROM start_ s JOIN one o ON o.b = s.v & 255 WHERE s.k < (SELECT max(len(h)) // 2 FROM feats)
+), bytes_ AS (
+  SELECT id, len(h) // 2 AS n, unnest(range(len(h) // 2)) AS i, h FROM feats
+), crc AS MATERIALIZED (
+  SELECT x.id, xor(xor(x.v, s.v), 4294967295) % 10000 AS bucket
+  FROM (SELECT y.id, y.n, bit_xor(a.v) AS v FROM bytes_ y JOIN after2 a ON a.k = y.n - 1 - y.i AND a.b = substr(y.h, CAST(2 * y.i + 1 AS INT), 2) GROUP BY y.id, y.n) x
+  JOIN start_ s ON s.k = x.n
+), counted AS MATERIALIZED (
+  SELECT g.r, c.bucket, sum(g.c) AS c FROM grams g JOIN feats USING (f) JOIN crc c USING (id) GROUP BY g.r, c.bucket
+), sums AS (
+  SELECT bucket, sum(CASE WHEN kind = 0 THEN c ELSE 0 END) AS s, sum(CASE WHEN kind = 1 THEN c ELSE 0 END) AS t FROM counted JOIN rows_ USING (r) GROUP BY bucket
+), gain AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(s), 0) FROM sums) + 10000 AS DOUBLE))
+         / (CAST(s + 1 AS DOUBLE) * CAST((SELECT coalesce(sum(t), 0) FROM sums) + 10000 AS DOUBLE)))) AS g FROM sums
+), weighed AS (
+  SELECT r, sum(c) AS n, sum(c * g) AS weight FROM counted JOIN gain USING (bucket) GROUP BY r
+), scored AS (
+  SELECT r, d.doc_id, len(d.w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST(CAST('0x' || left(sha256('42:' || d.doc_id), 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM rows_ d LEFT JOIN weighed USING (r) WHERE kind = 0
+), placed AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS p, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN p <= 5 * n // 100 THEN p END AS rank
+FROM scored LEFT JOIN placed USING (r)
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_exact_topk": op2_exact_topk,
@@ -112,6 +173,7 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_token_records": op10_token_records,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op12_importance_resampling": OP12_SQL}
