@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .ann import nearest
 from .common import tune
 from .importance import resample
@@ -89,6 +90,12 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 #: Exact search as SQL: integer inner products of the whole table.
 OP2_SQL = """
 WITH v AS (
@@ -174,6 +181,7 @@ QUERIES: dict[str, Query] = {
     "op10_token_records": op10_token_records,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL, "op12_importance_resampling": OP12_SQL}
