@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column, raw, slices
@@ -238,25 +238,27 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on a bounded hash sample of the labelled rows that are not held out.
 
-    Per language about ``TRAIN_DOCS`` rows are used, whole, out of those of at most
+    Per language about ``TRAIN_DOCS`` rows are used, at most twice as many, equal rows once, whole, out of those of at most
     ``TRAIN_DOC_BYTES`` bytes; a language that has only longer texts trains on its
     shortest one.  So what comes to the driver is bounded per language.  Rows with a
     null id, text or label do not train; ids, sources and labels are never seen by the
     model but as the class.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    rows = rows.filter(~held_out(F.col("id"))).withColumns({"size": F.octet_length("text"), "h": F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000_007))})
+    rows = rows.filter(~held_out(F.col("id"))).withColumns({"size": F.octet_length("text"), "h": F.pmod(F.xxhash64(F.col("id").cast("string"), "text"), F.lit(1_000_000_007))})
     least = F.min(F.when(F.col("size") > TRAIN_DOC_BYTES, F.struct("size", "h"))).alias("least")
-    sizes = rows.groupBy("lang").agg(F.count_if(F.col("size") <= TRAIN_DOC_BYTES).alias("n"), least).collect()  # a row per language
+    fits = F.when(F.col("size") <= TRAIN_DOC_BYTES, F.col("h"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(fits).alias("n"), F.min(fits).alias("first"), least).collect()  # a row per language
     if not sizes:
         return Model({})
-    share = [(r.lang, int(1_000_000_007 * min(1.0, TRAIN_DOCS / r.n)), TRAIN_DOC_BYTES, None) if r.n else (r.lang, 1_000_000_007, r.least["size"], r.least["h"]) for r in sizes]
+    share = [(r.lang, max(r.first, int(1_000_000_007 * min(1.0, TRAIN_DOCS / r.n))), TRAIN_DOC_BYTES, None) if r.n else (r.lang, 1_000_000_007, r.least["size"], r.least["h"]) for r in sizes]
     bounds = docs.sparkSession.createDataFrame(share, "lang string, below long, most long, only long")
     picked = rows.join(F.broadcast(bounds), "lang").filter("h <= below AND size <= most AND coalesce(h = only, true)").select("lang", "h", "text")
+    picked = picked.dropDuplicates(["lang", "h"]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("place") <= 2 * TRAIN_DOCS)
     samples: dict[str, list[tuple]] = {}
     for r in picked.collect():
         samples.setdefault(r.lang, []).append((r.h, r.text))
-    return Model({k: [t for _, t in sorted(v)][: 2 * TRAIN_DOCS] for k, v in samples.items()})
+    return Model({k: [t for _, t in sorted(v)] for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -13,6 +13,8 @@ drawn in hash order and the last one is cut, so the target is met to the word.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -25,8 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Size of the mix and most repetitions, in units of the input's and of a source's size.
 TOTAL, MOST = 1.5, 2.0
 BLOCKS = 1024
-#: Parts of a source's last block; rows beyond which equal rows of it are spread too; sources whose figures are surely small.
-_SUBS, _HOT, _FEW = 64, 100_000, 1_000
+#: Parts of a source's last block; groups that its equal rows are dealt to; sources whose figures are surely small.
+_SUBS, _SALTS, _FEW = 64, 32, 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -82,7 +84,7 @@ def draw(docs: DataFrame, payload: list[str], id_col: str = "doc_id", text_col:
     per source) and the tree (a row per source and shard that draws from it, at most
     the quotas' sum) pass through the driver.  Blocks spread a hot source over
     ``blocks`` groups; only the one block per source that its pass ends in is put in
-    order, in ``_SUBS`` parts.  Null text has size 0 and is drawn with its block; null
+    order, in ``_SUBS`` parts by content and, inside one content, ``_SALTS`` groups.  Null text has size 0 and is drawn with its block; null
     sources form a source of their own, ordered last; rows that agree in id and text
     are interchangeable.
     """
@@ -133,18 +135,25 @@ def draw(docs: DataFrame, payload: list[str], id_col: str = "doc_id", text_col:
     ends = [tuple(r) for r in fate.filter("_open IS NOT NULL").select(*key, "_block", "_rows", "_open").collect()]
     edge = spark.createDataFrame(ends, "_none boolean, _src string, _block int, _in long, _left long")
     marked = base.join(F.broadcast(edge) if len(ends) <= _FEW else edge, [*key, "_block"], "left")
-    part = F.pmod(F.xxhash64(F.lit(seed + 5), "_h", F.when(F.col("_in") > _HOT, F.col("_n"))), F.lit(_SUBS)).cast("int")
-    inside = marked.filter("_left IS NOT NULL").withColumn("_part", part)
-    sums = inside.groupBy(*key, "_part").agg(F.sum("_size").alias("_sum"))
-    shift = sums.select(*key, "_part", F.coalesce(F.sum("_sum").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
-    within = Window.partitionBy(*key, "_part").orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inside.withColumn("_earlier", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(shift, [*key, "_part"])
+    part = F.pmod(F.xxhash64(F.lit(seed + 5), "_h", F.lit(None).cast("long")), F.lit(_SUBS)).cast("int")
+    # rows that agree in hash, id and size are interchangeable: which of them a salt gets decides nothing
+    like = [*key, "_part", "_h", "_id", "_size", "_salt"]
+    inside = marked.filter("_left IS NOT NULL").withColumns({"_part": part, "_salt": F.pmod(F.xxhash64("_n"), F.lit(_SALTS)).cast("int")})
+    alike = inside.groupBy(*like).agg(F.sum("_size").alias("_sum"))
+    sums = alike.groupBy(*key, "_part").agg(F.sum("_sum").alias("_all"))
+    shift = sums.select(*key, "_part", F.coalesce(F.sum("_all").over(Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"))
+    in_part = Window.partitionBy(*key, "_part").orderBy("_h", "_id", "_size", "_salt").rowsBetween(Window.unboundedPreceding, -1)
+    begins = alike.withColumn("_begin", F.coalesce(F.sum("_sum").over(in_part), F.lit(0))).join(shift, [*key, "_part"])
+    within = Window.partitionBy(*like).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    counted = inside.withColumn("_inner", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    same = [counted[c].eqNullSafe(begins[c]) for c in like]
+    ranked = counted.join(begins, reduce(and_, same)).select(*(counted[c] for c in counted.columns), (begins["_begin"] + counted["_inner"]).alias("_earlier"), begins["_shift"])
     cut = ranked.withColumn("_cut", F.greatest(F.lit(0), F.least("_size", F.col("_left") - F.col("_earlier") - F.col("_shift"))))
     names = [*base.columns, "_cut"]
     rows = marked.filter("_left IS NULL").withColumn("_cut", F.col("_size")).select(names).unionByName(cut.select(names)).join(fate, [*key, "_block"])
     draws = F.transform(
         F.coalesce(F.col("_list"), F.expr("cast(array() as array<struct<pass:int,shard:int>>)")),
-        lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["pass"] > F.col("_passes"), F.col("_cut")).otherwise(F.col("_size")).alias("take"), F.xxhash64(F.lit(seed + 4), F.col("_h"), F.col("_n"), d["pass"], d["shard"]).alias("order")),
+        lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.when(d["pass"] > F.col("_passes"), F.col("_cut")).otherwise(F.col("_size")).alias("take"), F.xxhash64(F.lit(seed + 4), F.col("_h"), d["pass"], d["shard"]).alias("order")),
     )
     kept = F.array_sort(F.filter(draws, lambda d: (d["take"] > 0) | ((F.col("_size") == 0) & (d["pass"] == 1))))
     return rows.select("_id", "_size", "_source_size", "_target", kept.alias("_draws"), "_row")

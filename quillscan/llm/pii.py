@@ -119,14 +119,29 @@ def _terms(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     inside = np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
     starts, ends, first = words(buf, offs)
     text = np.repeat(np.arange(len(offs) - 1), np.diff(first))
-    for _ in range(3):
-        starts = starts + ((starts < ends) & _PUNCT[buf[np.minimum(starts, len(buf) - 1)]])
-        ends = ends - ((starts < ends) & _PUNCT[buf[np.maximum(ends - 1, 0)]])
+    starts, ends = _bare(buf, starts, ends)
     ok = (ends > starts) & (inside[ends] == inside[starts])
     starts, ends, text = starts[ok], ends[ok], text[ok]
     return starts, ends, word_hashes(buf, starts, ends, lower=True).view(np.int64), text, entities
 
 
+def _bare(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words without any punctuation at their ends; those of nothing else become empty."""
+    starts, ends = starts.copy(), ends.copy()
+    for _ in range(3):  # most words have little
+        starts += (starts < ends) & _PUNCT[buf[np.minimum(starts, len(buf) - 1)]]
+        ends -= (starts < ends) & _PUNCT[buf[np.maximum(ends - 1, 0)]]
+    more = np.flatnonzero((starts < ends) & (_PUNCT[buf[np.minimum(starts, len(buf) - 1)]] | _PUNCT[buf[np.maximum(ends - 1, 0)]]))
+    if len(more):
+        solid = np.flatnonzero(~_PUNCT[buf])
+        first = np.searchsorted(solid, starts[more])
+        last = np.searchsorted(solid, ends[more]) - 1
+        some = last >= first
+        starts[more] = np.where(some, np.append(solid, 0)[np.minimum(first, len(solid))], ends[more])
+        ends[more] = np.where(some, np.append(solid, 0)[last] + 1, ends[more])
+    return starts, ends
+
+
 def _key(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 

@@ -355,3 +355,42 @@ def test_terms_equal_counts_by_hand(spark):
             if kind == "term":
                 got.add(rows[r.doc_id][1][int(s) : int(e)].lower())
     assert got == want and len(want) >= 5 and not want & set(common)
+
+
+def test_mix_does_not_follow_the_partitions(spark):
+    """Many equal rows, some of which the pass cuts: the same words are taken however the table is split."""
+    rows = [(7, "one two three", "a")] * 900 + [(k, "w " * (k % 5), "a" if k % 3 else None) for k in range(1000)] + [(None, "x y", "a")] * 50 + [(9, None, "a")] * 5
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def taken(n):
+        out = mixing.draw(frame.repartition(n), [], shards=3, blocks=2)
+        return Counter((r["_id"], r["_size"], sum(d["take"] for d in r["_draws"])) for r in out.select("_id", "_size", "_draws").collect())
+
+    first = taken(1)
+    assert first == taken(7) and sum(first.values()) == len(rows)
+    sums, goal = Counter(), {}
+    for r in mixing.draw(frame, [], shards=3, blocks=2).collect():
+        sums[r["_target"]] += sum(d["take"] for d in r["_draws"])
+        goal[r["_target"]] = 1
+    assert all(abs(s - t) <= 1 for t, s in sums.items()) and len(goal) == 2
+
+
+def test_terms_lose_all_outer_punctuation(spark):
+    import numpy as np
+
+    data = b"a (((((b))))))) ,,,, !?c.d?!--; " + b"." * 50 + b"x " + b"." * 70
+    starts, ends, _ = pii.words(np.frombuffer(data, np.uint8), np.asarray([0, len(data)]))
+    got = [data[s:e] for s, e in zip(*pii._bare(np.frombuffer(data, np.uint8), starts, ends))]
+    punct = "".join(map(chr, np.flatnonzero(pii._PUNCT))).encode()
+    assert got == [w.strip(punct) for w in data.split(b" ")]
+    rows = [(k, f"some (((((Zorbaxname?!?!?! bob@mail.example.com {k}") for k in range(3)] + [(9, "plain Zorbaxname here")] + [(10 + k, "common words here some plain") for k in range(200)]
+    found = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:10:20" in found[0] and found[9] == "term:6:16"
+
+
+def test_training_rows_of_one_id_are_bounded(spark, monkeypatch):
+    frame = spark.range(20_000).selectExpr("1L doc_id", "concat('some text ', id % 5000) text", "'aa' lang").unionByName(spark.range(300).selectExpr("id + 10 doc_id", "concat('ein wort ', id) text", "'bb' lang"))
+    seen = []
+    monkeypatch.setattr(langid, "Model", seen.append)
+    langid.train(frame)
+    assert 1 <= len(seen[0]["aa"]) <= 2 * langid.TRAIN_DOCS and 1 <= len(seen[0]["bb"]) <= 2 * langid.TRAIN_DOCS and len(set(seen[0]["aa"])) == len(seen[0]["aa"])
