@@ -1,5 +1,5 @@
 """Further driver queries with their DuckDB SQL; importing a module registers its queries in the catalog."""
 
-from . import bundles, commons, contamination, cross_language, deobfuscation, digests, embeddings, licences, oracles, packages, selection, web
+from . import bundles, commons, contamination, cross_language, deobfuscation, digests, embeddings, licences, oracles, packages, selection, sequences, web
 
-__all__ = ["bundles", "commons", "contamination", "cross_language", "deobfuscation", "digests", "embeddings", "licences", "oracles", "packages", "selection", "web"]
+__all__ = ["bundles", "commons", "contamination", "cross_language", "deobfuscation", "digests", "embeddings", "licences", "oracles", "packages", "selection", "sequences", "web"]
