@@ -130,7 +130,8 @@ def data_duties(licence: Column) -> Column:
     return F.coalesce(*(F.when(licence == n, F.array(*map(F.lit, d))) for n, d in DATA_DUTIES), F.array().cast("array<string>"))
 
 
-def data_rights_risk(kinds_: DataFrame, secrets: DataFrame, unlicensed: DataFrame) -> DataFrame:
-    """One row ``risk``: points by kind of personal data, 15 a secret, 3 an unlicensed data file; at most 100."""
-    points = kinds_.select(_by_kind(F.col("kind"), 2, F.lit(5)).alias("p")).unionByName(secrets.select(F.lit(15).alias("p"))).unionByName(unlicensed.select(F.lit(3).alias("p")))
-    return points.agg(F.least(F.lit(100), F.coalesce(F.sum("p"), F.lit(0))).cast("int").alias("risk"))
+def data_rights_risk(kinds_: DataFrame, secrets: DataFrame, unlicensed: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``risk``, one row or one for each value of the columns ``by``: points by kind of personal data, 15 a secret, 3 an unlicensed data file; at most 100."""
+    by = by or []
+    points = kinds_.select(*by, _by_kind(F.col("kind"), 2, F.lit(5)).alias("p")).unionByName(secrets.select(*by, F.lit(15).alias("p"))).unionByName(unlicensed.select(*by, F.lit(3).alias("p")))
+    return points.groupBy(*by).agg(F.least(F.lit(100), F.coalesce(F.sum("p"), F.lit(0))).cast("int").alias("risk"))

@@ -47,11 +47,8 @@ def _node_sql(rows: str, ecosystem: str, name: str, version: str, linking: str,
     return f"SELECT path, {_q(ecosystem)} AS ecosystem, {name} AS name, {version} AS version, {licence} AS licence, {expression} AS expression, {deps} AS depends_on, {linking} AS linking, {exceptions} AS exceptions, {build} AS build_only FROM {rows}"
 
 
-def _match_sql(pattern: str, file: str, n: int) -> str:
-    groups = ", ".join(f"nullif(regexp_extract(m, {_q(pattern)}, {k}), '') AS g{k}" for k in range(1, n + 1))
-    return f"(SELECT path, m AS g0, {groups} FROM (SELECT path, unnest(regexp_extract_all(text, {_q(pattern)})) AS m FROM files WHERE {file}))"
-
-
+_part = lambda tag: f"regexp_extract(b, '<{tag}>([^<]*)', 1)"
+_attribute = lambda name: f"""regexp_extract(b, '{name}="([^"]*)', 1)"""
 _RAW = "coalesce(p->>'license', 'UNKNOWN')"
 _NPM = "(SELECT path, unnest(json_keys(j)) AS key, j FROM (SELECT path, text->'packages' AS j FROM files WHERE path = 'a/package-lock.json'))"
 _LINES = "(SELECT path, i, trim(l) AS l FROM (SELECT path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM files))"
@@ -62,10 +59,10 @@ _NODES = [
     _node_sql("(SELECT path, unnest(string_split(text, '[[package]]')[2:]) AS b FROM files WHERE path = 'c/Cargo.lock')", "crates", "regexp_extract(b, 'name = \"([^\"]*)', 1)", "regexp_extract(b, 'version = \"([^\"]*)', 1)", "'Static'", deps="array_to_string(regexp_extract_all(b, '\"([^\" ]+) [^\"]+\",', 1), ',')"),
     _node_sql(f"(SELECT path, string_split(l, ' ')[1] AS n, arg_min(regexp_replace(string_split(l, ' ')[2], '/go.mod$', ''), i) AS v FROM {_LINES} WHERE path = 'd/go.sum' AND contains(l, ' ') GROUP BY ALL)", "go", "n", "v", "'Static'"),
     _node_sql(f"(SELECT path, l FROM {_LINES} WHERE path = 'e/requirements.txt' AND l <> '' AND l[1] NOT IN ('#', '-'))", "pypi", "trim(regexp_extract(l, '^([^=>]*)', 1))", "nullif(trim(regexp_extract(l, '[=>]=(.*)$', 1)), '')", "'Source'"),
-    _node_sql(_match_sql(M.POM, "path = 'f/pom.xml'", 4), "maven", "g1 || ':' || g2", "g3", "'Static'", build="coalesce(g4 IN ('test', 'provided', 'system'), false)"),
-    _node_sql(_match_sql(M.GRADLE, "path = 'f/build.gradle'", 3), "maven", "g1 || ':' || g2", "g3", "'Static'", build="regexp_matches(g0, '^(test|annotationProcessor|compileOnly)')"),
-    _node_sql(_match_sql(M.PACKAGE_REFERENCE, "path = 'g/app.csproj'", 2), "nuget", "g1", "g2", "'Static'"),
-    _node_sql("(SELECT * FROM " + _match_sql(M.PACKAGES_CONFIG, "path = 'g/packages.config'", 2) + " WHERE g1 NOT IN ('Json', 'Log'))", "nuget", "g1", "g2", "'Static'"),
+    _node_sql("(SELECT path, unnest(string_split(text, '<dependency>')[2:]) AS b FROM files WHERE path = 'f/pom.xml')", "maven", f"{_part('groupId')} || ':' || {_part('artifactId')}", f"nullif({_part('version')}, '')", "'Static'", build=f"{_part('scope')} IN ('test', 'provided', 'system')"),
+    _node_sql("(SELECT path, trim(l) AS l, regexp_extract_all(l, '[^:''\"() ]+')[2:] AS c FROM (SELECT path, unnest(string_split(text, chr(10))) AS l FROM files WHERE path = 'f/build.gradle') WHERE contains(l, ':'))", "maven", "c[1] || ':' || c[2]", "c[3]", "'Static'", build="starts_with(l, 'test') OR starts_with(l, 'compileOnly')"),
+    _node_sql("(SELECT path, unnest(string_split(text, '<PackageReference ')[2:]) AS b FROM files WHERE path = 'g/app.csproj')", "nuget", _attribute("Include"), f"nullif({_attribute('Version')}, '')", "'Static'"),
+    _node_sql("(SELECT path, unnest(string_split(text, '<package ')[2:]) AS b FROM files WHERE path = 'g/packages.config')", "nuget", _attribute("id"), _attribute("version"), "'Static'") + f" WHERE {_attribute('id')} NOT IN ('Json', 'Log')",
     _node_sql("(SELECT path, unnest(CAST(text->'packages' AS JSON[])) AS p FROM files WHERE path = 'h/composer.lock')", "composer", "p->>'name'", "p->>'version'", "'Source'", "coalesce(p->'license'->>0, 'UNKNOWN')", "array_to_string(CAST(p->'license' AS VARCHAR[]), ' OR ')", "array_to_string(list_filter(json_keys(p->'require'), lambda k: NOT starts_with(k, 'php') AND NOT starts_with(k, 'ext-')), ',')"),
     _node_sql("(SELECT path, unnest(CAST(text->'packages-dev' AS JSON[])) AS p FROM files WHERE path = 'h/composer.lock')", "composer", "p->>'name'", "p->>'version'", "'Source'", "coalesce(p->'license'->>0, 'UNKNOWN')", build="true"),
     _node_sql(r"(SELECT path, unnest(regexp_extract_all(split_part(split_part(text, 'PLATFORMS', 1), 'specs:' || chr(10), 2), '    [^ \n]+ \([^)]+\)\n(      [^ \n][^\n]*\n)*')) AS b FROM files WHERE path = 'i/Gemfile.lock')", "gems", "regexp_extract(b, '^    ([^ ]+)', 1)", r"regexp_extract(b, '\(([^)]+)\)', 1)", "'Source'", deps=r"array_to_string(regexp_extract_all(b, '      ([^ \n]+)', 1), ',')"),
@@ -77,6 +74,40 @@ def lockfile_nodes(spark, sf_dir):
     return _flat(M.dependency_nodes(_files(spark)))
 
 
+#: Build files of a part, in SQL that Spark and DuckDB share: {k} is its key, {n} its name with dashes, {b} its brand, {v} its version.
+_BUILD = {
+    "pom.xml": '<?xml version="1.0"?><project xmlns="http://maven.apache.org/POM/4.0.0"><!-- {b} --><artifactId>own</artifactId><dependencies>\n<dependency><scope>{s}</scope><artifactId>{n}</artifactId>\n<groupId> org.p{k} </groupId><exclusions><exclusion><groupId>no</groupId></exclusion></exclusions></dependency><dependency><groupId>org.b</groupId><artifactId>{n}</artifactId><version>{v}</version></dependency></dependencies></project>',
+    "build.gradle": 'dependencies {\n  api("org.p{k}:{n}:{v}")\n  {c} "org.b:{n}"\n  implementation project(":local{k}")\n  api platform("no:no:1")\n}\n',
+    "app.csproj": '<Project Sdk="x"><ItemGroup><PackageReference Version="{v}" Include="P{k}.{n}" /><PackageReference Include="B{k}"><Version>{v}</Version></PackageReference><PackageReference Include="L{k}"/></ItemGroup><Broken',
+    "packages.config": '<packages><package id="P{k}.{n}" version="1.0" /><package version="{v}" id="Old{k}" targetFramework="net45" /></packages>',
+}
+_CONFIGURATIONS = ["testImplementation", "runtimeOnly", "compileOnly", "annotationProcessor"]
+_SCOPES = ["test", "compile", "system", "runtime"]
+_BUILD_ROWS = f"""SELECT p_partkey, CAST(p_partkey AS STRING) AS k, replace(p_name, ' ', '-') AS n, p_brand AS b, CAST(p_size AS STRING) || '.' || CAST(p_partkey % 10 AS STRING) AS v,
+  CASE p_partkey % 4 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CONFIGURATIONS))} END AS c, CASE p_partkey % 4 {' '.join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_SCOPES))} END AS s FROM part WHERE p_partkey IS NOT NULL"""
+
+
+@query(
+    f"""WITH p AS ({_BUILD_ROWS}), node(file, ecosystem, name, version, build_only) AS (
+    SELECT k || '/pom.xml', 'maven', 'org.p' || k || ':' || n, NULL, s IN ('test', 'system') FROM p UNION ALL SELECT k || '/pom.xml', 'maven', 'org.b:' || n, v, false FROM p
+    UNION ALL SELECT k || '/build.gradle', 'maven', 'org.p' || k || ':' || n, v, false FROM p UNION ALL SELECT k || '/build.gradle', 'maven', 'org.b:' || n, NULL, c <> 'runtimeOnly' FROM p
+    UNION ALL SELECT k || '/app.csproj', 'nuget', 'P' || k || '.' || n, v, false FROM p UNION ALL SELECT k || '/app.csproj', 'nuget', 'B' || k, v, false FROM p UNION ALL SELECT k || '/app.csproj', 'nuget', 'L' || k, NULL, false FROM p
+    UNION ALL SELECT k || '/packages.config', 'nuget', 'Old' || k, v, false FROM p) SELECT 'part/' || file AS path, ecosystem, name, version, build_only FROM node"""
+)
+def build_file_dependencies(spark, sf_dir):
+    """Dependencies of build files made from parts: any order of parts, name spaces, comments, damaged ends."""
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("_packages_part")
+    rows = spark.sql(_BUILD_ROWS.replace("FROM part", "FROM _packages_part"))
+    text = F.array(*(F.struct(F.concat(F.lit("part/"), "k", F.lit(f"/{name}")).alias("path"), _filled(F.lit(body), ["k", "n", "b", "v", "c", "s"]).alias("text")) for name, body in _BUILD.items()))
+    return M.dependency_nodes(rows.select(F.explode(text).alias("f")).select("f.*")).select("path", "ecosystem", "name", "version", "build_only")
+
+
+def _filled(body, columns):
+    for c in columns:
+        body = F.replace(body, F.lit("{" + c + "}"), F.col(c))
+    return body
+
+
 @query(
     f"WITH RECURSIVE {_SQL_FILES}, open(path, key, info, level) AS (SELECT path, unnest(json_keys(text->'dependencies')), text->'dependencies', 1 FROM files WHERE path = 'b/package-lock.json' UNION ALL SELECT path, unnest(json_keys(d)), d, level + 1 FROM (SELECT path, json_extract(info, '$.\"' || key || '\".dependencies') AS d, level FROM open) WHERE d IS NOT NULL), "
     "e AS (SELECT path, key AS name, json_extract(info, '$.\"' || key || '\"') AS p, level FROM open) SELECT path, name, coalesce(p->>'version', '0.0.0') AS version, CAST(NULL AS VARCHAR) AS licence, coalesce(array_to_string(json_keys(p->'requires'), ','), '') AS depends_on, level FROM e"

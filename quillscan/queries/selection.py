@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..catalog import _DETECTED, _docs, _files, _q, _values, query
+from ..catalog import _DETECTED, _DOCS, _EMAIL, _IP, _SECRET_LINES, _files, _q, _values, query
 from ..operators import selection as S
-from ..operators.data_rights import has_email
+from ..operators.data_rights import has_email, has_ipv4, secrets_of
 from ..plans.scan import detect
 from ..sources import files as FS
 
@@ -76,14 +76,21 @@ def pii_risks(spark, sf_dir):
     return rows.select("kind", "risk", F.size(S.regulations(F.col("kind"))).alias("regulations"), S.greater_risk(F.col("risk"), F.lit("Medium")).alias("at_least_medium"))
 
 
-_EMAIL = r"regexp_matches(text, '[\p{L}\p{N}]@[\p{L}\p{N}].{0,47}\.', 's')"
+_POINTS = "coalesce(CASE kind " + " ".join(f"WHEN {_q(r[0])} THEN {r[2]}" for r in S.PII_RISKS) + " END, 5)"
 
 
-@query(f"SELECT CAST(least(100, count_if({_EMAIL}) * 10 + count_if(length(text) > 100000) * 3) AS INTEGER) AS risk FROM documents")
+@query(
+    f"""SELECT folder, CAST(least(100, sum(points)) AS INTEGER) AS risk FROM (
+      SELECT ord % 50 AS folder, {_POINTS} AS points FROM (SELECT ord, 'Email' AS kind FROM ({_DOCS}) WHERE {_EMAIL} UNION ALL SELECT ord, 'IpAddress' FROM ({_DOCS}) WHERE {_IP})
+      UNION ALL SELECT ord % 50, 15 FROM ({_SECRET_LINES}) UNION ALL SELECT ord % 50, 3 FROM ({_DOCS}) WHERE strlen(text) > 20000) GROUP BY folder"""
+)
 def data_rights_risk(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    emails = docs.filter(has_email(F.col("text"))).select(F.lit("Email").alias("kind"))
-    return S.data_rights_risk(emails, docs.limit(0), docs.filter(F.length("text") > 100_000))
+    """Risk of each of fifty folders of documents, from all kinds of personal data, secrets, and data files."""
+    files = _files(spark, sf_dir).withColumn("folder", F.col("ord") % 50)
+    text = F.col("text")
+    kinds = files.select("folder", F.explode(F.array_compact(F.array(F.when(has_email(text), F.lit("Email")), F.when(has_ipv4(text), F.lit("IpAddress"))))).alias("kind"))
+    secrets = files.select("folder", F.explode(secrets_of(text)).alias("s")).select("folder")
+    return S.data_rights_risk(kinds, secrets, files.filter(F.octet_length("text") > 20_000), by=["folder"])
 
 
 @query(f"SELECT licence, obligation FROM ({_values([(n, o) for n, d in S.DATA_DUTIES for o in d])}) d(licence, obligation)")
