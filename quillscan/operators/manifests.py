@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from ..functions.text import lines
 from ..sources.files import file_name
@@ -114,7 +115,10 @@ def requirements(files: DataFrame) -> DataFrame:
     return _node(rows, "pypi", name, F.when(sign.isNotNull(), F.trim(F.substr(line, F.position(sign, line) + 2))), "Source")
 
 
-@pandas_udf("array<struct<tag: string, attributes: map<string, string>, parts: map<string, string>>>")
+_PAIRS = MapType(StringType(), StringType())
+
+
+@pandas_udf(ArrayType(StructType([StructField("tag", StringType()), StructField("attributes", _PAIRS), StructField("parts", _PAIRS)])))
 def _elements(text: pd.Series, tags: pd.Series) -> pd.Series:
     """Elements of some names at any depth of XML texts, up to where a text is damaged: attributes, and texts of the parts right below.
 

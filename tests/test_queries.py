@@ -96,3 +96,15 @@ def test_web_detectors_on_odd_texts(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "unpkg.com")], "key long, text string")
     assert [tuple(r)[:4] for r in web_assets.cdn_references(rows).collect()] == [(3, 1, "Unpkg", "")]
     assert web_assets.source_maps(rows).count() == web_assets.font_faces(rows).count() == 0
+
+
+def test_xml_in_any_shape(spark):
+    """Orders of parts, name spaces, comments, entities, damage."""
+    rows = [
+        ("a/pom.xml", "<p xmlns='u'><dependency><!-- c --><artifactId>x</artifactId><version/><groupId>g&amp;h</groupId><groupId>late</groupId></dependency><dependency><groupId>only</groupId></dependency><dependency><groupId>cut</groupId>"),
+        ("a/pom.xml", None), ("b/pom.xml", "not xml <dependency>"), ("a/build.gradle", "api 'a:b'\napi('c')\napi \":d\"\nruntimeOnly ( \"e:f:1:x\" )\nkaptTest 'g:h'"),
+        ("a/b.csproj", "﻿<Project xmlns='m'><ItemGroup><PackageReference Include='N'>\n<Version> 2 </Version></PackageReference><PackageReference Update='U'/></ItemGroup></Project>"),
+        ("a/packages.config", "<packages><package id='N' version='1'/><package id='O'/><package id='P' version='3'/></packages>"),
+    ]
+    found = manifests.dependency_nodes(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert sorted((r.name, r.version, r.build_only) for r in found) == [("N", "2", False), ("P", "3", False), ("a:b", None, False), ("e:f", "1", False), ("g&h:x", None, False)]
