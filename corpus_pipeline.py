@@ -26,7 +26,11 @@ def _new_name(docs: DataFrame, name: str) -> str:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any language (null text or no letter); a missing label is filled with the prediction."""
+    """Rejects documents without any language (null text or no letter); a missing label is filled with the prediction.
+
+    Repeated rows and ids, null ones too, are judged row by row. Without documents, or without any label, all that
+    have a letter would be unknown, so none stay.
+    """
     tune(spark)
     pred, score = _new_name(docs, "lang_pred"), _new_name(docs, "lang_score")
     found = identify(docs, train(docs), pred_col=pred, score_col=score).filter(F.col(pred) != UNKNOWN)
@@ -48,19 +52,28 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Generalises personal data and removes the terms that disclose it."""
+    """Generalises personal data and removes the terms that disclose it.
+
+    Every row stays, each with its own text: null and empty texts as they are, rows that share an id or have none by themselves.
+    """
     tune(spark)
     return _counted(docs, sanitise(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources to their target weights; documents appear as often as the mix takes them."""
+    """Mixes the sources to their target weights; documents appear as often as the mix takes them.
+
+    Null sources are one source. Texts without words, null ones too, are never taken; rows that are equal are taken by themselves.
+    """
     tune(spark)
     return _counted(docs, mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the mix into sequences; one row per piece."""
+    """Packs the mix into sequences; one row per piece.
+
+    A null or empty text is the end mark alone. Rows that share an id, as a mix makes them, are packed each; an empty table gives no rows.
+    """
     tune(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
@@ -80,7 +93,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL cannot express cross parsing or the packing program; tests compare every stage with a brute-force version.
+#: SQL cannot express cross parsing or the packing program; tests compare what stages keep with plain versions, and their operators with brute force.
 ORACLE_SQL = None
 
 
