@@ -51,6 +51,20 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(_q(v) if isinstance(v, str) else "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in r) + ")" for r in rows)
 
 
+def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], *names: str) -> DataFrame:
+    """``part`` and the fields ``names``: the fixed rows dealt to the rows of the part table by their keys."""
+    kinds = [next((type(r[k]) for r in rows if r[k] is not None), str) for k in range(len(names))]
+    types = {str: "string", int: "int", float: "double", bool: "boolean"}
+    fixed = F.array(*(F.struct(*(F.lit(v).cast(types[t]).alias(n) for v, t, n in zip(r, kinds, names, strict=True))) for r in rows))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey IS NOT NULL")
+    return parts.select(F.col("p_partkey").alias("part"), F.element_at(fixed, (F.pmod("p_partkey", F.lit(len(rows))) + 1).cast("int")).alias("_r")).select("part", "_r.*")
+
+
+def dealt_sql(rows: list[tuple], *names: str) -> str:
+    """The same rows as a table in SQL."""
+    return f"(SELECT p_partkey AS part, {', '.join(names)} FROM part JOIN ({_values([(k, *r) for k, r in enumerate(rows)])}) v(_k, {', '.join(names)}) ON _k = p_partkey % {len(rows)})"
+
+
 def _plain_sql(text: str) -> str:
     t = f"translate({text}, {_q(''.join(R.LOOKALIKES) + ''.join(R.SPACES))}, {_q(''.join(R.LOOKALIKES.values()) + ' ' * len(R.SPACES))})"
     for c in R.DROPPED:
@@ -137,19 +151,18 @@ def license_phrase_counts(spark, sf_dir):
 _IDS = ["GPL-2.0-only", "GPL-3.0+", "AGPL-3.0-or-later", "LGPL-2.1-only", "MIT", "MIT WITH Commons-Clause", "Apache-2.0", "BSD-3-Clause", "BSL-1.0", "BUSL-1.1", "Elastic-2.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "Proprietary", "NONE", "OpenRAIL", "MPL-2.0", "EUPL-1.2", "0BSD", "Llama-3", "Foo-1.0", ""]
 
 
-@query(f"SELECT id, family, family IN ({', '.join(map(_q, R.COPYLEFT))}) AS copyleft, family IN ({', '.join(map(_q, R.PERMISSIVE))}) AS permissive FROM (SELECT id, {_family_sql('id')} AS family FROM ({_values([(i,) for i in _IDS])}) AS v(id))")
+@query(f"SELECT part, id, family, family IN ({', '.join(map(_q, R.COPYLEFT))}) AS copyleft, family IN ({', '.join(map(_q, R.PERMISSIVE))}) AS permissive FROM (SELECT part, id, {_family_sql('id')} AS family FROM {dealt_sql([(i,) for i in _IDS], 'id')})")
 def license_family_ladder(spark, sf_dir):
-    ids = spark.createDataFrame([(i,) for i in _IDS], "id string").withColumn("family", family(F.col("id")))
-    return ids.select("id", "family", is_copyleft(F.col("family")).alias("copyleft"), is_permissive(F.col("family")).alias("permissive"))
+    ids = dealt(spark, sf_dir, [(i,) for i in _IDS], "id").withColumn("family", family(F.col("id")))
+    return ids.select("part", "id", "family", is_copyleft(F.col("family")).alias("copyleft"), is_permissive(F.col("family")).alias("permissive"))
 
 
 @query()
 def license_compatibility_matrix(spark, sf_dir):
-    ids = spark.createDataFrame([(i,) for i in _IDS if i], "id string")
-    pairs = ids.select(F.col("id").alias("upstream")).crossJoin(ids.select(F.col("id").alias("downstream")))  # 23 fixed ids
+    pairs = dealt(spark, sf_dir, [(a, b) for a in _IDS if a for b in _IDS if b], "upstream", "downstream")
     no, yes = F.lit(False), F.lit(True)
     up, down = F.col("upstream"), F.col("downstream")
-    return pairs.select("upstream", "downstream", compatibility(up, down, no, no, no).alias("plain"), compatibility(up, down, yes, yes, yes).alias("strict"))
+    return pairs.select("part", "upstream", "downstream", compatibility(up, down, no, no, no).alias("plain"), compatibility(up, down, yes, yes, yes).alias("strict"))
 
 
 @query(f"SELECT doc_id, len(fams) AS families FROM (SELECT doc_id, list_distinct(list_filter([{', '.join(f'CASE WHEN contains(plain, {_q(p)}) THEN {_q(n)} END' for p, n in R.CHIMERA_SIGNATURES)}], lambda x: x IS NOT NULL)) AS fams FROM (SELECT doc_id, {_plain_sql('text')} AS plain FROM documents)) WHERE len(fams) > 0")
@@ -169,7 +182,7 @@ def unicode_anomalies(spark, sf_dir):
 @query()
 def spdx_expressions(spark, sf_dir):
     rows = ["MIT", "MIT OR Apache-2.0", "GPL-2.0-only OR MIT", "GPL-2.0-only WITH Classpath-exception-2.0", "(MIT OR Apache-2.0) AND CC-BY-4.0", "MIT AND", "", "(MIT"]
-    return spark.createDataFrame([(r,) for r in rows], "expression string").select("expression", spdx("expression").alias("s")).select("expression", "s.*")
+    return dealt(spark, sf_dir, [(r,) for r in rows], "expression").select("part", "expression", spdx("expression").alias("s")).select("part", "expression", "s.*")
 
 
 # ---------------------------------------------------------------- text and similarity
@@ -247,9 +260,18 @@ def text_entropy(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(code.byte_entropy("text"), 6).alias("entropy"))
 
 
-@query("SELECT id, lower(regexp_replace(replace(id, '-', '_'), '([^_])([A-Z])', '\\1_\\2', 'g')) AS stem FROM (VALUES ('camelCase'), ('snake_case'), ('kebab-case'), ('PascalCase')) AS v(id)")
+_WORDS = "string_split(p_name, ' ')"
+_PASCAL = f"array_to_string(list_transform({_WORDS}, lambda w: upper(w[1]) || w[2:]), '')"
+
+
+@query(f"SELECT p_partkey AS part, CASE p_partkey % 4 WHEN 0 THEN lower({_PASCAL}[1]) || {_PASCAL}[2:] WHEN 1 THEN {_PASCAL} WHEN 2 THEN replace(p_name, ' ', '-') ELSE replace(p_name, ' ', '_') END AS id, lower(replace(p_name, ' ', '_')) AS stem FROM part")
 def identifier_stems(spark, sf_dir):
-    return spark.createDataFrame([("camelCase",), ("snake_case",), ("kebab-case",), ("PascalCase",)], "id string").select("id", T.stem(F.col("id")).alias("stem"))
+    """Names of parts as identifiers of four kinds, and their common stem."""
+    pascal = F.array_join(F.transform(F.split("p_name", " "), F.initcap), "")
+    kind = F.pmod("p_partkey", F.lit(4))
+    id_ = F.when(kind == 0, F.concat(F.lower(F.left(pascal, F.lit(1))), F.substr(pascal, F.lit(2)))).when(kind == 1, pascal).otherwise(F.translate("p_name", " ", "-"))
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part"), F.when(kind == 3, F.translate("p_name", " ", "_")).otherwise(id_).alias("id"))
+    return parts.select("part", "id", T.stem(F.col("id")).alias("stem"))
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '(?:src|href)=[\"'']([^\"'']+)[\"'']', 1)) AS links FROM pages")
@@ -323,11 +345,14 @@ def geodata_providers(spark, sf_dir):
     return data_rights.geodata(_files(spark, sf_dir)).groupBy("provider", "licence", "attribution").agg(F.count("*").alias("documents"))
 
 
+#: Data files with a header.
+_HEADERS = [("a.csv", "name,email,phone\nJohn,john@x.com,555\n"), ("b.csv", "id,price\n1,2\n"), ("c.csv", "phone,note,email")]
+
+
 @query()
 def pii_columns(spark, sf_dir):
-    text = "name,email,phone\nJohn,john@x.com,555\n"
-    rows = spark.createDataFrame([("a.csv", text)], "path string, text string").select("path", F.explode(data_rights.header_columns(F.col("text"))).alias("column"))
-    return rows.select("path", "column", data_rights.pii_of_column(F.col("column")).alias("kind"))
+    rows = dealt(spark, sf_dir, _HEADERS, "path", "text").select("part", "path", F.explode(data_rights.header_columns(F.col("text"))).alias("column"))
+    return rows.select("part", "path", "column", data_rights.pii_of_column(F.col("column")).alias("kind"))
 
 
 # ---------------------------------------------------------------- findings
@@ -367,9 +392,11 @@ def risk_score(spark, sf_dir):
     return findings.risk_score(scan(_files(spark, sf_dir)))
 
 
-@query(f"SELECT vtype, category, severity, sev_rank FROM ({_values(findings.type_rows())}) AS v(vtype, category, severity, sev_rank)")
+@query(f"SELECT part, vtype, category, severity, sev_rank FROM {dealt_sql(findings.type_rows(), 'vtype', 'category', 'severity', 'sev_rank')}")
 def finding_types(spark, sf_dir):
-    return findings.finding_types(spark)
+    """What is known of the types of findings that parts were dealt."""
+    found = dealt(spark, sf_dir, [(r[0],) for r in findings.type_rows()], "vtype")
+    return found.join(F.broadcast(findings.finding_types(spark)), "vtype").select("part", "vtype", "category", "severity", "sev_rank")
 
 
 @query(f"WITH {_DETECTED} SELECT vtype, count(*) AS n FROM found WHERE sev_rank >= 3 AND vtype <> 'MlDatasetViolation' AND NOT contains(file, '/1') GROUP BY vtype")
@@ -398,21 +425,29 @@ def evidence_chains(spark, sf_dir):
 _DEPS = [("npm", "lodahs", "^4.0.0"), ("npm", "react", "18.2.0"), ("npm", "request", "=2.88.0"), ("npm", "expresss", "*"), ("npm", "colors", "1.4.0"), ("pypi", "reqests", "2.0"), ("pypi", "numpy", None), ("crates", "serde", "1"), ("crates", "tokioo", "~1"), ("npm", "@types/node", "20.1.1")]
 
 
-def _deps(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_DEPS, "ecosystem string, name string, version_spec string")
+_DEPS_SQL = dealt_sql(_DEPS, "ecosystem", "name", "version_spec")
+
+
+def _deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(spark, sf_dir, _DEPS, "ecosystem", "name", "version_spec").drop("part")
+
+
+def _own_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's dependency under a name of its own."""
+    return dealt(spark, sf_dir, _DEPS, "ecosystem", "name", "version_spec").select("ecosystem", F.concat("name", F.lit("-"), F.col("part").cast("string")).alias("name"), "version_spec")
 
 
 _POPULAR = _values([(e, p) for e, names in R.POPULAR.items() for p in names])
 
 
-@query(f"WITH d(ecosystem, name, version_spec) AS ({_values(_DEPS)}), p(ecosystem, popular) AS ({_POPULAR}) SELECT d.ecosystem, d.name, popular, levenshtein(d.name, popular)::INTEGER AS distance, round(1 - levenshtein(d.name, popular) / greatest(length(d.name), length(popular))::DOUBLE, 6) AS confidence FROM d JOIN p USING (ecosystem) WHERE levenshtein(d.name, popular) BETWEEN 1 AND CASE WHEN length(popular) <= 4 THEN 1 WHEN length(popular) <= 10 THEN 2 ELSE 3 END AND NOT EXISTS (SELECT 1 FROM p q WHERE q.ecosystem = d.ecosystem AND q.popular = d.name)")
+@query(f"WITH d AS (SELECT ecosystem, name, version_spec FROM {_DEPS_SQL}), p(ecosystem, popular) AS ({_POPULAR}) SELECT d.ecosystem, d.name, popular, levenshtein(d.name, popular)::INTEGER AS distance, round(1 - levenshtein(d.name, popular) / greatest(length(d.name), length(popular))::DOUBLE, 6) AS confidence FROM d JOIN p USING (ecosystem) WHERE levenshtein(d.name, popular) BETWEEN 1 AND CASE WHEN length(popular) <= 4 THEN 1 WHEN length(popular) <= 10 THEN 2 ELSE 3 END AND NOT EXISTS (SELECT 1 FROM p q WHERE q.ecosystem = d.ecosystem AND q.popular = d.name)")
 def typosquats(spark, sf_dir):
-    return supply_chain.typosquats(_deps(spark))
+    return supply_chain.typosquats(_deps(spark, sf_dir))
 
 
-@query(f"WITH d(ecosystem, name, version_spec) AS ({_values(_DEPS)}) SELECT ecosystem, name, unnest(list_filter([CASE WHEN name IN ({', '.join(map(_q, R.DISPUTED))}) THEN 'disputed' END, CASE WHEN ecosystem = 'npm' AND name IN ({', '.join(map(_q, R.DEPRECATED))}) THEN 'deprecated' END, CASE WHEN NOT coalesce(regexp_full_match(trim(version_spec), '=?[0-9.]+'), false) THEN 'unpinned' END], lambda x: x IS NOT NULL)) AS flag FROM d")
+@query(f"WITH d AS (SELECT ecosystem, name, version_spec FROM {_DEPS_SQL}) SELECT ecosystem, name, unnest(list_filter([CASE WHEN name IN ({', '.join(map(_q, R.DISPUTED))}) THEN 'disputed' END, CASE WHEN ecosystem = 'npm' AND name IN ({', '.join(map(_q, R.DEPRECATED))}) THEN 'deprecated' END, CASE WHEN NOT coalesce(regexp_full_match(trim(version_spec), '=?[0-9.]+'), false) THEN 'unpinned' END], lambda x: x IS NOT NULL)) AS flag FROM d")
 def flagged_dependencies(spark, sf_dir):
-    return supply_chain.flagged(_deps(spark))
+    return supply_chain.flagged(_deps(spark, sf_dir))
 
 
 _NODES = [("app", "MIT", "Static"), ("lib-a", "Apache-2.0", "Static"), ("lib-b", "GPL-3.0-only", "Static"), ("lib-c", "LGPL-2.1-only", "Dynamic"), ("tool", "MIT", "Static")]
@@ -421,33 +456,38 @@ _EDGES = [("app", "lib-a"), ("lib-a", "lib-b"), ("app", "lib-c"), ("tool", "lib-
 
 @query(
     f"""
-    WITH RECURSIVE n(name, licence, linking) AS ({_values(_NODES)}), e(src, dst) AS ({_values(_EDGES)}),
+    WITH RECURSIVE n AS (SELECT name || '-' || p_partkey AS name, licence, linking FROM part, ({_values(_NODES)}) v(name, licence, linking)), e AS (SELECT src || '-' || p_partkey AS src, dst || '-' || p_partkey AS dst FROM part, ({_values(_EDGES)}) v(src, dst)),
     w(package, source, family, depth) AS (
-      SELECT e.src, n.name, 'StrongCopyleft', 1 FROM e JOIN n ON e.dst = n.name WHERE n.name = 'lib-b'
+      SELECT e.src, n.name, 'StrongCopyleft', 1 FROM e JOIN n ON e.dst = n.name WHERE n.licence = 'GPL-3.0-only'
       UNION ALL SELECT e.src, w.source, w.family, w.depth + 1 FROM w JOIN e ON e.dst = w.package WHERE w.depth < 32
     ) SELECT package, source, family, min(depth) AS depth FROM w WHERE package <> source GROUP BY ALL
     """
 )
 def contamination_paths(spark, sf_dir):
-    nodes = spark.createDataFrame(_NODES, "name string, licence string, linking string")
-    return contamination.contaminated(nodes, spark.createDataFrame(_EDGES, "src string, dst string"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey IS NOT NULL")
+    rows = lambda fixed, *names: part.select(F.concat(F.lit("-"), F.col("p_partkey").cast("string")).alias("_k"), F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(r, names, strict=True))) for r in fixed))).alias("_r"))
+    nodes = rows(_NODES, "name", "licence", "linking").select(F.concat("_r.name", "_k").alias("name"), "_r.licence", "_r.linking")
+    edges = rows(_EDGES, "src", "dst").select(F.concat("_r.src", "_k").alias("src"), F.concat("_r.dst", "_k").alias("dst"))
+    return contamination.contaminated(nodes, edges)
 
 
 @query()
 def manifest_dependencies(spark, sf_dir):
-    npm = spark.createDataFrame([("package.json", '{"dependencies": {"react": "18.2.0"}, "devDependencies": {"jest": "^29"}}')], "path string, text string")
-    pip = spark.createDataFrame([("requirements.txt", "# c\nnumpy==1.26\nflask>=2.0,<3\nsix\n")], "path string, text string")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("string").alias("k"))
+    of = lambda name, text: part.select(F.concat("k", F.lit(f"/{name}")).alias("path"), F.replace(F.lit(text), F.lit("{k}"), F.col("k")).alias("text"))
+    npm = of("package.json", '{"dependencies": {"react-{k}": "18.2.{k}"}, "devDependencies": {"jest": "^{k}"}}')
+    pip = of("requirements.txt", "# c\nnumpy==1.{k}\nflask-{k}>=2.{k},<3\nsix\n")
     return supply_chain.npm_dependencies(npm).drop("section").unionByName(supply_chain.python_requirements(pip))
 
 
 @query()
 def spdx_packages(spark, sf_dir):
-    return reports.spdx_packages(_deps(spark))
+    return reports.spdx_packages(_own_deps(spark, sf_dir))
 
 
 @query()
 def cyclonedx_components(spark, sf_dir):
-    return reports.cyclonedx_components(_deps(spark))
+    return reports.cyclonedx_components(_own_deps(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- sources
@@ -456,16 +496,16 @@ def cyclonedx_components(spark, sf_dir):
 @query()
 def input_kinds(spark, sf_dir):
     rows = ["./src", "npm:react@18", "https://github.com/a/b", "https://example.com", "https://example.com/a.js", "docker:nginx", "a.apk", "b.wasm", "-", "git@github.com:a/b.git", "c.zip", "d.asar", "crx:abc"]
-    return spark.createDataFrame([(r,) for r in rows], "target string").select("target", input_kind(F.col("target")).alias("kind"))
+    return dealt(spark, sf_dir, [(r,) for r in rows], "target").select("part", "target", input_kind(F.col("target")).alias("kind"))
 
 
 @query()
 def package_specs(spark, sf_dir):
     rows = ["npm:react@18.2.0", "npm:@types/node@20", "npm:@types/node", "pip:numpy", "crate:serde@1", "crx:abc"]
-    return spark.createDataFrame([(r,) for r in rows], "spec string").select("spec", package_spec(F.col("spec")).alias("p")).select("spec", "p.*")
+    return dealt(spark, sf_dir, [(r,) for r in rows], "spec").select("part", "spec", package_spec(F.col("spec")).alias("p")).select("part", "spec", "p.*")
 
 
 @query()
 def file_categories(spark, sf_dir):
     rows = ["LICENSE", "src/a.rs", "package.json", "x/b.JS", "data.csv", "img.png", "f.woff2", "README", "a.md"]
-    return spark.createDataFrame([(r,) for r in rows], "path string").select("path", category(F.col("path")).alias("category"))
+    return dealt(spark, sf_dir, [(r,) for r in rows], "path").select("part", "path", category(F.col("path")).alias("category"))

@@ -238,11 +238,12 @@ def composer_manifest(files: DataFrame) -> DataFrame:
 
 
 def npm_tree(manifests: DataFrame, locks: DataFrame) -> DataFrame:
-    """``name, version, licence, depends_on, depth`` of one project: manifest entries overlaid with the lock file's, others at depth 2."""
-    top = npm_manifest(manifests).select("name", F.col("version").alias("v"), F.col("depth").alias("d"))
-    lock = npm_lock_entries(locks).groupBy("name").agg(F.max_by(F.struct("version", "licence", "depends_on"), "level").alias("l"))  # the deepest entry of a name holds
-    both = top.join(lock, "name", "full")
-    return both.select("name", F.coalesce("l.version", "v").alias("version"), F.col("l.licence").alias("licence"), _names(F.col("l.depends_on")).alias("depends_on"), F.coalesce("d", F.lit(2)).alias("depth"))
+    """``project, name, version, licence, depends_on, depth``: manifest entries overlaid with the lock file's of the same folder, others at depth 2."""
+    project = F.regexp_replace("path", "(^|/)[^/]*$", "").alias("project")
+    top = npm_manifest(manifests).select(project, "name", F.col("version").alias("v"), F.col("depth").alias("d"))
+    lock = npm_lock_entries(locks).groupBy(project, "name").agg(F.max_by(F.struct("version", "licence", "depends_on"), "level").alias("l"))  # the deepest entry of a name holds
+    both = top.join(lock, ["project", "name"], "full")
+    return both.select("project", "name", F.coalesce("l.version", "v").alias("version"), F.col("l.licence").alias("licence"), _names(F.col("l.depends_on")).alias("depends_on"), F.coalesce("d", F.lit(2)).alias("depth"))
 
 
 # Spellings of licences and the ids they stand for.

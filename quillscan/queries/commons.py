@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refdata_licences as L
-from ..catalog import _files, _q, _values, query
+from ..catalog import _files, _q, _values, dealt, dealt_sql, query
 from ..operators import commons as C
 
 _SAMPLES = [
@@ -42,14 +42,14 @@ _VERSION = "coalesce(" + ", ".join(f"CASE WHEN contains(id, '{v}') THEN '{v}' EN
 
 
 @query(
-    f"""WITH i AS (SELECT id, {_PARTS} AS c, {_VERSION} AS v FROM ({_values([(i,) for i in _IDS])}) t(id)), p AS (SELECT id, CASE WHEN starts_with(id, 'CC0') THEN '' ELSE c END AS components, CASE WHEN starts_with(id, 'CC0') THEN '1.0' ELSE v END AS version FROM i WHERE c <> '' OR starts_with(id, 'CC0'))
-    SELECT id, version, components, NOT contains(components, 'NC') AS commercial, NOT contains(components, 'ND') AS derivatives, contains(components, 'SA') AS share_alike, contains(components, 'BY') AS attribution, version IN ('3.0', '4.0') AS joins_4 FROM p"""
+    f"""WITH i AS (SELECT id, {_PARTS} AS c, {_VERSION} AS v, part FROM {dealt_sql([(i,) for i in _IDS], 'id')}), p AS (SELECT part, id, CASE WHEN starts_with(id, 'CC0') THEN '' ELSE c END AS components, CASE WHEN starts_with(id, 'CC0') THEN '1.0' ELSE v END AS version FROM i WHERE c <> '' OR starts_with(id, 'CC0'))
+    SELECT part, id, version, components, NOT contains(components, 'NC') AS commercial, NOT contains(components, 'ND') AS derivatives, contains(components, 'SA') AS share_alike, contains(components, 'BY') AS attribution, version IN ('3.0', '4.0') AS joins_4 FROM p"""
 )
 def commons_licences(spark, sf_dir):
-    rows = spark.createDataFrame([(i,) for i in _IDS], "id string").withColumn("l", C.parsed(F.col("id"))).filter("l IS NOT NULL")
+    rows = dealt(spark, sf_dir, [(i,) for i in _IDS], "id").withColumn("l", C.parsed(F.col("id"))).filter("l IS NOT NULL")
     part = F.col("l.components")
     return rows.select(
-        "id", "l.version", F.array_join(part, ",").alias("components"), C.allows_commercial(part).alias("commercial"), C.allows_derivatives(part).alias("derivatives"), C.requires_share_alike(part).alias("share_alike"),
+        "part", "id", "l.version", F.array_join(part, ",").alias("components"), C.allows_commercial(part).alias("commercial"), C.allows_derivatives(part).alias("derivatives"), C.requires_share_alike(part).alias("share_alike"),
         C.requires_attribution(part).alias("attribution"), C.share_alike_compatible(F.col("l.version"), F.lit("4.0")).alias("joins_4"),
     )
 
@@ -67,7 +67,11 @@ def commons_violations(spark, sf_dir):
     return C.commons_report(_sources(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES (-1, 'My Photo', 'Jane Doe', 'https://x.example/p', 'https://creativecommons.org/licenses/by-nc/2.0/', '2019', ''), (-2, NULL, 'Bob', NULL, NULL, NULL, 'title, source URL, license URL')) v(ord, title, author, source_url, license_url, \"year\", missing)")
+_CREDITS = [("My Photo", "Jane Doe", "https://x.example/p", "https://creativecommons.org/licenses/by-nc/2.0/", "2019", ""), (None, "Bob", None, None, None, "title, source URL, license URL")]
+
+
+@query("SELECT part, title, author, source_url, license_url, \"year\", missing FROM " + dealt_sql(_CREDITS, "title", "author", "source_url", "license_url", '"year"', "missing"))
 def commons_attribution(spark, sf_dir):
-    rows = spark.createDataFrame(_SAMPLES[:2], "ord int, path string, text string").select("ord", C.attribution(F.col("text")).alias("a"))
-    return rows.select("ord", "a.title", "a.author", "a.source_url", "a.license_url", "a.year", F.array_join("a.missing", ", ").alias("missing"))
+    """What files of parts say of their authors."""
+    rows = dealt(spark, sf_dir, [(t,) for _, _, t in _SAMPLES[:2]], "text").select("part", C.attribution(F.col("text")).alias("a"))
+    return rows.select("part", "a.title", "a.author", "a.source_url", "a.license_url", "a.year", F.array_join("a.missing", ", ").alias("missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refdata_licences as L
-from ..catalog import _family_sql, query
+from ..catalog import _family_sql, dealt, dealt_sql, query
 from ..operators import contamination as C
 
 _LICENCE = "['GPL-3.0-only', 'MIT', 'Apache-2.0', 'LGPL-2.1-only', 'MIT', 'AGPL-3.0-only', 'BSD-3-Clause']"
@@ -67,8 +67,8 @@ _EXPECTED = [
 ]
 
 
-@query()
+@query("SELECT part, expression, licences, has_copyleft, permissive_choice, effective FROM " + dealt_sql(_EXPECTED, "expression", "licences", "has_copyleft", "permissive_choice", "effective"))
 def expression_choices(spark, sf_dir):
     """What fixed expressions ask for; a test holds the expected rows."""
-    rows = spark.createDataFrame([(e,) for e in _EXPRESSIONS], "expression string").withColumn("c", C.choices("expression"))
-    return rows.select("expression", F.array_join("c.licences", ",").alias("licences"), "c.has_copyleft", "c.permissive_choice", "c.effective")
+    rows = dealt(spark, sf_dir, [(e,) for e in _EXPRESSIONS], "expression").withColumn("c", C.choices("expression"))
+    return rows.select("part", "expression", F.array_join("c.licences", ",").alias("licences"), "c.has_copyleft", "c.permissive_choice", "c.effective")

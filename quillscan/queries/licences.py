@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import refdata as R
 from .. import refdata_licences as L
-from ..catalog import _docs, _family_sql, _files, _licence_sql, _plain_sql, _q, _values, query
+from ..catalog import _docs, _family_sql, _files, _licence_sql, _plain_sql, _q, _values, dealt, dealt_sql, query
 from ..functions.license import licence_of_text
 from ..operators import forensics, licences
 
@@ -140,9 +140,14 @@ def licence_obligations(spark, sf_dir):
     return licences.obligations(_licensed(spark, sf_dir)).select("ord", "licence", F.explode("obligations").alias("obligation"))
 
 
-@query(f"WITH {_TABLE} SELECT family, count(*) AS licences, count_if(osi) AS approved FROM known GROUP BY family")
+_DECLARED = [(r[0],) for r in L.LICENCES] + [("mit",), ("Unheard-1.0",), (None,)]
+
+
+@query(f"WITH {_TABLE} SELECT family, count(*) AS licences, count_if(osi) AS approved FROM {dealt_sql(_DECLARED, 'licence')} JOIN known ON upper(known.id) = upper(licence) GROUP BY family")
 def licences_by_family(spark, sf_dir):
-    return licences.licence_table(spark).groupBy("family").agg(F.count("*").alias("licences"), F.count_if("osi_approved").alias("approved"))
+    """Families of the licences that parts declare."""
+    known = licences.lookup(dealt(spark, sf_dir, _DECLARED, "licence")).filter("known IS NOT NULL").select("known.*")
+    return known.groupBy("family").agg(F.count("*").alias("licences"), F.count_if("osi_approved").alias("approved"))
 
 
 _HEADERS = "heads(id, n, phrase) AS (" + _values([(r[0], len(r[9]), p.lower()) for r in L.LICENCES for p in r[9]]) + ")"
@@ -157,9 +162,9 @@ def licence_header_matches(spark, sf_dir):
 _SPELLINGS = [("mit",), ("GPLv3",), ("gplv2",), (" Apache-2.0 ",), ("AGPLv3",), ("nope",), ("ISC",), (None,)]
 
 
-@query("WITH s(id, spelling) AS (" + _values([(r[0], s.upper()) for r in L.LICENCES for s in r[7]]) + f") SELECT declared, min(s.id) AS licence FROM ({_values(_SPELLINGS)}) v(declared) LEFT JOIN s ON s.spelling = upper(trim(declared)) GROUP BY declared")
+@query("WITH s(id, spelling) AS (" + _values([(r[0], s.upper()) for r in L.LICENCES for s in r[7]]) + f") SELECT part, declared, min(s.id) AS licence FROM {dealt_sql(_SPELLINGS, 'declared')} LEFT JOIN s ON s.spelling = upper(trim(declared)) GROUP BY part, declared")
 def licence_spellings(spark, sf_dir):
-    return spark.createDataFrame(_SPELLINGS, "declared string").select("declared", licences.spelled(F.col("declared")).alias("licence"))
+    return dealt(spark, sf_dir, _SPELLINGS, "declared").select("part", "declared", licences.spelled(F.col("declared")).alias("licence"))
 
 
 # ---------------------------------------------------------------- policy
@@ -174,9 +179,12 @@ def policy_licences(spark, sf_dir):
     return licences.policy_findings(_licensed(spark, sf_dir), _POLICY)
 
 
-@query("SELECT name, CASE lower(name) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'med' THEN 2 ELSE 1 END AS rank FROM (VALUES ('Critical'), ('HIGH'), ('med'), ('medium'), ('low'), ('?')) v(name)")
+_SEVERITIES = [(n,) for n in ("Critical", "HIGH", "med", "medium", "low", "?")]
+
+
+@query("SELECT part, name, CASE lower(name) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'med' THEN 2 ELSE 1 END AS rank FROM " + dealt_sql(_SEVERITIES, "name"))
 def policy_severities(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in ("Critical", "HIGH", "med", "medium", "low", "?")], "name string").select("name", licences.severity_rank(F.col("name")).alias("rank"))
+    return dealt(spark, sf_dir, _SEVERITIES, "name").select("part", "name", licences.severity_rank(F.col("name")).alias("rank"))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..catalog import _DEPS, _DETECTED, _IDS, ORACLE_SQL, _family_sql, _q, _values
+from ..catalog import _DEPS_SQL, _DETECTED, _HEADERS, _IDS, ORACLE_SQL, _family_sql, _q, _values, dealt_sql
 from ..operators import findings
 
 _LEVEL = "CASE WHEN severity IN ('Critical', 'High') THEN 'error' WHEN severity = 'Medium' THEN 'warning' ELSE 'note' END"
@@ -34,20 +34,20 @@ def _compatibility(commercial: bool, network: bool, static: bool) -> str:
     return "CASE " + " ".join(f"WHEN {w} THEN {_q(r)}" for w, r in arms) + " ELSE 'Conditional' END"
 
 
-ORACLE_SQL["license_compatibility_matrix"] = f"""WITH i AS (SELECT id, upper(id) AS big, {_family_sql('id')} AS family FROM ({_values([(i,) for i in _IDS if i])}) v(id)),
-p AS (SELECT a.id AS upstream, b.id AS downstream, a.family AS up, b.family AS down, a.big AS u, b.big AS d FROM i a, i b)
-SELECT upstream, downstream, {_compatibility(False, False, False)} AS plain, {_compatibility(True, True, True)} AS strict FROM p"""
+ORACLE_SQL["license_compatibility_matrix"] = f"""WITH v AS (SELECT * FROM {dealt_sql([(a, b) for a in _IDS if a for b in _IDS if b], 'upstream', 'downstream')}),
+p AS (SELECT part, upstream, downstream, {_family_sql('upstream')} AS up, {_family_sql('downstream')} AS down, upper(upstream) AS u, upper(downstream) AS d FROM v)
+SELECT part, upstream, downstream, {_compatibility(False, False, False)} AS plain, {_compatibility(True, True, True)} AS strict FROM p"""
 
-_D = f"d AS (SELECT *, row_number() OVER (ORDER BY ecosystem, name) AS n FROM ({_values(_DEPS)}) v(ecosystem, name, version_spec))"
+_D = f"d AS (SELECT *, row_number() OVER (ORDER BY ecosystem, name) AS n FROM (SELECT ecosystem, name || '-' || part AS name, version_spec FROM {_DEPS_SQL}))"
 ORACLE_SQL["spdx_packages"] = f"WITH {_D} SELECT CAST(n AS INTEGER) AS number, CAST(json_object('SPDXID', 'SPDXRef-Package-' || n, 'name', name, 'versionInfo', coalesce(version_spec, 'NOASSERTION')) AS VARCHAR) AS package FROM d"
 _PURL = "'pkg:' || CASE ecosystem WHEN 'crates' THEN 'cargo' WHEN 'go' THEN 'golang' ELSE ecosystem END || '/' || CASE WHEN ecosystem = 'npm' AND starts_with(name, '@') THEN '%40' || name[2:] ELSE name END || coalesce('@' || version_spec, '')"
 ORACLE_SQL["cyclonedx_components"] = f"WITH {_D} SELECT name, CAST(CASE WHEN version_spec IS NULL THEN json_object('type', 'library', 'name', name, 'purl', {_PURL}) ELSE json_object('type', 'library', 'name', name, 'version', version_spec, 'purl', {_PURL}) END AS VARCHAR) AS component FROM d"
 
-ORACLE_SQL["package_specs"] = "SELECT * FROM (VALUES ('npm:react@18.2.0', 'npm', 'react', '18.2.0'), ('npm:@types/node@20', 'npm', '@types/node', '20'), ('npm:@types/node', 'npm', '@types/node', NULL), ('pip:numpy', 'pypi', 'numpy', NULL), ('crate:serde@1', 'crates', 'serde', '1'), ('crx:abc', 'crx', 'abc', NULL)) v(spec, ecosystem, name, version)"
-ORACLE_SQL["file_categories"] = "SELECT * FROM (VALUES ('LICENSE', 'License'), ('src/a.rs', 'SourceCode'), ('package.json', 'Manifest'), ('x/b.JS', 'JavaScript'), ('data.csv', 'Data'), ('img.png', 'Image'), ('f.woff2', 'Font'), ('README', 'Other'), ('a.md', 'Document')) v(path, category)"
-ORACLE_SQL["input_kinds"] = """SELECT * FROM (VALUES ('./src', 'LocalPath'), ('npm:react@18', 'Package'), ('https://github.com/a/b', 'GitRepo'), ('https://example.com', 'WebsiteUrl'), ('https://example.com/a.js', 'FileUrl'), ('docker:nginx', 'DockerImage'), ('a.apk', 'MobileApp'), ('b.wasm', 'WasmBinary'),
-('-', 'Stdin'), ('git@github.com:a/b.git', 'GitRepo'), ('c.zip', 'Archive'), ('d.asar', 'ElectronApp'), ('crx:abc', 'BrowserExtension')) v(target, kind)"""
-ORACLE_SQL["manifest_dependencies"] = "SELECT * FROM (VALUES ('package.json', 'npm', 'react', '18.2.0'), ('package.json', 'npm', 'jest', '^29'), ('requirements.txt', 'pypi', 'numpy', '1.26'), ('requirements.txt', 'pypi', 'flask', '2.0'), ('requirements.txt', 'pypi', 'six', NULL)) v(path, ecosystem, name, version_spec)"
-ORACLE_SQL["pii_columns"] = "SELECT * FROM (VALUES ('a.csv', 'name', NULL), ('a.csv', 'email', 'Email'), ('a.csv', 'phone', 'PhoneNumber')) v(path, \"column\", kind)"
+ORACLE_SQL["package_specs"] = f"SELECT part, spec, ecosystem, name, version FROM {dealt_sql([('npm:react@18.2.0', 'npm', 'react', '18.2.0'), ('npm:@types/node@20', 'npm', '@types/node', '20'), ('npm:@types/node', 'npm', '@types/node', None), ('pip:numpy', 'pypi', 'numpy', None), ('crate:serde@1', 'crates', 'serde', '1'), ('crx:abc', 'crx', 'abc', None)], 'spec', 'ecosystem', 'name', 'version')}"
+ORACLE_SQL["file_categories"] = f"SELECT part, path, category FROM {dealt_sql([('LICENSE', 'License'), ('src/a.rs', 'SourceCode'), ('package.json', 'Manifest'), ('x/b.JS', 'JavaScript'), ('data.csv', 'Data'), ('img.png', 'Image'), ('f.woff2', 'Font'), ('README', 'Other'), ('a.md', 'Document')], 'path', 'category')}"
+ORACLE_SQL["input_kinds"] = f"SELECT part, target, kind FROM {dealt_sql([('./src', 'LocalPath'), ('npm:react@18', 'Package'), ('https://github.com/a/b', 'GitRepo'), ('https://example.com', 'WebsiteUrl'), ('https://example.com/a.js', 'FileUrl'), ('docker:nginx', 'DockerImage'), ('a.apk', 'MobileApp'), ('b.wasm', 'WasmBinary'), ('-', 'Stdin'), ('git@github.com:a/b.git', 'GitRepo'), ('c.zip', 'Archive'), ('d.asar', 'ElectronApp'), ('crx:abc', 'BrowserExtension')], 'target', 'kind')}"
+ORACLE_SQL["manifest_dependencies"] = """WITH k AS (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part) SELECT k || '/package.json' AS path, 'npm' AS ecosystem, 'react-' || k AS name, '18.2.' || k AS version_spec FROM k UNION ALL SELECT k || '/package.json', 'npm', 'jest', '^' || k FROM k
+UNION ALL SELECT k || '/requirements.txt', 'pypi', 'numpy', '1.' || k FROM k UNION ALL SELECT k || '/requirements.txt', 'pypi', 'flask-' || k, '2.' || k FROM k UNION ALL SELECT k || '/requirements.txt', 'pypi', 'six', NULL FROM k"""
+ORACLE_SQL["pii_columns"] = f"""SELECT part, path, "column", CASE "column" WHEN 'email' THEN 'Email' WHEN 'phone' THEN 'PhoneNumber' END AS kind FROM (SELECT part, path, unnest(string_split(string_split(text, chr(10))[1], ',')) AS "column" FROM {dealt_sql(_HEADERS, 'path', 'text')})"""
 ORACLE_SQL["text_entropy"] = """WITH b AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents WHERE text <> ''), c AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id, b), t AS (SELECT doc_id, sum(n) AS t FROM c GROUP BY doc_id)
 SELECT doc_id, round(coalesce(e, 0.0::DOUBLE), 6) AS entropy FROM documents LEFT JOIN (SELECT c.doc_id, -sum(n / t::DOUBLE * log2(n / t::DOUBLE)) AS e FROM c JOIN t USING (doc_id) GROUP BY c.doc_id) USING (doc_id)"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..catalog import _q, _values, query
+from ..catalog import _q, _values, dealt, dealt_sql, query
 from ..operators import manifests as M
 from ..operators.supply_chain import popular_packages
 
@@ -27,15 +27,18 @@ _FILES = [
     ("h/composer.json", '{"name": "v/app", "require": {"php": ">=8", "ext-json": "*", "v/a": "^1.0"}}'),
     ("i/Gemfile.lock", "GEM\n  remote: https://rubygems.org/\n  specs:\n    rack (2.2.3)\n    rails (7.0.4)\n      rack (>= 2.2)\n      thor (~> 1.0)\n\nPLATFORMS\n  ruby\n\nDEPENDENCIES\n  rails\n"),
 ]
-_SQL_FILES = f"files AS (SELECT * FROM ({_values(_FILES)}) v(path, text))"
+#: Every part is a project with these files.
+_SQL_FILES = f"files AS (SELECT CAST(p_partkey AS VARCHAR) || '/' || path AS path, text FROM part, ({_values(_FILES)}) v(path, text))"
 
 
-def _files(spark):
-    return spark.createDataFrame(_FILES, "path string, text string")
+def _files(spark, sf_dir):
+    fixed = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(t).alias("text")) for p, t in _FILES))
+    each = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey IS NOT NULL").select("p_partkey", F.explode(fixed).alias("f"))
+    return each.select(F.concat(F.col("p_partkey").cast("string"), F.lit("/"), "f.path").alias("path"), "f.text")
 
 
-def _named(spark, name):
-    return _files(spark).filter(F.col("path").endswith("/" + name))
+def _named(spark, sf_dir, name):
+    return _files(spark, sf_dir).filter(F.col("path").endswith("/" + name))
 
 
 def _flat(nodes):
@@ -50,28 +53,28 @@ def _node_sql(rows: str, ecosystem: str, name: str, version: str, linking: str,
 _part = lambda tag: f"regexp_extract(b, '<{tag}>([^<]*)', 1)"
 _attribute = lambda name: f"""regexp_extract(b, '{name}="([^"]*)', 1)"""
 _RAW = "coalesce(p->>'license', 'UNKNOWN')"
-_NPM = "(SELECT path, unnest(json_keys(j)) AS key, j FROM (SELECT path, text->'packages' AS j FROM files WHERE path = 'a/package-lock.json'))"
+_NPM = "(SELECT path, unnest(json_keys(j)) AS key, j FROM (SELECT path, text->'packages' AS j FROM files WHERE ends_with(path, '/a/package-lock.json')))"
 _LINES = "(SELECT path, i, trim(l) AS l FROM (SELECT path, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM files))"
 _NODES = [
     _node_sql(f"(SELECT path, key, json_extract(j, '$.\"' || key || '\"') AS p FROM {_NPM} WHERE key <> '')", "npm", "regexp_replace(key, '^node_modules/', '')", "p->>'version'", "'Source'", _RAW, _RAW, "coalesce(array_to_string(json_keys(p->'dependencies'), ','), '')", "''", "coalesce(CAST(p->>'dev' AS BOOLEAN), false)"),
-    _node_sql("(SELECT path, unnest(CAST(text->'packages' AS JSON[])) AS p, text->'resolve'->'nodes' AS nodes FROM files WHERE path = 'c/metadata.json')", "crates", "p->>'name'", "p->>'version'", "CASE WHEN contains(CAST(p->'targets' AS VARCHAR), 'proc-macro') THEN 'ProcMacro' ELSE 'Static' END", f"string_split({_RAW}, ' OR ')[1]", f"replace({_RAW}, '/', ' OR ')",
+    _node_sql("(SELECT path, unnest(CAST(text->'packages' AS JSON[])) AS p, text->'resolve'->'nodes' AS nodes FROM files WHERE ends_with(path, '/c/metadata.json'))", "crates", "p->>'name'", "p->>'version'", "CASE WHEN contains(CAST(p->'targets' AS VARCHAR), 'proc-macro') THEN 'ProcMacro' ELSE 'Static' END", f"string_split({_RAW}, ' OR ')[1]", f"replace({_RAW}, '/', ' OR ')",
         "(SELECT coalesce(array_to_string(list_transform(CAST(n->'deps' AS JSON[]), lambda d: d->>'name'), ','), '') FROM (SELECT unnest(CAST(nodes AS JSON[])) AS n) WHERE n->>'id' = p->>'id')", f"CASE WHEN contains({_RAW}, ' WITH ') THEN trim(string_split({_RAW}, ' WITH ')[2]) ELSE '' END"),
-    _node_sql("(SELECT path, unnest(string_split(text, '[[package]]')[2:]) AS b FROM files WHERE path = 'c/Cargo.lock')", "crates", "regexp_extract(b, 'name = \"([^\"]*)', 1)", "regexp_extract(b, 'version = \"([^\"]*)', 1)", "'Static'", deps="array_to_string(regexp_extract_all(b, '\"([^\" ]+) [^\"]+\",', 1), ',')"),
-    _node_sql(f"(SELECT path, string_split(l, ' ')[1] AS n, arg_min(regexp_replace(string_split(l, ' ')[2], '/go.mod$', ''), i) AS v FROM {_LINES} WHERE path = 'd/go.sum' AND contains(l, ' ') GROUP BY ALL)", "go", "n", "v", "'Static'"),
-    _node_sql(f"(SELECT path, l FROM {_LINES} WHERE path = 'e/requirements.txt' AND l <> '' AND l[1] NOT IN ('#', '-'))", "pypi", "trim(regexp_extract(l, '^([^=>]*)', 1))", "nullif(trim(regexp_extract(l, '[=>]=(.*)$', 1)), '')", "'Source'"),
-    _node_sql("(SELECT path, unnest(string_split(text, '<dependency>')[2:]) AS b FROM files WHERE path = 'f/pom.xml')", "maven", f"{_part('groupId')} || ':' || {_part('artifactId')}", f"nullif({_part('version')}, '')", "'Static'", build=f"{_part('scope')} IN ('test', 'provided', 'system')"),
-    _node_sql("(SELECT path, trim(l) AS l, regexp_extract_all(l, '[^:''\"() ]+')[2:] AS c FROM (SELECT path, unnest(string_split(text, chr(10))) AS l FROM files WHERE path = 'f/build.gradle') WHERE contains(l, ':'))", "maven", "c[1] || ':' || c[2]", "c[3]", "'Static'", build="starts_with(l, 'test') OR starts_with(l, 'compileOnly')"),
-    _node_sql("(SELECT path, unnest(string_split(text, '<PackageReference ')[2:]) AS b FROM files WHERE path = 'g/app.csproj')", "nuget", _attribute("Include"), f"nullif({_attribute('Version')}, '')", "'Static'"),
-    _node_sql("(SELECT path, unnest(string_split(text, '<package ')[2:]) AS b FROM files WHERE path = 'g/packages.config')", "nuget", _attribute("id"), _attribute("version"), "'Static'") + f" WHERE {_attribute('id')} NOT IN ('Json', 'Log')",
-    _node_sql("(SELECT path, unnest(CAST(text->'packages' AS JSON[])) AS p FROM files WHERE path = 'h/composer.lock')", "composer", "p->>'name'", "p->>'version'", "'Source'", "coalesce(p->'license'->>0, 'UNKNOWN')", "array_to_string(CAST(p->'license' AS VARCHAR[]), ' OR ')", "array_to_string(list_filter(json_keys(p->'require'), lambda k: NOT starts_with(k, 'php') AND NOT starts_with(k, 'ext-')), ',')"),
-    _node_sql("(SELECT path, unnest(CAST(text->'packages-dev' AS JSON[])) AS p FROM files WHERE path = 'h/composer.lock')", "composer", "p->>'name'", "p->>'version'", "'Source'", "coalesce(p->'license'->>0, 'UNKNOWN')", build="true"),
-    _node_sql(r"(SELECT path, unnest(regexp_extract_all(split_part(split_part(text, 'PLATFORMS', 1), 'specs:' || chr(10), 2), '    [^ \n]+ \([^)]+\)\n(      [^ \n][^\n]*\n)*')) AS b FROM files WHERE path = 'i/Gemfile.lock')", "gems", "regexp_extract(b, '^    ([^ ]+)', 1)", r"regexp_extract(b, '\(([^)]+)\)', 1)", "'Source'", deps=r"array_to_string(regexp_extract_all(b, '      ([^ \n]+)', 1), ',')"),
+    _node_sql("(SELECT path, unnest(string_split(text, '[[package]]')[2:]) AS b FROM files WHERE ends_with(path, '/c/Cargo.lock'))", "crates", "regexp_extract(b, 'name = \"([^\"]*)', 1)", "regexp_extract(b, 'version = \"([^\"]*)', 1)", "'Static'", deps="array_to_string(regexp_extract_all(b, '\"([^\" ]+) [^\"]+\",', 1), ',')"),
+    _node_sql(f"(SELECT path, string_split(l, ' ')[1] AS n, arg_min(regexp_replace(string_split(l, ' ')[2], '/go.mod$', ''), i) AS v FROM {_LINES} WHERE ends_with(path, '/d/go.sum') AND contains(l, ' ') GROUP BY ALL)", "go", "n", "v", "'Static'"),
+    _node_sql(f"(SELECT path, l FROM {_LINES} WHERE ends_with(path, '/e/requirements.txt') AND l <> '' AND l[1] NOT IN ('#', '-'))", "pypi", "trim(regexp_extract(l, '^([^=>]*)', 1))", "nullif(trim(regexp_extract(l, '[=>]=(.*)$', 1)), '')", "'Source'"),
+    _node_sql("(SELECT path, unnest(string_split(text, '<dependency>')[2:]) AS b FROM files WHERE ends_with(path, '/f/pom.xml'))", "maven", f"{_part('groupId')} || ':' || {_part('artifactId')}", f"nullif({_part('version')}, '')", "'Static'", build=f"{_part('scope')} IN ('test', 'provided', 'system')"),
+    _node_sql("(SELECT path, trim(l) AS l, regexp_extract_all(l, '[^:''\"() ]+')[2:] AS c FROM (SELECT path, unnest(string_split(text, chr(10))) AS l FROM files WHERE ends_with(path, '/f/build.gradle')) WHERE contains(l, ':'))", "maven", "c[1] || ':' || c[2]", "c[3]", "'Static'", build="starts_with(l, 'test') OR starts_with(l, 'compileOnly')"),
+    _node_sql("(SELECT path, unnest(string_split(text, '<PackageReference ')[2:]) AS b FROM files WHERE ends_with(path, '/g/app.csproj'))", "nuget", _attribute("Include"), f"nullif({_attribute('Version')}, '')", "'Static'"),
+    _node_sql("(SELECT path, unnest(string_split(text, '<package ')[2:]) AS b FROM files WHERE ends_with(path, '/g/packages.config'))", "nuget", _attribute("id"), _attribute("version"), "'Static'") + f" WHERE {_attribute('id')} NOT IN ('Json', 'Log')",
+    _node_sql("(SELECT path, unnest(CAST(text->'packages' AS JSON[])) AS p FROM files WHERE ends_with(path, '/h/composer.lock'))", "composer", "p->>'name'", "p->>'version'", "'Source'", "coalesce(p->'license'->>0, 'UNKNOWN')", "array_to_string(CAST(p->'license' AS VARCHAR[]), ' OR ')", "array_to_string(list_filter(json_keys(p->'require'), lambda k: NOT starts_with(k, 'php') AND NOT starts_with(k, 'ext-')), ',')"),
+    _node_sql("(SELECT path, unnest(CAST(text->'packages-dev' AS JSON[])) AS p FROM files WHERE ends_with(path, '/h/composer.lock'))", "composer", "p->>'name'", "p->>'version'", "'Source'", "coalesce(p->'license'->>0, 'UNKNOWN')", build="true"),
+    _node_sql(r"(SELECT path, unnest(regexp_extract_all(split_part(split_part(text, 'PLATFORMS', 1), 'specs:' || chr(10), 2), '    [^ \n]+ \([^)]+\)\n(      [^ \n][^\n]*\n)*')) AS b FROM files WHERE ends_with(path, '/i/Gemfile.lock'))", "gems", "regexp_extract(b, '^    ([^ ]+)', 1)", r"regexp_extract(b, '\(([^)]+)\)', 1)", "'Source'", deps=r"array_to_string(regexp_extract_all(b, '      ([^ \n]+)', 1), ',')"),
 ]
 
 
 @query(f"WITH {_SQL_FILES} " + " UNION ALL ".join(_NODES))
 def lockfile_nodes(spark, sf_dir):
-    return _flat(M.dependency_nodes(_files(spark)))
+    return _flat(M.dependency_nodes(_files(spark, sf_dir)))
 
 
 #: Build files of a part, in SQL that Spark and DuckDB share: {k} is its key, {n} its name with dashes, {b} its brand, {v} its version.
@@ -109,27 +112,27 @@ def _filled(body, columns):
 
 
 @query(
-    f"WITH RECURSIVE {_SQL_FILES}, open(path, key, info, level) AS (SELECT path, unnest(json_keys(text->'dependencies')), text->'dependencies', 1 FROM files WHERE path = 'b/package-lock.json' UNION ALL SELECT path, unnest(json_keys(d)), d, level + 1 FROM (SELECT path, json_extract(info, '$.\"' || key || '\".dependencies') AS d, level FROM open) WHERE d IS NOT NULL), "
+    f"WITH RECURSIVE {_SQL_FILES}, open(path, key, info, level) AS (SELECT path, unnest(json_keys(text->'dependencies')), text->'dependencies', 1 FROM files WHERE ends_with(path, '/b/package-lock.json') UNION ALL SELECT path, unnest(json_keys(d)), d, level + 1 FROM (SELECT path, json_extract(info, '$.\"' || key || '\".dependencies') AS d, level FROM open) WHERE d IS NOT NULL), "
     "e AS (SELECT path, key AS name, json_extract(info, '$.\"' || key || '\"') AS p, level FROM open) SELECT path, name, coalesce(p->>'version', '0.0.0') AS version, CAST(NULL AS VARCHAR) AS licence, coalesce(array_to_string(json_keys(p->'requires'), ','), '') AS depends_on, level FROM e"
 )
 def npm_nested_lock_entries(spark, sf_dir):
-    return M.npm_lock_entries(_files(spark).filter("path = 'b/package-lock.json'")).withColumn("depends_on", F.array_join("depends_on", ","))
+    return M.npm_lock_entries(_named(spark, sf_dir, "b/package-lock.json")).withColumn("depends_on", F.array_join("depends_on", ","))
 
 
-@query("SELECT * FROM (VALUES ('left', '1.2.3', 'MIT', 'right', 1), ('@evil/react', '1.0.0', NULL, '', 1), ('jest', '29.0.0', NULL, '', 1), ('left/node_modules/right', '2.0.0', NULL, '', 2)) v(name, version, licence, depends_on, depth)")
+@query("SELECT CAST(p_partkey AS VARCHAR) || '/a' AS project, v.* FROM part, (VALUES ('left', '1.2.3', 'MIT', 'right', 1), ('@evil/react', '1.0.0', NULL, '', 1), ('jest', '29.0.0', NULL, '', 1), ('left/node_modules/right', '2.0.0', NULL, '', 2)) v(name, version, licence, depends_on, depth)")
 def npm_dependency_tree(spark, sf_dir):
-    tree = M.npm_tree(_named(spark, "package.json"), _files(spark).filter("path = 'a/package-lock.json'"))
+    tree = M.npm_tree(_named(spark, sf_dir, "package.json"), _named(spark, sf_dir, "a/package-lock.json"))
     return tree.withColumn("depends_on", F.array_join("depends_on", ","))
 
 
-@query(rf"WITH {_SQL_FILES} SELECT path, string_split(l, ' ')[1] AS name, string_split(l, ' ')[2] AS version, CASE WHEN contains(l, '// indirect') THEN 2 ELSE 1 END AS depth FROM (SELECT path, regexp_replace(trim(regexp_replace(l, '\t', '')), '^require ', '') AS l FROM {_LINES} WHERE path = 'd/go.mod' AND regexp_matches(l, ' v[0-9]'))")
+@query(rf"WITH {_SQL_FILES} SELECT path, string_split(l, ' ')[1] AS name, string_split(l, ' ')[2] AS version, CASE WHEN contains(l, '// indirect') THEN 2 ELSE 1 END AS depth FROM (SELECT path, regexp_replace(trim(regexp_replace(l, '\t', '')), '^require ', '') AS l FROM {_LINES} WHERE ends_with(path, '/d/go.mod') AND regexp_matches(l, ' v[0-9]'))")
 def go_mod_requirements(spark, sf_dir):
-    return M.go_mod(_named(spark, "go.mod"))
+    return M.go_mod(_named(spark, sf_dir, "go.mod"))
 
 
-@query(f"WITH {_SQL_FILES} SELECT path, k AS name, text->'require'->>k AS version, 1 AS depth FROM (SELECT path, text, unnest(json_keys(text->'require')) AS k FROM files WHERE path = 'h/composer.json') WHERE k <> 'php' AND NOT starts_with(k, 'ext-')")
+@query(f"WITH {_SQL_FILES} SELECT path, k AS name, text->'require'->>k AS version, 1 AS depth FROM (SELECT path, text, unnest(json_keys(text->'require')) AS k FROM files WHERE ends_with(path, '/h/composer.json')) WHERE k <> 'php' AND NOT starts_with(k, 'ext-')")
 def composer_requirements(spark, sf_dir):
-    return M.composer_manifest(_named(spark, "composer.json"))
+    return M.composer_manifest(_named(spark, sf_dir, "composer.json"))
 
 
 def _case(value: str, rows: list[tuple[str, str]], test: str) -> str:
@@ -170,17 +173,17 @@ _ASKED = [("npm", "body_parser"), ("npm", "lodash-js"), ("npm", "lodash"), ("npm
 
 
 @query(
-    f"""WITH d(ecosystem, name) AS ({_values(_ASKED)}), p(ecosystem, popular) AS ({_values(_LISTED)})
+    f"""WITH d AS (SELECT DISTINCT ecosystem, name FROM {dealt_sql(_ASKED, 'ecosystem', 'name')}), p(ecosystem, popular) AS ({_values(_LISTED)})
     SELECT ecosystem, name, popular, 'separator' AS flag FROM d JOIN p USING (ecosystem) WHERE translate(name, '-.', '__') = translate(popular, '-.', '__') AND name <> popular
     UNION SELECT ecosystem, name, popular, 'variant' FROM d JOIN p USING (ecosystem) JOIN ({_values([(e,) for e in M.VARIANT_ENDINGS])}) v(e) ON name = popular || e"""
 )
 def name_variants(spark, sf_dir):
-    return M.name_variants(spark.createDataFrame(_ASKED, "ecosystem string, name string"), popular_packages(spark))
+    return M.name_variants(dealt(spark, sf_dir, _ASKED, "ecosystem", "name").select("ecosystem", "name").distinct(), popular_packages(spark))
 
 
-@query(f"WITH d(ecosystem, name) AS ({_values(_ASKED)}), p(ecosystem, popular) AS ({_values(_LISTED)}) SELECT name, popular FROM d JOIN p ON p.ecosystem = 'npm' AND d.ecosystem = 'npm' AND starts_with(name, '@') AND split_part(name, '/', 2) = popular WHERE NOT " + "(" + " OR ".join(f"starts_with(name, {_q(s)})" for s in M.OFFICIAL_SCOPES) + ")")
+@query(f"WITH d AS (SELECT DISTINCT ecosystem, name FROM {dealt_sql(_ASKED, 'ecosystem', 'name')}), p(ecosystem, popular) AS ({_values(_LISTED)}) SELECT name, popular FROM d JOIN p ON p.ecosystem = 'npm' AND d.ecosystem = 'npm' AND starts_with(name, '@') AND split_part(name, '/', 2) = popular WHERE NOT " + "(" + " OR ".join(f"starts_with(name, {_q(s)})" for s in M.OFFICIAL_SCOPES) + ")")
 def scope_confusion(spark, sf_dir):
-    return M.scope_confusion(spark.createDataFrame(_ASKED, "ecosystem string, name string"), popular_packages(spark))
+    return M.scope_confusion(dealt(spark, sf_dir, _ASKED, "ecosystem", "name").select("ecosystem", "name").distinct(), popular_packages(spark))
 
 
 @query("SELECT 'orders/' || o_custkey || '/' AS folder FROM orders GROUP BY o_custkey HAVING max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate END) > max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderdate END)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import refdata as R
-from ..catalog import _DETECTED, _DOCS, _EMAIL, _IP, _SECRET_LINES, _files, _q, _values, query
+from ..catalog import _DETECTED, _DOCS, _EMAIL, _IP, _SECRET_LINES, _files, _q, _values, dealt, dealt_sql, query
 from ..operators import selection as S
 from ..operators.data_rights import has_email, has_ipv4, secrets_of
 from ..plans.scan import detect
@@ -69,11 +69,11 @@ _KINDS = [k for k, *_ in S.PII_RISKS] + ["Other"]
 
 @query(
     f"""WITH r(kind, risk) AS ({_values([(k, r) for k, r, _, _ in S.PII_RISKS])}), g(kind, n) AS ({_values([(k, len(g)) for k, _, _, g in S.PII_RISKS])})
-    SELECT k.kind, coalesce(risk, 'None') AS risk, coalesce(n, 2) AS regulations, CASE WHEN risk IN ('Medium', 'High', 'Critical') THEN risk ELSE 'Medium' END AS at_least_medium FROM ({_values([(k,) for k in _KINDS])}) k(kind) LEFT JOIN r USING (kind) LEFT JOIN g USING (kind)"""
+    SELECT part, k.kind, coalesce(risk, 'None') AS risk, coalesce(n, 2) AS regulations, CASE WHEN risk IN ('Medium', 'High', 'Critical') THEN risk ELSE 'Medium' END AS at_least_medium FROM {dealt_sql([(k,) for k in _KINDS], 'kind')} k LEFT JOIN r USING (kind) LEFT JOIN g USING (kind)"""
 )
 def pii_risks(spark, sf_dir):
-    rows = spark.createDataFrame([(k,) for k in _KINDS], "kind string").withColumn("risk", S.pii_risk(F.col("kind")))
-    return rows.select("kind", "risk", F.size(S.regulations(F.col("kind"))).alias("regulations"), S.greater_risk(F.col("risk"), F.lit("Medium")).alias("at_least_medium"))
+    rows = dealt(spark, sf_dir, [(k,) for k in _KINDS], "kind").withColumn("risk", S.pii_risk(F.col("kind")))
+    return rows.select("part", "kind", "risk", F.size(S.regulations(F.col("kind"))).alias("regulations"), S.greater_risk(F.col("risk"), F.lit("Medium")).alias("at_least_medium"))
 
 
 _POINTS = "coalesce(CASE kind " + " ".join(f"WHEN {_q(r[0])} THEN {r[2]}" for r in S.PII_RISKS) + " END, 5)"
@@ -93,7 +93,9 @@ def data_rights_risk(spark, sf_dir):
     return S.data_rights_risk(kinds, secrets, files.filter(F.octet_length("text") > 20_000), by=["folder"])
 
 
-@query(f"SELECT licence, obligation FROM ({_values([(n, o) for n, d in S.DATA_DUTIES for o in d])}) d(licence, obligation)")
+_DATA_IDS = [(i,) for i in sorted({i for _, i in R.DATA_LICENSES})]
+
+
+@query(f"SELECT part, licence, obligation FROM {dealt_sql(_DATA_IDS, 'licence')} JOIN ({_values([(n, o) for n, d in S.DATA_DUTIES for o in d])}) d(licence, obligation) USING (licence)")
 def data_licence_duties(spark, sf_dir):
-    ids = sorted({i for _, i in R.DATA_LICENSES})
-    return spark.createDataFrame([(i,) for i in ids], "licence string").select("licence", F.explode(S.data_duties(F.col("licence"))).alias("obligation"))
+    return dealt(spark, sf_dir, _DATA_IDS, "licence").select("part", "licence", F.explode(S.data_duties(F.col("licence"))).alias("obligation"))
