@@ -140,13 +140,13 @@ def licence_obligations(spark, sf_dir):
     return licences.obligations(_licensed(spark, sf_dir)).select("ord", "licence", F.explode("obligations").alias("obligation"))
 
 
-_DECLARED = [(r[0],) for r in L.LICENCES] + [("mit",), ("Unheard-1.0",), (None,)]
+_PART_LICENCES = [(r[0],) for r in L.LICENCES] + [("mit",), ("Unheard-1.0",), (None,)]
 
 
-@query(f"WITH {_TABLE} SELECT family, count(*) AS licences, count_if(osi) AS approved FROM {dealt_sql(_DECLARED, 'licence')} JOIN known ON upper(known.id) = upper(licence) GROUP BY family")
+@query(f"WITH {_TABLE} SELECT family, count(*) AS licences, count_if(osi) AS approved FROM {dealt_sql(_PART_LICENCES, 'licence')} JOIN known ON upper(known.id) = upper(licence) GROUP BY family")
 def licences_by_family(spark, sf_dir):
     """Families of the licences that parts declare."""
-    known = licences.lookup(dealt(spark, sf_dir, _DECLARED, "licence")).filter("known IS NOT NULL").select("known.*")
+    known = licences.lookup(dealt(spark, sf_dir, _PART_LICENCES, "licence")).filter("known IS NOT NULL").select("known.*")
     return known.groupBy("family").agg(F.count("*").alias("licences"), F.count_if("osi_approved").alias("approved"))
 
 

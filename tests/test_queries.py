@@ -19,7 +19,7 @@ def duck():
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "part", "orders", "benchmark", "conversations"):
+    for t in ("documents", "pages", "part", "orders", "lineitem", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
