@@ -35,6 +35,10 @@ LEAST_WORDS, PERCENT = 20, 5
 #: Words whose features are counted at once.
 _WORDS = 1 << 17
 _LONG = 64
+#: Counts that a row of the written matrix holds; a document has at most one a bucket.
+_CELL = 1 << 15
+#: Bytes of a row group of the written matrix: a reader decodes one at once, however many rows a batch may have.
+_GROUP_BYTES = 8 << 20
 U32 = np.uint32
 
 _WORD = np.zeros(256, bool)
@@ -173,7 +177,9 @@ def csr_blocks(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "
     """The count matrix of all rows as a written table, a row per block of documents.
 
     Buckets are stored as gaps of 16 bits inside a document.  Null texts are rows
-    without features; null ids are marked.
+    without features; null ids are marked.  A block ends before it holds more than
+    ``_CELL`` counts (a larger document is one by itself), and row groups are small, so
+    what writers and readers hold at a time does not depend on the size of the table.
     """
     if buckets > 1 << 16:
         raise ValueError("at most 65,536 buckets")
@@ -187,10 +193,23 @@ def csr_blocks(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "
             begin = pointers[:-1][np.diff(pointers) > 0]
             gaps[begin] = bucket[begin]
             ids = column(part, "id")
-            cols = [np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()), words.astype(np.int64), pointers.astype(np.int64), gaps.astype(np.uint16), count.astype(np.uint32)]
-            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows]), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols)], names=_BLOCK.fieldNames())
-
-    return written(rows.mapInArrow(run, _BLOCK), "csr")
+            number, none, gaps, count = np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null()), gaps.astype(np.uint16), count.astype(np.uint32)
+            for a, b in _blocks(pointers, _CELL):
+                lo, hi = pointers[a], pointers[b]
+                cols = [number[a:b], none[a:b], words[a:b].astype(np.int64), (pointers[a : b + 1] - lo).astype(np.int64), gaps[lo:hi], count[lo:hi]]
+                yield pa.RecordBatch.from_arrays([pa.array([b - a]), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in cols)], names=_BLOCK.fieldNames())
+
+    return written(rows.mapInArrow(run, _BLOCK), "csr", {"parquet.block.size": _GROUP_BYTES, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10})
+
+
+def _blocks(pointers: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows with at most ``most`` counts and rows each, or of one row."""
+    out, a, n = [], 0, len(pointers) - 1
+    while a < n:
+        b = min(n, a + most, max(a + 1, int(np.searchsorted(pointers, pointers[a] + most, "right")) - 1))
+        out.append((a, b))
+        a = b
+    return out
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -79,3 +79,16 @@ def test_empty(docs, no_docs, spark):
     assert run(no_docs, docs) == []
     assert all(r[4] is None for r in run(docs.filter("length(text) < 20"), no_docs))
     assert importance.resample(docs, docs).agg(F.count("rank")).first()[0] > 0
+
+
+def test_blocks_are_bounded(spark, doc_rows, monkeypatch):
+    """No row of the written matrix holds more counts than the bound, unless it is one document; results stay."""
+    monkeypatch.setattr(importance, "_CELL", 200)
+    rows = [(r[0], r[1]) for r in doc_rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    blocks = importance.csr_blocks(df).selectExpr("rows", "length(counts) div 4 AS n").collect()
+    assert sum(b.rows for b in blocks) == len(rows) and len(blocks) > 1
+    assert all(b.n <= 200 or b.rows == 1 for b in blocks)
+    goal = spark.createDataFrame([("one two three",)], "text string")
+    assert run(df, goal) == plain(rows, ["one two three"])
+    assert importance._blocks(np.asarray([0, 0, 5, 9, 9, 30, 31]), 9) == [(0, 4), (4, 5), (5, 6)]
