@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,6 +20,21 @@ from ..refdata import DROPPED, LOOKALIKES, SPACES
 _BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
+#: Rows and characters of texts that a Python worker builds results for at once.
+SLICE_ROWS, SLICE_CHARS = 256, 4_000_000
+
+
+def slices(texts: pd.Series) -> Iterator[slice]:
+    """Consecutive rows of a batch, cut so that what is built for them stays small; a longer text is one by itself."""
+    upto = np.cumsum(np.asarray([len(t) if t is not None else 0 for t in texts], np.int64))
+    at = 0
+    while at < len(texts):
+        before = upto[at - 1] if at else 0
+        end = min(at + SLICE_ROWS, max(at + 1, int(np.searchsorted(upto, before + SLICE_CHARS, "right"))))
+        yield slice(at, end)
+        at = end
+
+
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -86,7 +101,7 @@ def winnow(words: Column, k: int = 5, window: int = 4) -> Column:
 
 
 @pandas_udf(ArrayType(StringType()))
-def winnowed(text: pd.Series) -> pd.Series:
+def winnowed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """:func:`winnow` of a text's words: each 5-gram is hashed once, least hashes by a sliding minimum over numbers."""
     k, window = 5, 4
 
@@ -102,7 +117,9 @@ def winnowed(text: pd.Series) -> pd.Series:
         _, first = np.unique(least, return_index=True)
         return [f"{v:016x}" for v in least[np.sort(first)].tolist()]
 
-    return text.map(one)
+    for text in texts:
+        for part in slices(text):
+            yield text.iloc[part].map(one)
 
 
 def stem(identifier: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 import tomllib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..functions.text import slices
 from ..refdata_bundles import ALL_RIGHTS, ATTRIBUTION_FILES, BUNDLE_EXTENSIONS, CLAIM, LIBRARIES
 from . import deobfuscation
 
@@ -155,10 +156,12 @@ def _examined(signatures: list[Signature]):
     kept: list[Searcher] = []  # one per worker process
 
     @pandas_udf(f"struct<libraries: {_FOUND}, claims: {_CLAIMS}>")
-    def examine(text: pd.Series, clean: pd.Series) -> pd.DataFrame:
+    def examine(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         if not kept:
             kept.append(Searcher(signatures))
-        return pd.DataFrame({"libraries": [kept[0].libraries(t) for t in clean], "claims": [claims_of(t) for t in text]})
+        for text, clean in batches:
+            for part in slices(text):
+                yield pd.DataFrame({"libraries": [kept[0].libraries(t) for t in clean.iloc[part]], "claims": [claims_of(t) for t in text.iloc[part]]})
 
     return examine
 

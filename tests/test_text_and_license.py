@@ -76,3 +76,35 @@ def test_spdx():
     assert parse("GPL-2.0-only OR MIT")[4] and not parse("GPL-2.0-only AND MIT")[4]
     assert parse("GPL-2.0-only WITH Classpath-exception-2.0")[2:] == (["Classpath-exception-2.0"], False, True)
     assert not any(parse(x)[0] for x in ("", "MIT AND", "(MIT", "MIT MIT", None))
+
+
+def test_slices_bound_what_workers_build(monkeypatch):
+    """Every row once, in order; few rows and characters at a time, but for a longer text."""
+    import pandas as pd
+
+    monkeypatch.setattr(T, "SLICE_ROWS", 4)
+    monkeypatch.setattr(T, "SLICE_CHARS", 10)
+    texts = pd.Series(["abc"] * 9 + [None, "", "x" * 50, "yy"])
+    parts = [texts.iloc[s] for s in T.slices(texts)]
+    assert [v for p in parts for v in p] == list(texts)
+    assert all(len(p) <= 4 and (len(p) == 1 or p.fillna("").str.len().sum() <= 10) for p in parts) and len(parts) > 4
+    assert list(T.slices(texts.iloc[:0])) == []
+
+
+def test_winnowed_over_many_slices(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, None if k % 97 == 0 else " ".join(f"w{(k * j) % 13}" for j in range(k % 30))) for k in range(1, 700)]
+    df = spark.createDataFrame(rows, "k int, text string").coalesce(1)
+    got = df.select("k", T.winnowed("text").alias("a"), T.winnow(T.tokens(F.col("text"))).alias("b")).collect()
+    assert len(got) == 699 and all((r.a or []) == (r.b or []) for r in got)
+
+
+def test_expanded_rows_are_spread(spark, tmp_path):
+    """What is made from a small file is made by more than one task."""
+    from quillscan.queries import binaries, deobfuscation, scripts
+
+    spark.createDataFrame([(k, f"a b{k}", "Brand#1", "X Y", k, 900.5) for k in range(50)], "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for rows, n in ((scripts.texts(spark, str(tmp_path)), 100), (deobfuscation.scripts(spark, str(tmp_path)), 50), (binaries.binaries(spark, str(tmp_path)).filter("path LIKE '%/tool'"), 50)):
+        sizes = [s for s in rows.rdd.mapPartitions(lambda it: [sum(1 for _ in it)]).collect() if s]
+        assert sum(sizes) == n and len(sizes) > 1 and max(sizes) < n
