@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..catalog import _family_sql, _q, _values, query
 from ..operators import binaries as B
 from ..refdata_binaries import ADDRESS, ADDRESS_KINDS, FUNCTION, GO_LICENCES, LEAST_STRING, PACKAGE, SYMBOLS
+from ..storage import spread
 
 #: Stands for the key of a part, six digits, in the forms.
 KEY = "KEYKEY"
@@ -89,7 +90,7 @@ _KNOWN = "p_partkey IS NOT NULL AND p_partkey < 1000000"
 
 def binaries(spark, sf_dir):
     """``path, content``: a module and a program per part, with a licence beside every fifth and a notice beside every fourth."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").filter(_KNOWN)
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").filter(_KNOWN))
     of = lambda name, content: part.select(F.expr(f"{_FOLDER} || '/{name}'").alias("path"), content.alias("content"), "p_partkey")
     text = F.lit("text").cast("binary")
     files = of("app.wasm", F.unhex(F.expr(_MODULE_HEX))).unionByName(of("tool", F.unhex(F.expr(_PROGRAM_HEX))))

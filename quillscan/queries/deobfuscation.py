@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import _q, query
 from ..operators import deobfuscation as O
+from ..storage import spread
 
 #: Obfuscated form, the clean form it must give, and the counts of the rules. {hex} is the name in \x escapes, {b64} in base64, {codes} as character codes.
 FORMS = [
@@ -57,7 +58,7 @@ def scripts(spark, sf_dir):
     }
     form = (F.col("p_partkey") % len(FORMS)).cast("int")
     body = F.element_at(F.array(*(F.lit(f[0]) for f in FORMS)), form + 1)
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
     return part.select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".js")).alias("path"), _fill(body, fill).alias("text"), form.alias("form"))
 
 
