@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
-from ..functions.text import jaccard, low_hash, ngrams, occurrences, tokens, winnow
+from ..functions.text import jaccard, low_hash, ngrams, occurrences, tokens, winnowed
+from ..storage import written
 
 _PIECES = re.compile(r"(\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|//[^\n]*|/\*.*?(?:\*/|\Z)|^[ \t]*#[^\n]*", re.S | re.M)
 
@@ -82,7 +83,7 @@ def fingerprint(files: DataFrame) -> DataFrame:
     normal = files.withColumn("_n", normal_code("text")).withColumn("_s", skeleton("text")).withColumn("_c", chunk_hashes("text"))
     words = tokens(F.col("_n"))
     return normal.select(
-        "ord", "path", F.sha2("_n", 256).alias("normal_hash"), F.sha2("_s", 256).alias("skeleton_hash"), winnow(words).alias("winnow"), F.col("_c").alias("chunks"), ngrams(words, 3).alias("grams"), (occurrences(F.col("text"), "\n") + 1).alias("loc")
+        "ord", "path", F.sha2("_n", 256).alias("normal_hash"), F.sha2("_s", 256).alias("skeleton_hash"), F.coalesce(winnowed("_n"), F.array().cast("array<string>")).alias("winnow"), F.col("_c").alias("chunks"), ngrams(words, 3).alias("grams"), (occurrences(F.col("text"), "\n") + 1).alias("loc")
     )
 
 
@@ -108,8 +109,8 @@ def matches(suspects: DataFrame, references: DataFrame, least: float = 0.6, shar
     have no skeleton, those of fewer than three words no trigrams: nothing there is alike.
     """
     names = ["normal_hash", "skeleton_hash", "winnow", "chunks", "grams"]
-    left = suspects.select(F.col("path").alias("suspect"), *names)
-    right = references.select(F.col("path").alias("reference"), *names)
+    left = written(suspects.select(F.col("path").alias("suspect"), *names), "suspects")  # each is used several times
+    right = written(references.select(F.col("path").alias("reference"), *names), "references")
     same = [left.select("suspect", h).join(right.select("reference", h), h).select("suspect", "reference") for h in (["normal_hash", "skeleton_hash"] if skeletons else ["normal_hash"])]
     near = [_meet(left, right, items, at) for items, at in (("winnow", least), ("chunks", CHUNK_LEAST), ("grams", GRAM_LEAST))]
     meet = reduce(DataFrame.union, same + near).distinct()
