@@ -136,3 +136,22 @@ def test_map_data_and_secrets_of_every_kind(spark):
     assert sorted((r.ord, r.file, r.vtype, r.evidence) for r in found if r.file != "a") == [(2_000_000, "b", "UnlicensedGeodata", "OpenStreetMap"), (2_000_001, "b", "UnlicensedGeodata", "Mapbox"), (2_000_002, "b", "UnlicensedGeodata", "CensusGov")]
     assert [r.vtype for r in found if r.file == "a"] == ["ExposedSecrets"] * 6
     assert len({r.ord for r in found}) == len(found)
+
+
+def test_cosines_of_odd_vectors(spark, tmp_path):
+    """Cells of matrix products give what the column expression gives, with other lengths, zeros, nulls and infinities."""
+    import random
+
+    from quillscan import catalog
+    from quillscan.functions import text as T
+
+    rng = random.Random(2)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(120)]
+    rows += [(150, [0.0] * 8), (151, None), (152, [1.0, None] * 4), (153, [float("inf")] + [1.0] * 7), (154, [float("nan")] * 8), (155, []), (156, [1.0, 2.0]), (200, [3.0, 1.0]), (250, None), (300, []), (None, [1.0] * 8), (157, [1e200] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(f"{tmp_path}/embeddings.parquet")
+    a, b = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), df
+    want = a.join(b, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 5).alias("cosine"))
+    got = catalog.QUERIES["embedding_cosine"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    assert "FlatMapCoGroupsInPandas" in got._jdf.queryExecution().toString()  # no product pair by pair
