@@ -11,12 +11,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillscan.llm.common import tune, written
+from quillscan.llm.common import BATCH_BYTES, tune, written
 from quillscan.llm.jaccard import near_duplicates
 from quillscan.llm.langid import UNKNOWN, identify, train
 from quillscan.llm.mixing import mix
 from quillscan.llm.packing import pack_documents
 from quillscan.llm.pii import sanitise
+from quillscan.llm.tokenizing import TOKEN_SLICE
+
+
+#: Text bytes that travel to a worker at once and that packing encodes at a time: half of what operators take on their own, as the stages before leave an executor's heap full.
+BATCH, SLICE = BATCH_BYTES // 2, TOKEN_SLICE // 2
 
 
 def _new_name(docs: DataFrame, name: str) -> str:
@@ -31,7 +36,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Repeated rows and ids, null ones too, are judged row by row. Without documents, or without any label, all that
     have a letter would be unknown, so none stay.
     """
-    tune(spark)
+    tune(spark, BATCH)
     pred, score = _new_name(docs, "lang_pred"), _new_name(docs, "lang_score")
     found = identify(docs, train(docs), pred_col=pred, score_col=score).filter(F.col(pred) != UNKNOWN)
     return found.select(*(F.coalesce("lang", pred).alias(c) if c == "lang" else F.col(c) for c in docs.columns))
@@ -43,7 +48,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that share an id count as one document: one of them stays (the longest text,
     then the greatest).  Rows with a null id take no part in the join and all stay.
     """
-    tune(spark)
+    tune(spark, BATCH)
     keep = near_duplicates(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), docs["doc_id"].alias("_id"))
     none = rows.filter("_id IS NULL").select("_row")
@@ -56,7 +61,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Every row stays, each with its own text: null and empty texts as they are, rows that share an id or have none by themselves.
     """
-    tune(spark)
+    tune(spark, BATCH)
     return _counted(docs, sanitise(docs))
 
 
@@ -65,7 +70,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null sources are one source. Texts without words, null ones too, are never taken; rows that are equal are taken by themselves.
     """
-    tune(spark)
+    tune(spark, BATCH)
     return _counted(docs, mix(docs))
 
 
@@ -74,8 +79,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text is the end mark alone. Rows that share an id, as a mix makes them, are packed each; an empty table gives no rows.
     """
-    tune(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    tune(spark, BATCH)
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), slice_bytes=SLICE)
 
 
 def _counted(docs: DataFrame, out: DataFrame) -> DataFrame:

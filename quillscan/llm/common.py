@@ -62,9 +62,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tune(spark: SparkSession) -> None:
+def tune(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Small Arrow batches, so that a worker holds little text at a time, whatever the length of the rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
 
 # ---------------------------------------------------------------- worker memory

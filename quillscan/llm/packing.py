@@ -29,7 +29,7 @@ CLASSES = 128
 GAP = 0.001
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, slice_bytes: int = TOKEN_SLICE) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``) of each piece of each document.
 
     Null text: empty, so just the end id.  A document without any id (empty, no end
@@ -38,7 +38,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, "ids")
-        for part in slices(batches, "text", TOKEN_SLICE, "tokens"):
+        for part in slices(batches, "text", slice_bytes, "tokens"):
             ids, ends = enc.encode(column(part, "text"))
             tail = np.zeros(0, "<u4") if end_id is None else np.asarray([end_id], "<u4")
             ids = ids.astype("<u4")
@@ -176,13 +176,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES) ->
     return placed.select(*pieces.columns, "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset"))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = TOKEN_SLICE) -> DataFrame:
     """Cut, count and pack all rows of ``docs``; see :func:`pieces_of` and :func:`pack`.
 
     Only ``id_col`` and ``text_col`` are read, so other columns cannot clash.  Repeated
-    rows are packed as often as they occur.
+    rows are packed as often as they occur.  A worker holds about ``slice_bytes`` of text
+    at a time; the result does not depend on it.
     """
-    return pack(written(pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids), "pieces"), capacity)
+    return pack(written(pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids, slice_bytes), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

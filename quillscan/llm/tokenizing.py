@@ -35,6 +35,8 @@ from .common import CACHES, filled, ragged
 TOKEN_SLICE = 2_500_000
 #: A worker's memo keeps to about so many bytes: beyond, only segments met again stay.
 MEMO_BYTES = 80_000_000
+#: Joined texts whose encodings, with offsets, are held at a time.
+HELD = 16
 #: Bytes of a memo entry besides its text: string and number objects, their place in the dictionary, figures, ids.
 _ENTRY = 190
 _FIRST, _LINE = "\x03", "\x02"
@@ -148,7 +150,8 @@ class Encoder:
                 ids, lens = ids[keep], lens - first
             return ids, lens
         ids, lens = [], []
-        for at, enc in enumerate(self.tk.encode_batch(joined, add_special_tokens=False)):
+        encoded = (e for k in range(0, len(joined), HELD) for e in self.tk.encode_batch(joined[k : k + HELD], add_special_tokens=False))
+        for at, enc in enumerate(encoded):
             own = np.asarray(enc.ids, dtype=np.int32)
             begins = np.fromiter((o[0] for o in enc.offsets), dtype=np.int64, count=len(own))
             size = np.fromiter(map(len, texts[at * group : (at + 1) * group]), np.int64)

@@ -116,3 +116,28 @@ def test_cutting_stock_is_near_its_bound():
     patterns, counts, bound = packing.cutting_stock(weight, demand.astype(float), 64)
     assert ((patterns * counts[:, None]).sum(axis=0) == demand).all() and (patterns @ weight).max() <= 64
     assert counts.sum() <= bound * 1.01 + 2
+
+
+def test_few_encodings_are_held():
+    """The word vocabulary's encodings, with offsets, come a few at a time and give the same ids."""
+    import pyarrow as pa
+
+    enc = Encoder(WORD)
+    library, calls = enc.tk, []
+
+    class Counting:
+        def encode_batch(self, texts, **options):
+            calls.append(len(texts))
+            return library.encode_batch(texts, **options)
+
+    enc.tk = Counting()
+    texts = [" ".join(f"w{k}x{j}" for j in range(50)) for k in range(200)]
+    ids, _ = enc.encode(pa.array(texts))
+    assert max(calls) <= 16 and len(calls) > 1
+    assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_slice_of_a_worker_changes_no_piece(spark):
+    docs = spark.createDataFrame([(k, f"word{k} " * (k * 40)) for k in range(40)], "doc_id long, text string")
+    few, many = (sorted(packing.pieces_of(docs, WORD, slice_bytes=n).collect()) for n in (500, packing.TOKEN_SLICE))
+    assert few == many
