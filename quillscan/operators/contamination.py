@@ -39,6 +39,11 @@ def crosses(fam: Column, linking: Column) -> Column:
     )
 
 
+def _merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting: rounds join the graph again and again, and a broadcast takes it through the driver each time."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def contaminated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``package, source, family, depth``: least depth at which a copyleft source reaches a package.
 
@@ -50,15 +55,16 @@ def contaminated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     marked = nodes.withColumn("family", family(F.col("licence")))
     known = marked.select(F.col("name").alias("package"), "linking", F.coalesce(is_copyleft(F.col("family")), F.lit(False)).alias("own"))
+    arcs = written(_merged(edges.select("src", "dst"), known.withColumnRenamed("package", "src"), "src").select("dst", F.col("src").alias("package"), "linking", "own"), "arcs")
     keys = ["package", "source", "family"]
     sources = marked.filter(propagates(F.col("family"), F.col("linking")) > 0).select(F.col("name").alias("package"), F.col("name").alias("source"), "family", F.lit(True).alias("own"), F.lit(0).alias("depth"))
     seen = front = written(sources.dropDuplicates(keys), "contamination")
     depth = 0
     while not front.isEmpty():
         depth += 1
-        reached = front.select(F.col("package").alias("dst"), "source", "family").join(edges, "dst").select(F.col("src").alias("package"), "source", "family").distinct()
-        passed = reached.join(known, "package").filter(crosses(F.col("family"), F.col("linking"))).drop("linking").dropDuplicates(keys)
-        front = written(passed.join(seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)).select(*keys, "own", "depth"), "contamination")
+        reached = _merged(front.select(F.col("package").alias("dst"), "source", "family"), arcs, "dst")
+        passed = reached.filter(crosses(F.col("family"), F.col("linking"))).select(*keys, "own").dropDuplicates(keys)
+        front = written(_merged(passed, seen.select(*keys), keys, "left_anti").withColumn("depth", F.lit(depth)).select(*keys, "own", "depth"), "contamination")
         seen = seen.unionByName(front)
         if depth % 16 == 0:  # keeps the plan short
             seen = written(seen, "contamination")
@@ -142,6 +148,7 @@ def trace(nodes: DataFrame) -> DataFrame:
     known = written(copyleft_sources(nodes), "nodes")
     edges = known.select(F.col("name").alias("src"), F.explode("depends_on").alias("dst")).distinct()
     dependents = known.filter(~F.col("build_only")).select(F.col("name").alias("package"), "linking", F.col("licence").alias("own"), F.col("effective").isNull().alias("reported"))
+    arcs = written(_merged(edges, dependents.withColumnRenamed("package", "src"), "src").withColumnRenamed("src", "package"), "arcs")
     factor = F.coalesce(*(F.when(F.col("linking") == k, F.lit(v)) for k, v in LINK_FACTORS.items()), F.lit(0.5))
     keys = ["package", "source"]
     start = known.filter("fate = 'active'").select(F.col("name").alias("package"), F.col("name").alias("source"), F.col("licence").alias("source_licence"), "family", F.lit(0).alias("depth"), F.lit(1.0).alias("confidence"), F.array("name").alias("chain"), F.lit(False).alias("reported"), F.col("licence"))
@@ -150,10 +157,10 @@ def trace(nodes: DataFrame) -> DataFrame:
     depth = 0
     while not front.isEmpty():
         depth += 1
-        step = front.select(F.col("package").alias("dst"), "source", "source_licence", "family", "confidence", "chain").join(edges, "dst").withColumnRenamed("src", "package").join(dependents, "package")
+        step = _merged(front.select(F.col("package").alias("dst"), "source", "source_licence", "family", "confidence", "chain"), arcs, "dst")
         step = step.filter(crosses(F.col("family"), F.col("linking"))).withColumn("confidence", F.col("confidence") * factor).withColumn("chain", F.concat("chain", F.array("package")))
         best = step.groupBy(keys).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "chain", "source_licence", "family", "reported", "own")).alias("b"))
-        new = best.join(seen.select(keys), keys, "left_anti")
+        new = _merged(best, seen.select(keys), keys, "left_anti")
         front = written(new.select(*keys, "b.source_licence", "b.family", F.lit(depth).alias("depth"), (-F.col("b.c")).alias("confidence"), "b.chain", "b.reported", F.col("b.own").alias("licence")).select(columns), "trace")
         seen = seen.unionByName(front)
         if depth % 16 == 0:  # keeps the plan short

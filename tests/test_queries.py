@@ -108,3 +108,11 @@ def test_xml_in_any_shape(spark):
     ]
     found = manifests.dependency_nodes(spark.createDataFrame(rows, "path string, text string")).collect()
     assert sorted((r.name, r.version, r.build_only) for r in found) == [("N", "2", False), ("P", "3", False), ("a:b", None, False), ("e:f", "1", False), ("g&h:x", None, False)]
+
+
+def test_rounds_send_no_table_through_the_driver(spark):
+    """The graph is small enough to be broadcast, but rounds join it again and again."""
+    a = spark.range(3).withColumnRenamed("id", "dst")
+    for how in ("inner", "left_anti"):
+        plan = contamination._merged(a, a, "dst", how)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
