@@ -2,8 +2,8 @@
 
 ``projects`` has ``project, licence``; ``files`` has ``project, path, text`` with paths from the project's root;
 ``dependencies`` has ``project, name, licence``. What a vendored folder holds is counted where its files are: a file
-becomes a few flags first, which are written down, then meets the dependency whose folder is one of its ancestors, so
-texts are read once and never shuffled.
+becomes a few flags first, which are written down, then is counted under every ancestor that a dependency's name is long
+enough for; these counts meet the dependencies. Texts are read once and, but for notices, never shuffled.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.license import family
-from ..functions.text import lines
+from ..functions.text import bound, lines
 from ..storage import written
 from .bundles import extension, file_name
 from .classification import classified
@@ -60,7 +60,7 @@ def _segments(path: Column) -> Column:
 
 
 def _flags(files: DataFrame) -> DataFrame:
-    """``project, path, depth, top, licence_place, notice_place, said, source, headed, built, bare, size``: what is needed of each file."""
+    """``project, path, depth, top, licence_place, said, source, headed, built, bare, size``: what is needed of each file."""
     path, name, ext = F.col("path"), file_name(F.col("path")), extension(F.col("path"))
     text = F.coalesce("text", F.lit(""))
     head = F.lower(F.array_join(F.slice(lines(text), 1, HEADER_LINES), "\n"))
@@ -71,6 +71,7 @@ def _flags(files: DataFrame) -> DataFrame:
         headed = headed | head.contains(word)
     size = F.octet_length(text)
     top, depth = _segments(path)[0], F.size(_segments(path))
+    said = bound(classified(text), lambda c: F.when(c.isNotNull(), F.struct(c["licence"].alias("licence"), c["confidence"].alias("confidence"))))
     built = built & top.isin(BUILD_FOLDERS) & (depth >= 2) & (depth <= BUILD_DEPTH + 1)
     return files.filter("project IS NOT NULL AND path IS NOT NULL").select(
         "project",
@@ -78,8 +79,7 @@ def _flags(files: DataFrame) -> DataFrame:
         depth.alias("depth"),
         top.alias("top"),
         licence.alias("licence_place"),
-        F.when(depth == 1, _place(name, NOTICE_FILES)).alias("notice_place"),
-        F.when(licence.isNotNull(), classified(text)).alias("said"),
+        F.when(licence.isNotNull(), said).alias("said"),
         source.alias("source"),
         (source & headed).alias("headed"),
         built.alias("built"),
@@ -94,22 +94,33 @@ def _first(value: Column, place: Column) -> Column:
 
 
 def _vendored(flags: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``project, name, folder`` of the first vendored folder of each dependency, with what it holds."""
-    inside = flags.filter(F.col("top").isin(VENDOR_FOLDERS) & (F.col("depth") >= 3))
-    parts = _segments(F.col("path"))
-    ancestors = F.transform(F.sequence(F.lit(2), F.col("depth") - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("folder"), (F.col("depth") - k).alias("below")))
-    each = inside.select("project", "licence_place", "said", "source", "headed", F.explode(ancestors).alias("_a")).select("*", "_a.folder", "_a.below").drop("_a")
-    places = F.array(*(F.struct(F.lit(k).alias("rank"), F.concat(F.lit(f"{f}/"), "name").alias("folder")) for k, f in enumerate(VENDOR_FOLDERS)))
-    candidates = wanted.select("project", "name").distinct().select("project", "name", F.explode(places).alias("_p")).select("project", "name", "_p.rank", "_p.folder")
-    direct, near = (F.col("below") == 1) & F.col("licence_place").isNotNull(), F.col("below") <= VENDOR_DEPTH
-    found = each.join(candidates, ["project", "folder"]).groupBy("project", "name", "rank", "folder").agg(
-        F.coalesce(F.bool_or(direct), F.lit(False)).alias("has_licence"),
-        _first(F.when(direct, F.col("said")), F.when(direct, F.col("licence_place")).otherwise(len(LICENCE_FILES) + 1)).alias("said"),
-        F.count_if(near & F.col("source")).alias("sources"),
-        F.count_if(near & F.col("headed")).alias("headed"),
+    """``project, name, folder`` of the first vendored folder of that name, with what it holds; also of names that only look like a dependency's.
+
+    Files are dealt out once, by project and name, and put in order once: the counts by folder, the choice of a folder
+    and the join with ``wanted`` all keep that order.
+    """
+    parts, tops = _segments(F.col("path")), F.array(*map(F.lit, VENDOR_FOLDERS))
+    inside = flags.filter(F.col("top").isin(VENDOR_FOLDERS) & (F.col("depth") >= 3)).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("depth") - 2)))
+    lengths = wanted.select(F.size(_segments(F.col("name"))).alias("_n")).distinct()
+    below = F.col("depth") - 1 - F.col("_n")
+    direct, near = (below == 1) & F.col("licence_place").isNotNull(), below <= VENDOR_DEPTH
+    each = inside.join(F.broadcast(lengths), "_n", "left_semi").select(
+        "project",
+        F.array_join(F.slice(parts, F.lit(2), F.col("_n")), "/").alias("name"),
+        F.array_position(tops, F.col("top")).cast("int").alias("_rank"),
+        F.when(direct, F.col("licence_place")).alias("_place"),
+        F.when(direct, F.col("said")).alias("said"),
+        (near & F.col("source")).alias("source"),
+        (near & F.col("headed")).alias("headed"),
+    )
+    found = each.repartition("project", "name").groupBy("project", "name", "_rank").agg(
+        (F.count("_place") > 0).alias("has_licence"),
+        _first(F.col("said"), F.coalesce("_place", F.lit(len(LICENCE_FILES) + 1))).alias("said"),
+        F.count_if("source").alias("sources"),
+        F.count_if("headed").alias("headed"),
     )
-    best = F.min_by(F.struct("folder", "has_licence", "said", "sources", "headed"), "rank")
-    return found.groupBy("project", "name").agg(best.alias("_v")).select("project", "name", "_v.*")
+    best = F.min_by(F.struct("_rank", "has_licence", "said", "sources", "headed"), "_rank")
+    return found.groupBy("project", "name").agg(best.alias("_v")).select("project", "name", F.concat(F.element_at(tops, F.col("_v._rank")), F.lit("/"), "name").alias("folder"), *(f"_v.{c}" for c in ("has_licence", "said", "sources", "headed")))
 
 
 def _finding(vtype: str, severity: str, confidence: Column | float, subject: Column, evidence: Column) -> list[Column]:
@@ -130,19 +141,20 @@ def check(projects: DataFrame, files: DataFrame, dependencies: DataFrame) -> Che
     flags = written(_flags(files), "attribution-files")
 
     root_place = F.when((F.col("depth") == 1) & F.col("licence_place").isNotNull(), F.col("licence_place"))
-    roots = flags.groupBy("project").agg(F.min(root_place).alias("root_place"), _first(F.when(root_place.isNotNull(), F.col("said")), F.coalesce(root_place, F.lit(len(LICENCE_FILES) + 1))).alias("root_said"), F.count_if("built").alias("built_files"), F.count_if("bare").alias("built_bare"), F.min("notice_place").alias("notice_place"))
+    roots = flags.filter(root_place.isNotNull() | F.col("built")).groupBy("project").agg(F.min(root_place).alias("root_place"), _first(F.when(root_place.isNotNull(), F.col("said")), F.coalesce(root_place, F.lit(len(LICENCE_FILES) + 1))).alias("root_said"), F.count_if("built").alias("built_files"), F.count_if("bare").alias("built_bare"))
     notices = files.filter("project IS NOT NULL AND path IS NOT NULL").withColumn("_place", _place(F.col("path"), NOTICE_FILES)).filter("_place IS NOT NULL").groupBy("project").agg(F.lower(F.min_by(F.coalesce("text", F.lit("")), F.struct("_place", F.coalesce("text", F.lit(""))))).alias("notice"))
 
     fits = (F.col("said.licence") == F.col("licence")) | (family(F.col("said.licence")) == family(F.col("licence")))
     status = deps.join(_vendored(flags, deps), ["project", "name"], "left").withColumn("matches", F.when(F.col("has_licence") & F.col("said").isNotNull(), F.coalesce(fits, F.lit(False))))
     kept = (F.col("sources") == 0) | (F.col("headed") / F.col("sources") >= HEADER_SHARE)
     status = status.withColumn("headers_kept", F.when(F.col("folder").isNotNull() & F.col("HeaderPreservation"), kept))
-    status = status.join(notices, "project", "left").withColumn("in_notice", F.when(F.col("NoticeFile"), F.coalesce(F.col("notice").contains(F.lower("name")), F.lit(False)))).withColumn("has_notice", F.col("notice").isNotNull()).drop("notice")
     status = written(status.withColumn("has_licence", F.coalesce("has_licence", F.lit(False))), "attribution-dependencies")
+    in_notice = F.coalesce(F.col("notice").contains(F.lower("name")), F.lit(False))
+    owing = written(status.filter("NoticeFile").join(notices, "project", "left").withColumn("in_notice", in_notice).withColumn("has_notice", F.col("notice").isNotNull()).drop("notice"), "attribution-notices")
+    status = status.filter("NOT NoticeFile").withColumn("in_notice", F.lit(None).cast("boolean")).unionByName(owing.drop("has_notice"))
 
     root = projects.join(roots, "project", "left")
     differs = ~F.coalesce((F.col("root_said.licence") == F.col("licence")) | (family(F.col("root_said.licence")) == family(F.col("licence"))), F.lit(False))
-    owing = status.filter(F.col("NoticeFile"))
     found = [
         root.filter("root_place IS NULL").select(_finding("MissingAttribution", "Medium", 0.99, F.lit("."), F.col("licence"))),
         root.filter(F.col("root_said").isNotNull() & differs & (F.col("root_said.confidence") > SURE)).select(_finding("IncorrectAttribution", "Critical", F.col("root_said.confidence"), F.lit("."), F.col("root_said.licence"))),

@@ -113,3 +113,36 @@ def test_empty_tables(spark):
     alone = _check(spark, [("z", "MIT", 1)], [], [])
     assert [tuple(r) for r in alone.scores.collect()] == [("z", 0, 0, 0, 1.0)] and alone.dependencies.count() == 0
     assert [(r.vtype, r.subject) for r in alone.findings.collect()] == [("MissingAttribution", ".")]
+
+
+def _shuffled(spark):
+    """Rows that all stages so far wrote for a shuffle."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_vendored_folders_by_one_shuffle(spark):
+    """Folders against a plain reader; without broadcasts a file or dependency is shuffled about once, not once for every vendor folder."""
+    rng = random.Random(5)
+    names = ["a", "@s", "@s/b", "x/y/z", "a/", "", "a/b"]
+    deps = [(p, n, "MIT") for p in range(40) for n in names if rng.random() < 0.7]
+    files = sorted({(p, f"{rng.choice([*A.VENDOR_FOLDERS, 'src'])}/{rng.choice(names)}/{'q/' * rng.randint(0, 1)}{f}", "x") for p in range(40) for f in ("LICENSE", "m.py", "z") for _ in range(2)})
+    want = {}
+    for p, n, _ in deps:
+        tops = [t for t in A.VENDOR_FOLDERS if any(q == p and f.startswith(f"{t}/{n}/") for q, f, _ in files)]
+        held = [f[len(f"{tops[0]}/{n}/") :] for q, f, _ in files if q == p and f.startswith(f"{tops[0]}/{n}/")] if tops else []
+        sources = [f for f in held if f.endswith(".py") and f.count("/") < A.VENDOR_DEPTH]
+        want[p, n] = (f"{tops[0]}/{n}" if tops else None, "LICENSE" in held, len(sources) if tops else None)
+    flags = A._flags(spark.createDataFrame(files, "project int, path string, text string"))
+    wanted = spark.createDataFrame(deps, "project int, name string, licence string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled(spark)
+        got = {(r.project, r.name): (r.folder, bool(r.has_licence), r.sources) for r in wanted.join(A._vendored(flags, wanted), ["project", "name"], "left").collect()}
+        rows = _shuffled(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and any(w[0] and not w[1] for w in want.values()) and any(w[1] for w in want.values())
+    assert rows <= len(deps) + 4 * len(files) + 50
