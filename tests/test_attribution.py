@@ -146,3 +146,22 @@ def test_vendored_folders_by_one_shuffle(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == want and any(w[0] and not w[1] for w in want.values()) and any(w[1] for w in want.values())
     assert rows <= len(deps) + 4 * len(files) + 50
+
+
+def test_only_what_is_needed_is_gathered_by_project(spark):
+    """Files that tell nothing of a project are not shuffled for its score, dependencies that owe no notice not for its notice."""
+    projects = [(f"p{k}", "MIT", 1) for k in range(300)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        start = _shuffled(spark)
+        got = _check(spark, projects, [(p, f, "x") for p, _, _ in projects for f in ("src/x.py", "README")] + [("p0", "NOTICE", "x")], [("p0", f"d{k}", "MIT") for k in range(300)] + [("p0", "X", "Apache-2.0")])
+        kept = {r.name: r.in_notice for r in got.dependencies.collect()}
+        checked = _shuffled(spark)
+        scores = got.scores.collect()
+        scored = _shuffled(spark) - checked
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(kept) == 301 and kept.pop("X") is True and set(kept.values()) == {None}
+    assert len(scores) == 300 and {r.project: r.n_dependencies for r in scores}["p0"] == 301
+    # projects, or dependencies, once; beside them a few rows a partition (repartition(3) deals 601 files)
+    assert scored <= 300 + 50 and checked - start <= 601 + 301 + 50
