@@ -70,11 +70,19 @@ _ENTRIES = [
     (1, 0, "import", "wbg", f"__wbindgen_{KEY}", "function"), (1, 1, "import", "wbg", "t", "table"), (1, 2, "import", "wbg", "g", "global"), (1, 3, "export", None, "start", "global"),
     (2, 0, "import", "env", "tag", "tag"), (2, 1, "export", None, f"x{KEY}", "table"),
 ]
-_PROGRAMS = [
-    (["libgtk-3.so", f"lib{KEY}.so"], [f"gtk_init_{KEY}", f"local_{KEY}"], ["main", f"x264_open_{KEY}", "av_x"], True, "<"),
-    (["libreadline.so"], [f"rl_start_{KEY}", f"sqlite3_{KEY}"], [f"gcry_{KEY}", "main"], False, ">"),
-    ([f"libGNU Readline {KEY}.so"], [f"readline_{KEY}"], ["PyInit_mod"], True, ">"),
-]
+#: Stands for the key of a part in programs where six digits do not hold it.
+LONG_KEY = "KEY" * 6 + "KE"
+
+
+def _program_forms(key: str) -> list[tuple]:
+    return [
+        (["libgtk-3.so", f"lib{key}.so"], [f"gtk_init_{key}", f"local_{key}"], ["main", f"x264_open_{key}", "av_x"], True, "<"),
+        (["libreadline.so"], [f"rl_start_{key}", f"sqlite3_{key}"], [f"gcry_{key}", "main"], False, ">"),
+        ([f"libGNU Readline {key}.so"], [f"readline_{key}"], ["PyInit_mod"], True, ">"),
+    ]
+
+
+_PROGRAMS = _program_forms(KEY)
 _FILLED = "replace({form}, '" + KEY.encode().hex().upper() + "', hex(lpad(CAST(p_partkey AS STRING), 6, '0')))"
 _FOLDER = "'part/' || CAST(p_partkey AS STRING)"
 
@@ -84,19 +92,34 @@ def _case(values: list[str]) -> str:
 
 
 _MODULE_HEX = _FILLED.format(form=_case([m.hex().upper() for m in _MODULES]))
-_PROGRAM_HEX = _FILLED.format(form=_case([elf(*p).hex().upper() for p in _PROGRAMS]))
+_DIGITS = "CAST(p_partkey AS STRING)"
+_FORM = f"(p_partkey % {len(_PROGRAMS)} + {len(_PROGRAMS)}) % {len(_PROGRAMS)}"
+
+
+def _program_case(key: str) -> str:
+    forms = " ".join(f"WHEN {k} THEN {_q(elf(*p).hex().upper())}" for k, p in enumerate(_program_forms(key)))
+    return f"replace(CASE {_FORM} {forms} END, '{key.encode().hex().upper()}', hex(lpad({_DIGITS}, {len(key)}, '0')))"
+
+
+_PROGRAM_HEX = f"CASE WHEN length({_DIGITS}) > {len(KEY)} THEN {_program_case(LONG_KEY)} ELSE {_program_case(KEY)} END"
 _KNOWN = "p_partkey IS NOT NULL AND p_partkey < 1000000"
 
 
 def binaries(spark, sf_dir):
-    """``path, content``: a module and a program per part, with a licence beside every fifth and a notice beside every fourth."""
+    """``path, content``: a module per part of up to six digits, with a licence beside every fifth and a notice beside every fourth."""
     part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").filter(_KNOWN))
     of = lambda name, content: part.select(F.expr(f"{_FOLDER} || '/{name}'").alias("path"), content.alias("content"), "p_partkey")
     text = F.lit("text").cast("binary")
-    files = of("app.wasm", F.unhex(F.expr(_MODULE_HEX))).unionByName(of("tool", F.unhex(F.expr(_PROGRAM_HEX))))
+    files = of("app.wasm", F.unhex(F.expr(_MODULE_HEX)))
     return files.unionByName(of("LICENSE", text).filter("p_partkey % 5 = 0")).unionByName(of("NOTICE.txt", text).filter("p_partkey % 4 = 0")).drop("p_partkey")
 
 
+def tools(spark, sf_dir):
+    """``path, content``: a program per part."""
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey"))
+    return part.select(F.expr(f"{_FOLDER} || '/tool'").alias("path"), F.unhex(F.expr(_PROGRAM_HEX)).alias("content"))
+
+
 _RUNS = f"""WITH module AS (SELECT p_partkey AS k, {_FOLDER} || '/app.wasm' AS path, {_MODULE_HEX} AS h FROM part WHERE {_KNOWN}),
 b AS (SELECT k, path, CAST('0x' || unnest(regexp_extract_all(h, '..')) AS INTEGER) AS b, generate_subscripts(regexp_extract_all(h, '..'), 1) - 1 AS pos FROM module),
 isle AS (SELECT *, pos - row_number() OVER (PARTITION BY k ORDER BY pos) AS g FROM b WHERE b BETWEEN 32 AND 126),
@@ -144,7 +167,7 @@ def module_findings(spark, sf_dir):
 
 _SYMBOL_ROWS = [(form, place, name) for form, (_, dynamic, symbols, _, _) in enumerate(_PROGRAMS) for place, name in enumerate([*symbols, *dynamic])]
 _NEEDED_ROWS = [(form, name) for form, (needed, *_rest) in enumerate(_PROGRAMS) for name in needed]
-_PROGRAM_SQL = f"""WITH f AS (SELECT p_partkey, p_partkey % {len(_PROGRAMS)} AS form, {_FOLDER} || '/tool' AS path, lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS k FROM part WHERE {_KNOWN}), s(form, place, name) AS ({_values(_SYMBOL_ROWS)}), n(form, name) AS ({_values(_NEEDED_ROWS)}), y(prefix, library, licence) AS ({_values(SYMBOLS)}),
+_PROGRAM_SQL = f"""WITH f AS (SELECT p_partkey, {_FORM} AS form, {_FOLDER} || '/tool' AS path, lpad({_DIGITS}, CASE WHEN length({_DIGITS}) > {len(KEY)} THEN {len(LONG_KEY)} ELSE {len(KEY)} END, '0') AS k FROM part), s(form, place, name) AS ({_values(_SYMBOL_ROWS)}), n(form, name) AS ({_values(_NEEDED_ROWS)}), y(prefix, library, licence) AS ({_values(SYMBOLS)}),
 hit AS (SELECT path, form, library, first(licence ORDER BY place) AS licence, first(replace(name, '{KEY}', k) ORDER BY place) AS symbol FROM f JOIN s USING (form) JOIN y ON starts_with(name, prefix) AND length(name) > length(prefix) + 2 GROUP BY path, form, library),
 lib AS (SELECT *, EXISTS (SELECT 1 FROM n WHERE n.form = hit.form AND contains(lower(name), lower(library))) AS dynamic FROM hit)"""
 
@@ -152,10 +175,10 @@ lib AS (SELECT *, EXISTS (SELECT 1 FROM n WHERE n.form = hit.form AND contains(l
 @query(_PROGRAM_SQL + " SELECT path, library, licence, symbol, dynamic FROM lib")
 def program_libraries(spark, sf_dir):
     """Libraries whose symbols programs hold."""
-    return B.programs(binaries(spark, sf_dir).filter("path LIKE '%/tool'")).select("path", F.explode("libraries").alias("l")).select("path", "l.*")
+    return B.programs(tools(spark, sf_dir)).select("path", F.explode("libraries").alias("l")).select("path", "l.*")
 
 
 @query(f"{_PROGRAM_SQL} SELECT path AS file, CASE WHEN NOT dynamic THEN 'BinaryContainsGplSymbols' ELSE 'GplDynamicLinking' END AS vtype, library, licence, symbol FROM (SELECT *, {_family_sql('licence')} AS fam FROM lib) WHERE fam IN ('StrongCopyleft', 'NetworkCopyleft') OR (fam = 'WeakCopyleft' AND NOT dynamic)")
 def program_findings(spark, sf_dir):
     """Copyleft libraries in programs that claim the MIT licence."""
-    return B.program_findings(B.programs(binaries(spark, sf_dir)), "MIT")
+    return B.program_findings(B.programs(tools(spark, sf_dir)), "MIT")

@@ -114,3 +114,19 @@ def test_odd_rows(spark):
     none = files.limit(0)
     assert B.programs(none).count() == B.modules(none).count() == B.module_reports(none).count() == B.strings(none).count() == 0
     assert KEY.isalpha() and B.strings(files, 4).filter(F.col("path") == "n").first().strings == []
+
+
+def test_programs_are_made_of_all_parts(spark, tmp_path):
+    # Keys of more than six digits had no program.
+    import duckdb
+
+    from quillscan.catalog import ORACLE_SQL, QUERIES
+
+    keys = [6, 7, 8, 999_999, 1_000_000, 1_000_001, 1_000_002, 2**62, -5, -3_000_001, None]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    name = "program_findings"
+    got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(ORACLE_SQL[name]).fetchall())
+    assert {r[0] for r in got} == {f"part/{k}/tool" for k in keys if k is not None}
