@@ -116,7 +116,8 @@ def test_odd_rows(spark):
     assert KEY.isalpha() and B.strings(files, 4).filter(F.col("path") == "n").first().strings == []
 
 
-def test_programs_are_made_of_all_parts(spark, tmp_path):
+@pytest.mark.parametrize("name", ["program_findings", "program_libraries"])
+def test_programs_are_made_of_all_parts(spark, tmp_path, name):
     # Keys of more than six digits had no program.
     import duckdb
 
@@ -126,7 +127,6 @@ def test_programs_are_made_of_all_parts(spark, tmp_path):
     spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
-    name = "program_findings"
     got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(ORACLE_SQL[name]).fetchall())
     assert {r[0] for r in got} == {f"part/{k}/tool" for k in keys if k is not None}
