@@ -176,7 +176,8 @@ def nuget(files: DataFrame) -> DataFrame:
     of = lambda name: F.col("attributes")[name]
     refs = _of_xml(files.filter(F.col("path").rlike(r"\.(cs|fs)proj$")), "PackageReference").select("path", of("Include").alias("name"), F.coalesce(of("Version"), F.col("parts")["Version"]).alias("version")).filter("name <> ''")
     old = _of_xml(files.filter(file_name(F.col("path")) == "packages.config"), "package").select("path", of("id").alias("name"), of("version").alias("version")).filter("name <> '' AND version <> ''")
-    rows = refs.unionByName(old.join(refs.select("name").distinct(), "name", "left_anti").select("path", "name", "version"))
+    named = refs.select("name").distinct().hint("merge")  # as many as files have: never sent to the driver
+    rows = refs.unionByName(old.join(named, "name", "left_anti").select("path", "name", "version"))
     return _node(rows, "nuget", F.col("name"), F.col("version"), "Static")
 
 

@@ -8,6 +8,7 @@ from .. import refdata as R
 from ..catalog import _q, _values, dealt, dealt_sql, query
 from ..operators import manifests as M
 from ..operators.supply_chain import popular_packages
+from ..storage import spread
 
 #: A project's files of every format.
 _FILES = [
@@ -100,9 +101,11 @@ _BUILD_ROWS = f"""SELECT p_partkey, CAST(p_partkey AS STRING) AS k, replace(p_na
 def build_file_dependencies(spark, sf_dir):
     """Dependencies of build files made from parts: any order of parts, name spaces, comments, damaged ends."""
     spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("_packages_part")
-    rows = spark.sql(_BUILD_ROWS.replace("FROM part", "FROM _packages_part"))
-    text = F.array(*(F.struct(F.concat(F.lit("part/"), "k", F.lit(f"/{name}")).alias("path"), _filled(F.lit(body), ["k", "n", "b", "v", "c", "s"]).alias("text")) for name, body in _BUILD.items()))
-    return M.dependency_nodes(rows.select(F.explode(text).alias("f")).select("f.*")).select("path", "ecosystem", "name", "version", "build_only")
+    rows = spread(spark.sql(_BUILD_ROWS.replace("FROM part", "FROM _packages_part")))
+    each = rows.select("*", F.explode(F.array(*map(F.lit, _BUILD))).alias("name"))
+    body = F.element_at(F.create_map(*(F.lit(x) for item in _BUILD.items() for x in item)), F.col("name"))
+    files = each.select(F.concat(F.lit("part/"), "k", F.lit("/"), "name").alias("path"), _filled(body, ["k", "n", "b", "v", "c", "s"]).alias("text"))
+    return M.dependency_nodes(files).select("path", "ecosystem", "name", "version", "build_only")
 
 
 def _filled(body, columns):

@@ -116,3 +116,11 @@ def test_rounds_send_no_table_through_the_driver(spark):
     for how in ("inner", "left_anti"):
         plan = contamination._merged(a, a, "dst", how)._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_names_of_project_files_are_not_broadcast(spark):
+    # All their names went to the driver, to be sent to every task.
+    rows = [(f"{k}/app.csproj", f'<P><PackageReference Include="N{k}" Version="1"/></P>') for k in range(20)] + [(f"{k}/packages.config", f'<p><package id="N{k}" version="2"/></p>') for k in range(15, 25)]
+    found = manifests.nuget(spark.createDataFrame(rows, "path string, text string"))
+    assert sorted((r.name, r.version) for r in found.collect()) == sorted([(f"N{k}", "1") for k in range(20)] + [(f"N{k}", "2") for k in range(20, 25)])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
